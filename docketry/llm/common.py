@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds as words at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 #: Distinct words that a task remembers before it starts afresh.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +78,22 @@ def _lengths(col: pa.Array) -> np.ndarray:
     return pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each word's place in the distinct words of these texts, those distinct words, and each text's word count.
+
+    Words are what the six ASCII spaces (0x20, 0x09 to 0x0D) separate; lower folds A-Z alone.
+    """
+    texts = texts.cast(pa.large_string())
+    if lower:
+        texts = pc.ascii_lower(texts)
+    lists = pc.ascii_split_whitespace(texts)
+    words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    found = words.filter(full).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary.cast(pa.large_binary()), np.diff(upto[np.concatenate([[0], ends]).astype(np.int64)])
+
+
 class WordTable(dict):
     """Numbers distinct words in order of arrival and keeps one value for each.
 
@@ -97,23 +114,12 @@ class WordTable(dict):
         self.values = None
 
     def number(self, texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts one after another, and each text's word count.
-
-        Words are what the six ASCII spaces (0x20, 0x09 to 0x0D) separate; lower folds A-Z alone.
-        """
+        """Word numbers of all texts one after another, and each text's word count; words as for word_codes()."""
         if len(self) > WORDS_KEPT:
             self.forget()
-        texts = texts.cast(pa.large_string())
-        if lower:
-            texts = pc.ascii_lower(texts)
-        lists = pc.ascii_split_whitespace(texts)
-        words, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        full = pc.greater(pc.binary_length(words), 0)
-        counts = np.diff(np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])].astype(np.int64))
-        found = words.filter(full).dictionary_encode()
-        own = found.dictionary.cast(pa.large_binary()).to_pylist()
-        numbers = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
-        return numbers[found.indices.to_numpy(zero_copy_only=False)], counts
+        codes, words, counts = word_codes(texts, lower)
+        numbers = np.fromiter(map(self.__getitem__, words.to_pylist()), np.int64, len(words))
+        return numbers[codes], counts
 
     def filled(self) -> np.ndarray:
         """The values of all words numbered so far."""
@@ -182,3 +188,35 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return shift + np.arange(total)
+
+
+class RaggedTable(WordTable):
+    """A word table whose values are lists of ids. encode(words) gives them for new words."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        super().forget()
+        self.flat, self.used, self.lens = np.empty(1 << 16, np.uint32), 0, np.empty(0, np.int64)
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def spread(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words one after another, and the ids of each run of counts words."""
+        known = len(self.lens)
+        if known < len(self):
+            new = self.encode(list(islice(self, known, None)))
+            lens = np.fromiter(map(len, new), np.int64, len(new))
+            need = self.used + int(lens.sum())
+            if need > len(self.flat):
+                grown = np.empty(max(need, 2 * len(self.flat)), np.uint32)
+                grown[: self.used] = self.flat[: self.used]
+                self.flat = grown
+            self.flat[self.used : need] = np.fromiter(chain.from_iterable(new), np.uint32, need - self.used)
+            self.used, self.lens = need, np.concatenate([self.lens, lens])
+        starts, n = np.cumsum(self.lens) - self.lens, self.lens[numbers]
+        per_word, ends = np.concatenate([[0], np.cumsum(n)]), np.cumsum(counts)
+        return self.flat[ragged(starts[numbers], n)], per_word[ends] - per_word[ends - counts]

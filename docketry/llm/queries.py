@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import quality_rules, url_filters
+from docketry.llm import packing, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -28,27 +28,68 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_planes.encode(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: The old layout of the documents: a shard for each bucket of sources, so that a hot source makes a hot shard.
+OLD_SHARDS, NEW_SHARDS = 16, 16
+
+
+def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    out, _ = resharding.reshard(_table(spark, sf_dir, "documents"), old, OLD_SHARDS, NEW_SHARDS)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_exact_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
+
+
+def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.judge(_table(spark, sf_dir, "pages"), URL_RULES)
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded by pieces, decoded from the ids alone; ids_crc32 is over little-endian 32-bit integers."""
+    out = sentencepieces.encode(_table(spark, sf_dir, "documents"), decoded=True, digest=True)
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids_crc32",
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_token_planes": op2_token_planes,
+        "op3_min_cost_flow_resharding": op3_min_cost_flow_resharding,
+        "op5_exact_topk_nra": op5_exact_topk_nra,
+        "op6_bounded_packing": op6_bounded_packing,
         "op7_url_filters": op7_url_filters,
+        "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
+        "op5_exact_topk_nra": OP5_SQL,
         "op7_url_filters": OP7_SQL,
     }
 
 
-_WORD_SPLIT = r"string_split_regex({0}, '[\x20\x09-\x0D]+')"
-
 OP1_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
@@ -104,3 +145,14 @@ fits AS (
   GROUP BY q.page_id, q.host, q.path)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
 """
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id IS DISTINCT FROM q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""

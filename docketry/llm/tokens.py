@@ -9,12 +9,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 
-from docketry.llm.common import WordTable, ragged
+from docketry.llm.common import RaggedTable
 
 #: The id that ends each document.
 END_ID = 1
@@ -40,8 +39,8 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class DocTokenizer(WordTable):
-    """ids(texts) gives the ids of UTF-8 texts one after another, and each text's count."""
+class DocTokenizer(RaggedTable):
+    """ids(texts) gives the ids of texts one after another, and each text's count."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -50,13 +49,8 @@ class DocTokenizer(WordTable):
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model, self.pieces = self.tokenizer.model, {}
-        self.forget()
 
-    def forget(self) -> None:
-        super().forget()
-        self.flat, self.used, self.lens, self.known = np.empty(1 << 16, np.uint32), 0, np.empty(0, np.int64), 0
-
-    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+    def encode(self, words: list[bytes]) -> list[list[int]]:
         out: list[list[int] | None] = [None] * len(words)
         slow = []
         if len(self.pieces) > 300_000:
@@ -81,23 +75,7 @@ class DocTokenizer(WordTable):
         return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        numbers, counts = self.number(texts)
-        if self.known < len(self):
-            new = self._encoded(list(islice(self, self.known, None)))
-            lens = np.fromiter(map(len, new), np.int64, len(new))
-            need = self.used + int(lens.sum())
-            if need > len(self.flat):
-                grown = np.empty(max(need, 2 * len(self.flat)), np.uint32)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : need] = np.fromiter(chain.from_iterable(new), np.uint32, need - self.used)
-            self.used, self.lens, self.known = need, np.concatenate([self.lens, lens]), len(self)
-        starts = np.cumsum(self.lens) - self.lens
-        n = self.lens[numbers]
-        flat = self.flat[ragged(starts[numbers], n)]
-        per_word = np.concatenate([[0], np.cumsum(n)])
-        ends = np.cumsum(counts)
-        return flat, per_word[ends] - per_word[ends - counts]
+        return self.spread(*self.number(texts))
 
 
 @lru_cache(maxsize=2)
