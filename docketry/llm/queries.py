@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import packing, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
+from docketry.llm import packing, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -70,6 +70,11 @@ def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bounded_packing": op6_bounded_packing,
         "op7_url_filters": op7_url_filters,
         "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
