@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, chunks, whole_text, written
+from docketry.llm.common import chunks, whole_text, word_codes, written
 
 #: A line of a host is removed when more distinct texts than this hold it, and more than SHARE of the host's texts.
 MIN_TEXTS, SHARE = 10, 0.01
@@ -88,10 +88,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     types = dict(rows.dtypes)
 
     def run(batches):
-        table = WordTable()
         for part in chunks(batches, "text"):
             texts = part.column("text")
-            numbers, counts = table.number(texts)
+            numbers, _, counts = word_codes(texts)
             held = lambda signs: sum(pc.count_substring(texts, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in signs)
             chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) - held(" \t\n\x0b\x0c\r")
             lines = [_lines(x) for x in texts.cast(pa.large_binary()).to_pylist()]
