@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import packing, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
+from docketry.llm import jaccard_join, packing, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -47,6 +47,11 @@ def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_exact_topk_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_token_planes": op2_token_planes,
         "op3_min_cost_flow_resharding": op3_min_cost_flow_resharding,
+        "op4_jaccard_tiles": op4_jaccard_tiles,
         "op5_exact_topk_nra": op5_exact_topk_nra,
         "op6_bounded_packing": op6_bounded_packing,
         "op7_url_filters": op7_url_filters,
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
+        "op4_jaccard_tiles": OP4_SQL,
         "op5_exact_topk_nra": OP5_SQL,
         "op7_url_filters": OP7_SQL,
     }
@@ -162,3 +169,20 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
+"""
