@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import jaccard_join, packing, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
+from docketry.llm import jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -66,6 +66,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded by pieces, decoded from the ids alone; ids_crc32 is over little-endian 32-bit integers."""
     out = sentencepieces.encode(_table(spark, sf_dir, "documents"), decoded=True, digest=True)
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_topk_nra": op5_exact_topk_nra,
         "op6_bounded_packing": op6_bounded_packing,
         "op7_url_filters": op7_url_filters,
+        "op8_compact_windows": op8_compact_windows,
         "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
         "op10_quality_classifier": op10_quality_classifier,
     }
