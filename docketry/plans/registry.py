@@ -1,6 +1,6 @@
 """All queries of the reference's operators by name, and their SQL."""
 
-from docketry.plans import version_queries
+from docketry.plans import evaluation_queries, text_queries, version_queries
 
-QUERIES = {**version_queries.QUERIES}
-ORACLES = {**version_queries.ORACLES}
+QUERIES = {**version_queries.QUERIES, **text_queries.QUERIES, **evaluation_queries.QUERIES}
+ORACLES = {**version_queries.ORACLES, **text_queries.ORACLES, **evaluation_queries.ORACLES}
