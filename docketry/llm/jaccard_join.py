@@ -299,8 +299,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that share a component with a smaller id."""
-    spare = written(join(docs, id_col, text_col).where("component_id != id").select("id").distinct(), "near-copies")
-    keyed = docs.withColumn("id", F.col(id_col).cast("long")) if "id" not in docs.columns else docs.withColumn("__id", F.col(id_col).cast("long"))
-    name = "id" if "id" not in docs.columns else "__id"
-    ids = spare.withColumnRenamed("id", name)
-    return keyed.join(F.broadcast(ids) if spare.count() <= SENT_IDS else ids, name, "left_anti").select(*docs.columns)
+    spare = written(join(docs, id_col, text_col).where("component_id != id").select(F.col("id").alias("__copy_id")).distinct(), "near-copies")
+    ids = F.broadcast(spare) if spare.count() <= SENT_IDS else spare
+    return docs.join(ids, F.col(id_col).cast("long") == F.col("__copy_id"), "left_anti")

@@ -200,10 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return vectors, fit_network(x, np.array([r.label for r in rows], np.float64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, held_out, score and predicted of every row, with the columns keep."""
+def _scored(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """__id, __held, __score and __predicted of every row, with the columns keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or []
     rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), whole_text(text_col).alias("__text"), *keep)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
@@ -215,8 +214,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
             yield pa.RecordBatch.from_pydict(cols | {c: part.column(c) for c in keep})
 
     schema = f"__id {fields['__id']}, __held boolean, __score double" + "".join(f", `{c}` {fields[c]}" for c in keep)
-    out = rows.mapInArrow(run, schema).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
-    return out.select(F.col("__id").alias("id"), F.col("__held").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"), *keep)
+    return rows.mapInArrow(run, schema).withColumn("__predicted", (F.col("__score") >= 0.5).cast("int"))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score and predicted of every row."""
+    out = _scored(docs, model, id_col, text_col, [])
+    return out.select(F.col("__id").alias("id"), F.col("__held").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
@@ -224,7 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, **names) -> DataFrame:
     return score(docs, train(docs, labels, **names), **{k: v for k, v in names.items() if k in ("id_col", "text_col")})
 
 
-def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that are predicted to be of quality."""
-    scored = score(docs, train(docs, labels), keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = _scored(docs, train(docs, labels, id_col, text_col), id_col, text_col, docs.columns)
+    return scored.where("__predicted = 1").select(*docs.columns)

@@ -165,8 +165,9 @@ def without_lines(text: F.Column, removed: F.Column) -> F.Column:
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The kept rows of docs with all their columns, their over-frequent lines removed from the text."""
-    verdicts = judge(docs, id_col, text_col, host_col, **limits)
-    verdicts = verdicts.groupBy("host", "text_hash").agg(F.first("kept").alias("kept"), F.first("removed").alias("removed"))
+    judged = judge(docs, id_col, text_col, host_col, **limits).where("kept")
+    verdicts = judged.groupBy("host", "text_hash").agg(F.first("removed").alias("__removed"))
+    verdicts = verdicts.select(F.col("host").alias("__host"), F.col("text_hash").alias("__verdict_hash"), "__removed")
     keyed = docs.withColumn("__text_hash", F.xxhash64(whole_text(text_col)))
-    out = keyed.join(verdicts.where("kept"), F.col(host_col).eqNullSafe(F.col("host")) & (F.col("__text_hash") == F.col("text_hash")))
-    return out.select(*[without_lines(F.col(c), F.col("removed")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    out = keyed.join(verdicts, F.col(host_col).eqNullSafe(F.col("__host")) & (F.col("__text_hash") == F.col("__verdict_hash")))
+    return out.select(*[without_lines(F.col(c), F.col("__removed")).alias(c) if c == text_col else F.col(c) for c in docs.columns])

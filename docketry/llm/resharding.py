@@ -135,7 +135,7 @@ def reshard(
     Rows of shards that keep all their blocks, and no more, are read from docs; the rest from the new files.
     """
     spark, folder = docs.sparkSession, folder or scratch(docs.sparkSession, "shards")
-    rows = digests(docs, old_shard, id_col, text_col)
+    rows = digests(docs, old_shard, id_col, text_col).drop("shard", "slot")
     small = written(rows.select("__old", "__size", "__key"), "shard-sizes")
     blocks, summary = plan(small, old_shards, new_shards, cost)
     places = spark.createDataFrame(blocks, "__old int, __block int, shard int, __first long")
