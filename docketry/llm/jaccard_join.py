@@ -30,8 +30,8 @@ from docketry.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A shingle is common if it is in more documents than COMMON_LEAST and than a COMMON_SHARE-th of them; so at most
-#: COMMON_SHARE times the mean set size are. It is looked for where a chunk of texts has it COMMON_CHUNK times.
-COMMON_LEAST, COMMON_SHARE, COMMON_CHUNK = 48, 20_000, 6
+#: COMMON_SHARE times the mean set size are. It is looked for where COUNTED shingles of a task have it COMMON_SEEN times.
+COMMON_LEAST, COMMON_SHARE, COMMON_SEEN, COUNTED = 48, 20_000, 4, 4_000_000
 #: Ids up to this count are sent to all tasks (8 bytes each) to pick documents; more are joined by key.
 SENT_IDS = 4_000_000
 #: Nodes of one side of a tile.
@@ -93,17 +93,26 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """(id, node, n) of every row, and in rows marked common (shingle as node, count as n) what chunks have often."""
+    """(id, node, n) of every row, and in rows marked common (shingle as node, count as n) what tasks have often."""
+
+    def often(held):
+        found, count = np.unique(np.concatenate(held), return_counts=True)
+        found, count = found[count >= COMMON_SEEN], count[count >= COMMON_SEEN]
+        k = len(found)
+        yield pa.RecordBatch.from_pydict({"id": pa.nulls(k, pa.int64()), "node": found.view(np.int64), "n": count.astype(np.int64), "common": pa.array([True] * k, pa.bool_())})
 
     def run(batches):
+        held, size = [], 0
         for part, sets in shingle_sets(batches, "text"):
             n = [len(x) for x in sets]
             yield pa.RecordBatch.from_pydict({"id": part.column("id"), "node": pa.array([_name(x) if len(x) else None for x in sets], pa.int64()), "n": pa.array(n, pa.int64()), "common": pa.array([False] * len(n))})
-            found, count = np.unique(np.concatenate(sets), return_counts=True)
-            often = count >= COMMON_CHUNK
-            if often.any():
-                k = int(often.sum())
-                yield pa.RecordBatch.from_pydict({"id": pa.nulls(k, pa.int64()), "node": found[often].view(np.int64), "n": count[often].astype(np.int64), "common": pa.array([True] * k)})
+            held += sets
+            size += sum(n)
+            if size >= COUNTED:
+                yield from often(held)
+                held, size = [], 0
+        if held:
+            yield from often(held)
 
     return rows.mapInArrow(run, "id long, node long, n long, common boolean")
 
@@ -114,7 +123,10 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, rep, n, bits, keys) of each row that has shingles. A key holds a shingle's hash and, low, the band."""
+    """(node, rep, n, bits, narrow, keys) of each row that has shingles. A key holds a shingle's hash and, low, the band.
+
+    narrow is the bitmap in NARROW bits, for tiles, whose rows are many.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -132,12 +144,14 @@ def _keyed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 take = n - -(-round(100 * THRESHOLD) * n // 100) + 1
                 first = own[np.lexsort((own, order))[:take]] if len(often) else own[:take]
                 keys = mixed(first.copy()) & ~np.uint64(63) | band(np.array(n))
-                out.append((_name(own), rep, n, bitmap(own).tobytes(), keys.view(np.int64)))
+                bits = bitmap(own)
+                out.append((_name(own), rep, n, bits.tobytes(), folded(bits).tobytes(), keys.view(np.int64)))
             if out:
                 cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.list_(pa.int64()))], names=["node", "rep", "n", "bits", "keys"])
+                kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "rep", "n", "bits", "narrow", "keys"])
 
-    return rows.mapInArrow(run, "node long, rep long, n long, bits binary, keys array<long>")
+    return rows.mapInArrow(run, "node long, rep long, n long, bits binary, narrow binary, keys array<long>")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -218,7 +232,7 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     labelled = members.select(F.shiftright("key", 6).alias("key"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
     rows = labelled.join(mixed_keys.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("grid")), "key")
-    rows = rows.join(nodes.select("node", "n", "bits"), "node")
+    rows = rows.join(nodes.select("node", "n", F.col("narrow").alias("bits")), "node")
     own = F.pmod(F.col("node"), F.col("grid")).cast("int")
     rows = rows.select("key", "node", "root", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "root", "n", "bits")
@@ -252,7 +266,7 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "u", "own", "node", "root", "n")]
-            cols.append(np.stack([folded(np.frombuffer(x, np.uint64)) for x in batch.column("bits").to_pylist()]))
+            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -294,7 +308,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     known = joined.join(least, "root").select("node", "component_id")
     out = every.join(known, "node", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

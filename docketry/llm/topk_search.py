@@ -21,56 +21,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, ROWS, QUERIES, SALTS = 256, 8192, 512, 8
+SCALE, ROWS, QUERIES, SALTS = 256, 8192, 256, 8
 _NO_ID = np.iinfo(np.int64).max
 
 
 class SortedLists:
-    """The rows of one block with a sorted list for each dimension."""
+    """The rows of one block with a sorted list for each dimension, read from either end.
+
+    Queries advance together, by depth: what a list has given at a depth is the same for all queries that read it
+    from one end, so bounds of many queries are sums over two masks of read entries.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy() if rows.size else np.empty((0, len(rows)), np.int64)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows, but for those with the id own."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        others = self.ids != own
-        if not len(used) or n <= 4 * k:
-            return self._resolved(np.flatnonzero(others), query, k)
-        lists = [self.order[d][::-1] if query[d] > 0 else self.order[d] for d in used]
-        weight = query[used]
-        worst = np.array([w * self.rows[x[-1], d] for w, x, d in zip(weight, lists, used)], np.float64)
-        read, seen_worst = np.zeros(n), np.zeros(n)
-        seen = np.zeros((n, len(used)), np.float32)
-        depth, step = 0, max(k, n // 16)
-        while depth < n:
-            to = min(n, depth + step)
-            for c, (w, x, d) in enumerate(zip(weight, lists, used)):
-                at = x[depth:to]
-                read[at] += w * self.rows[at, d]
-                seen_worst[at] += worst[c]
-                seen[at, c] = 1
-            depth, step = to, to
-            last = np.array([w * self.rows[x[depth - 1], d] for w, x, d in zip(weight, lists, used)], np.float64)
-            lower = read + worst.sum() - seen_worst
-            upper = read + last.sum() - seen @ last
-            inside = lower[others]
-            if len(inside) <= k:
+        self.ids, self.rows, self.values = ids, rows, rows.astype(np.float64)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.values, order, axis=0)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(rows))[:, None], order.shape), axis=0)
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and exact scores of its k best rows, but for those with its own id."""
+        n, out = len(self.ids), [None] * len(queries)
+        active, depth = np.arange(len(queries)), max(4 * k, n // 16)
+        while len(active):
+            if depth >= n or n <= 4 * k:
+                scores = self.values @ queries[active].T.astype(np.float64)
+                for c, q in enumerate(active):
+                    at = np.flatnonzero((self.ids != own[q]) & (scores[:, c] >= self._kth(scores[:, c], own[q], k)))
+                    out[q] = self._resolved(at, queries[q], k)
                 break
-            kth = np.partition(inside, len(inside) - k)[len(inside) - k]
-            slack = 1e-6 * (1 + np.abs(last).sum())
-            able = np.flatnonzero(others & (upper >= kth - slack))
-            if len(able) <= max(8 * k, n // 8) or depth == n:
-                return self._resolved(able, query, k)
-        return self._resolved(np.flatnonzero(others), query, k)
+            lower, upper = self._bounds(queries[active].astype(np.float64), depth)
+            going = []
+            for c, q in enumerate(active):
+                slack = 1e-9 * (1 + np.abs(upper[:, c]).max())
+                able = np.flatnonzero((self.ids != own[q]) & (upper[:, c] >= self._kth(lower[:, c], own[q], k) - slack))
+                if len(able) <= max(8 * k, n // 8):
+                    out[q] = self._resolved(able, queries[q], k)
+                else:
+                    going.append(q)
+            active, depth = np.array(going, np.int64), 4 * depth
+        return out
+
+    def _kth(self, scores: np.ndarray, own: int, k: int) -> float:
+        """The k-th best of the scores of rows with another id; below all where there are fewer."""
+        others = scores[self.ids != own]
+        return np.partition(others, len(others) - k)[len(others) - k] if len(others) >= k else -np.inf
+
+    def _bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of all rows' scores for all queries when every list has given depth entries."""
+        n, lower, upper = len(self.ids), 0.0, 0.0
+        for weight, read, last, worst in (
+            (np.maximum(queries, 0), self.rank >= n - depth, self.sorted[n - depth], self.sorted[0]),
+            (np.minimum(queries, 0), self.rank < depth, self.sorted[depth - 1], self.sorted[-1]),
+        ):
+            known = np.where(read, self.values, 0.0) @ weight.T
+            unread = (~read).astype(np.float64)
+            lower = lower + known + unread @ (weight * worst).T
+            upper = upper + known + unread @ (weight * last).T
+        return lower, upper
 
     def _resolved(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         scores = self.rows[at] @ query
-        if len(at) > 4 * k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            at, scores = at[scores >= kth], scores[scores >= kth]
         best = np.lexsort((self.ids[at], -scores))[:k]
         return self.ids[at[best]], scores[best]
 
@@ -127,10 +138,9 @@ def search(
                 dim = row.column("dim")[0].as_py()
                 ids = np.frombuffer(row.column("ids")[0].as_py(), "<i8")
                 lists = SortedLists(ids, np.frombuffer(row.column("data")[0].as_py(), "<i8").reshape(len(ids), dim))
-                out = []
-                for x in row.column("rows")[0].as_py():
-                    found, scores = lists.top(np.array(x["vector"], np.int64), x["id"], k)
-                    out += [(x["id"], v, s) for v, s in zip(found.tolist(), scores.tolist())]
+                asked = row.column("rows")[0].as_py()
+                vectors, own = np.array([x["vector"] for x in asked], np.int64).reshape(len(asked), dim), np.array([x["id"] for x in asked], np.int64)
+                out = [(q, v, s) for q, (found, scores) in zip(own.tolist(), lists.top(vectors, own, k)) for v, s in zip(found.tolist(), scores.tolist())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
