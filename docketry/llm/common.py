@@ -76,7 +76,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 
 def _lengths(col: pa.Array) -> np.ndarray:
-    return pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:

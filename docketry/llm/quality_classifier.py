@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,15 +86,18 @@ def _context_sums(docs: DataFrame) -> np.ndarray:
                         np.add.at(sums, a[s], index[b[s]] * n[s, None])
                         np.add.at(sums, b[s], index[a[s]] * n[s, None])
         for k in range(0, PLACES, SLICE):
-            if sums[k : k + SLICE].any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "sums": [sums[k : k + SLICE].tobytes()]})
+            at = np.flatnonzero(sums[k : k + SLICE].any(axis=1))
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "at": [at.astype(np.uint16).tobytes()], "sums": [sums[k + at].tobytes()]})
 
     def add(pdf):
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["sums"])
+        total = np.zeros((SLICE, WIDTH))
+        for at, raw in zip(pdf["at"], pdf["sums"]):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(raw, np.float32).reshape(-1, WIDTH)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "sums": [total.astype(np.float32).tobytes()]})
 
     out = np.zeros((PLACES, WIDTH), np.float32)
-    for k, raw in docs.mapInArrow(run, "k int, sums binary").groupBy("k").applyInPandas(add, "k int, sums binary").collect():
+    for k, raw in docs.mapInArrow(run, "k int, at binary, sums binary").groupBy("k").applyInPandas(add, "k int, sums binary").collect():
         out[k : k + SLICE] = np.frombuffer(raw, np.float32).reshape(-1, WIDTH)
     return out
 
@@ -104,6 +108,22 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return (sums / np.maximum(length, 1e-9)).astype(np.float32)
 
 
+def _sums(doc: np.ndarray, place: np.ndarray, n: np.ndarray, docs: int, vectors: np.ndarray) -> np.ndarray:
+    """For each document the sum of n times its places' vectors, in blocks of whole documents.
+
+    A document has each place once, so PLACES rows at most.
+    """
+    out = np.zeros((docs, WIDTH))
+    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, np.int64)
+    bounds, at = np.append(starts, len(doc)), 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PLACES, side="right")) - 1)
+        rows = slice(bounds[at], bounds[stop])
+        out[doc[starts[at:stop]]] = np.add.reduceat(vectors[place[rows]] * n[rows, None], starts[at:stop] - bounds[at], axis=0)
+        at = stop
+    return out
+
+
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """For each text the means of its words' and shapes' vectors, and how much it repeats its words.
 
@@ -111,14 +131,17 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     equal the word two before, and of distinct words.
     """
     codes, words, counts = word_codes(texts)
-    own, by_shape = places(words.to_pylist())
-    table = np.concatenate([vectors[own], vectors[by_shape]], axis=1) if len(words) else np.zeros((0, 2 * WIDTH), np.float32)
-    out, ends = np.zeros((len(counts), FEATURES), np.float32), np.cumsum(counts)
-    for i, (n, end) in enumerate(zip(counts.tolist(), ends.tolist())):
-        if n:
-            text = codes[end - n : end]
-            out[i, : 2 * WIDTH] = table[text].mean(axis=0)
-            out[i, 2 * WIDTH :] = (np.count_nonzero(text[1:] == text[:-1]) / n, np.count_nonzero(text[2:] == text[:-2]) / n, len(np.unique(text)) / n)
+    codes, docs = codes.astype(np.int64), len(counts)
+    doc, out = np.repeat(np.arange(docs), counts), np.zeros((docs, FEATURES), np.float32)
+    per_word = 1 / np.maximum(counts, 1)
+    for k, kind in enumerate(places(words.to_pylist())):
+        pair, n = np.unique(doc * PLACES + kind[codes], return_counts=True)
+        out[:, k * WIDTH : (k + 1) * WIDTH] = _sums(pair // PLACES, pair % PLACES, n, docs, vectors) * per_word[:, None]
+    for step in (1, 2):
+        same = (codes[step:] == codes[:-step]) & (doc[step:] == doc[:-step])
+        out[:, 2 * WIDTH + step - 1] = np.bincount(doc[step:][same], minlength=docs) * per_word
+    distinct = np.unique(doc * max(1, len(words)) + codes) // max(1, len(words))
+    out[:, 2 * WIDTH + 2] = np.bincount(distinct, minlength=docs) * per_word
     return out
 
 
@@ -201,15 +224,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """__id, __held, __score and __predicted of every row, with the columns keep."""
+    """__id, __held, __score and __predicted of every row, with the columns keep; a kept text crosses to Python once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), whole_text(text_col).alias("__text"), *keep)
+    kept_text = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    text, own = (text_col, []) if kept_text else ("__text", [whole_text(text_col).alias("__text")])
+    rows = docs.select(F.col(id_col).alias("__id"), held_out(id_col).alias("__held"), *own, *keep)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
         vectors, net = sent.value
-        for part in chunks(batches, "__text"):
-            scores = net.scores(pooled(part.column("__text"), vectors))
+        for part in chunks(batches, text):
+            scores = net.scores(pooled(pc.fill_null(part.column(text), ""), vectors))
             cols = {"__id": part.column("__id"), "__held": part.column("__held"), "__score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_pydict(cols | {c: part.column(c) for c in keep})
 
