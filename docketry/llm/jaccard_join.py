@@ -7,8 +7,9 @@
 3. In each key's band of sizes (a band spans a factor of 1 / t) every node is compared with one pivot, and the
    components of those links are found. Large groups of copies melt into one component here, without all pairs.
 4. Tiles: nodes that share a key and lie in different components are compared all the same, in tiles of bounded
-   size. Each node has a bitmap: the parity of its shingles in hashed bits. The bits in which two bitmaps differ
-   bound the sets' difference from below, so the overlap from above; pairs that cannot reach t are dropped.
+   size; of keys that exactly the same nodes share, one is enough. Each node has a bitmap: the parity of its shingles
+   in hashed bits, about as many as it has shingles. The bits in which two bitmaps differ bound the sets' difference
+   from below, so the overlap from above; pairs that cannot reach t are dropped.
 5. The pairs that are left are verified by intersecting the sorted arrays of shingle hashes.
 No link between different sets is lost: each linked pair shares a key, and is compared unless already connected.
 
@@ -45,15 +46,15 @@ def band(n: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """The parity of a set's hashes in NARROW bits, or in WIDE bits for a large set."""
-    bits = WIDE if len(hashes) > NARROW else NARROW
+    """The parity of a set's hashes, in NARROW bits or in more for a large set, up to WIDE: a power of two."""
+    bits = min(WIDE, max(NARROW, 1 << max(0, len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    """A wide bitmap as a narrow one: a bit's place is its hash modulo the width, so parities add up."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, NARROW // 64), axis=0)
+def folded(bits: np.ndarray, words: int = NARROW // 64) -> np.ndarray:
+    """A wide bitmap as one of fewer 64-bit words: a bit's place is its hash modulo the width, so parities add up."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
 def reachable(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -123,10 +124,7 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, rep, n, bits, narrow, keys) of each row that has shingles. A key holds a shingle's hash and, low, the band.
-
-    narrow is the bitmap in NARROW bits, for tiles, whose rows are many.
-    """
+    """(node, rep, n, bits, keys) of each row that has shingles. A key holds a shingle's hash and, low, the band."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -144,14 +142,13 @@ def _keyed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 take = n - -(-round(100 * THRESHOLD) * n // 100) + 1
                 first = own[np.lexsort((own, order))[:take]] if len(often) else own[:take]
                 keys = mixed(first.copy()) & ~np.uint64(63) | band(np.array(n))
-                bits = bitmap(own)
-                out.append((_name(own), rep, n, bits.tobytes(), folded(bits).tobytes(), keys.view(np.int64)))
+                out.append((_name(own), rep, n, bitmap(own).tobytes(), keys.view(np.int64)))
             if out:
                 cols = list(zip(*out))
-                kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "rep", "n", "bits", "narrow", "keys"])
+                kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "rep", "n", "bits", "keys"])
 
-    return rows.mapInArrow(run, "node long, rep long, n long, bits binary, narrow binary, keys array<long>")
+    return rows.mapInArrow(run, "node long, rep long, n long, bits binary, keys array<long>")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -199,7 +196,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b"))
-            differ = np.fromiter((int(np.bitwise_count((p if len(p) == len(q) else folded(p)) ^ (q if len(p) == len(q) else folded(q))).sum()) for p, q in zip(x, y)), np.int64, len(x))
+            least = (min(len(p), len(q)) for p, q in zip(x, y))
+            differ = np.fromiter((int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) for p, q, w in zip(x, y, least)), np.int64, len(x))
             n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             yield batch.select(["a", "b"]).filter(pa.array(reachable(n, m, differ), pa.bool_()))
 
@@ -230,17 +228,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
 def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a key, differ in component, and may have the threshold by bitmap."""
     labelled = members.select(F.shiftright("key", 6).alias("key"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    rows = labelled.join(mixed_keys.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("grid")), "key")
-    rows = rows.join(nodes.select("node", "n", F.col("narrow").alias("bits")), "node")
+    nodes_of = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
+    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), *nodes_of).where("lo != hi")
+    # keys of one set of nodes (by its 128-bit signature) give the same pairs
+    used = mixed_keys.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
+    rows = labelled.join(used.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("grid")), "key")
+    rows = rows.join(nodes.select("node", "n", "bits"), "node")
     own = F.pmod(F.col("node"), F.col("grid")).cast("int")
     rows = rows.select("key", "node", "root", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
     rows = rows.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "root", "n", "bits")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
 
+    def by_width(bits):
+        """For each width that occurs, in 64-bit words: rows' places in a matrix of the bitmaps of that width or more."""
+        words, out = np.fromiter((len(x) // 8 for x in bits), np.int64, len(bits)), {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words >= w)
+            matrix = np.stack([folded(np.frombuffer(bits[i], np.uint64), w) for i in own])
+            place = np.full(len(bits), -1)
+            place[own] = np.arange(len(own))
+            out[w] = place, matrix
+        return words, out
+
+    def near(p, q, n, words, matrices):
+        """Which of the pairs of rows p and q may have the threshold, by the widest bitmaps that both have."""
+        keep, width = np.zeros(len(p), bool), np.minimum(words[p], words[q])
+        for w, (place, matrix) in matrices.items():
+            own = np.flatnonzero(width == w)
+            for s in range(0, len(own), 1 << 13):
+                part = own[s : s + (1 << 13)]
+                x, y = p[part], q[part]
+                differ = np.bitwise_count(matrix[place[x]] ^ matrix[place[y]]).sum(axis=1, dtype=np.int64)
+                keep[part] = reachable(n[x], n[y], differ)
+        return keep
+
     def tile(cols):
         key, t, u, own, node, root, n, bits = cols
+        words, matrices = by_width(bits)
         change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
         end = np.repeat(np.concatenate([change, [len(key)]]), np.diff(np.concatenate([[0], change, [len(key)]])))
         at, step = np.arange(len(key)), 1
@@ -251,12 +276,10 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
             i, j = i[keep], j[keep]
             keep = 100 * np.minimum(n[i], n[j]) >= round(100 * THRESHOLD) * np.maximum(n[i], n[j])
             i, j = i[keep], j[keep]
-            for s in range(0, len(i), 1 << 16):
-                p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                near = reachable(n[p], n[q], np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64))
-                if near.any():
-                    x, y = node[p[near]], node[q[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            keep = near(i, j, n, words, matrices)
+            if keep.any():
+                x, y = node[i[keep]], node[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
             step += 1
             at = at[end[at] > at + step]
 
@@ -266,7 +289,7 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "u", "own", "node", "root", "n")]
-            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            cols.append(np.array(batch.column("bits").to_pylist(), object))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -300,7 +323,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     pivots = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     first = written(_verified(written(_bounded(pivots, nodes), "pairs"), nodes, rows), "links")
-    tiles = written(_bounded(_tiled(members, nodes, components(first)), nodes), "pairs")
+    tiles = written(_tiled(members, nodes, components(first)), "pairs")
     second = written(_verified(tiles, nodes, rows), "links")
     drop_path(spark, members_path)
     roots = components(first.union(second))
