@@ -6,14 +6,14 @@ Cartesian tree over the positions that are least in some run of that length; nea
 and right bound them. Runs that are alike have the same least shingle under most hash functions.
 
 1. Texts that are equal are one text; later copies are passages as a whole.
-2. For HASHES functions, windows are keyed by their least shingle. Within a key, sorted by what stands beside it,
-   each window is paired with the first one that has the same neighbour, and each of those with the key's first.
+2. For HASHES functions, windows are keyed by their least shingle. Within a key each window is paired with the one of
+   the least id that has the same neighbour, and each of those with the one of the key's least id.
 3. Interval join: pairs of two documents whose windows overlap in both, at about one distance, under at least ENOUGH
    functions, make a candidate region.
 4. Candidates are verified on their words: maximal passages of at least WORDS words whose shingles have the Jaccard
    similarity THRESHOLD. The document with the smaller id keeps its passage.
-Keys that a sample shows to be frequent are dealt over SALTS tasks, whose first windows are then paired; the sample
-only decides how rows are dealt.
+Keys that a sample shows to be frequent are dealt over SALTS tasks; first windows are least over all tasks, so the
+sample only decides how rows are dealt, not which are paired.
 
 Edge cases: null, empty and short texts have no passages; rows without an id are left out; rows that share an id and
 a text are one; an empty table gives no rows; extra columns are ignored; a text of any length is used whole.
@@ -129,40 +129,49 @@ def _frequent_keys(rows: DataFrame, total: int) -> list[int]:
     return [r[0] for r in found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n")).limit(20_000).collect()]
 
 
-def _paired(windows: DataFrame, salted: bool) -> DataFrame:
-    """(a, b, place_a, place_b) of paired windows, a < b; and, if salted, each group's first window as a = b."""
-    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = [F.shiftright("key", 16), "salt"] if salted else [F.shiftright("key", 16)]
-    rows = windows.repartition(n, *group).sortWithinPartitions(*(["salt"] if salted else []), "key", "id", "place")
-    cols = ["key", "id", "place"] + ["salt"] * salted
+def _met(dealt: DataFrame) -> DataFrame:
+    """(key, id, place, salt): windows whose least shingle another window has too, and all windows of frequent keys.
+
+    dealt has a salt: -1, or for frequent keys the task that a window is dealt to.
+    """
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = ["key", "id", "place", "salt"]
+    rows = dealt.select(*cols).repartition(n, F.shiftright("key", 16), "salt").sortWithinPartitions("key")
 
     def run(batches):
-        last = None  # key, salt, first window of the key, first window with the neighbour
+        held, met = None, False  # the last row, not yet given out, and whether the row before it has its shingle
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "place"))
-            salt = batch.column("salt").to_numpy(zero_copy_only=False) if salted else np.zeros(len(key), np.int64)
-            if last is not None:
-                key, node, place, salt = (np.concatenate([x, y]) for x, y in zip(last, (key, node, place, salt)))
-            at = np.arange(len(key))
-            new = np.concatenate([[True], (key[1:] >> 16 != key[:-1] >> 16) | (salt[1:] != salt[:-1])])
-            sub = new | np.concatenate([[True], key[1:] != key[:-1]])
-            head, subhead = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(sub, at, 0))
-            other = np.where(sub, head, subhead)
-            old = 0 if last is None else len(last[0])
-            i, j = at[old:], other[old:]
-            keep = node[i] != node[j]
-            i, j = i[keep], j[keep]
-            swap = node[i] < node[j]
-            a, b = np.where(swap, i, j), np.where(swap, j, i)
-            firsts = at[old:][new[old:] & (salt[old:] >= 0)] if salted else at[:0]
-            a, b = np.concatenate([a, firsts]), np.concatenate([b, firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[b], node[a], node[b], place[a], place[b])], names=["key", "a", "b", "place_a", "place_b"])
-            tail = np.unique([head[-1], subhead[-1]])
-            last = [x[tail] for x in (key, node, place, salt)]
-
-    return rows.select(*cols).mapInArrow(run, "key long, a long, b long, place_a long, place_b long")
+            table = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
+            if held is not None:
+                table = [np.concatenate(x) for x in zip(held, table)]
+            same = table[0][1:] >> 16 == table[0][:-1] >> 16
+            give = (np.concatenate([[met], same]) | np.concatenate([same, [False]]) | (table[3] >= 0))[:-1]
+            if give.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][give]) for x in table], names=cols)
+            held, met = [x[-1:] for x in table], bool(same[-1]) if len(same) else met
+        if held is not None and (met or held[3][0] >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=cols)
+
+    return rows.mapInArrow(run, "key long, id long, place long, salt long")
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """(a, b, place_a, place_b), a < b: each window with the least of its full key, and those with the least of the shingle.
+
+    The least are the same however rows are dealt: they are partial minima, summed before they are shuffled.
+    """
+    full = met.groupBy("key").agg(F.min(F.struct("id", "place")).alias("own"))
+    least = full.groupBy(F.shiftright("key", 16).alias("short")).agg(F.min("own").alias("top"))
+    heads = full.join(least, F.shiftright("key", 16) == F.col("short")).select("key", "own", "top")
+    sent = met.select("key", "salt").distinct().join(heads, "key")
+    rows = met.join(sent, ["key", "salt"])
+    first = (F.col("id") == F.col("own.id")) & (F.col("place") == F.col("own.place"))
+    rows = rows.withColumn("head", F.when(first, F.col("top")).otherwise(F.col("own"))).where("id != head.id")
+    own, head = F.struct("id", "place"), F.struct("head.id", "head.place")
+    rows = rows.select(F.least(own, head).alias("x"), F.greatest(own, head).alias("y"))
+    return rows.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.place").alias("place_a"), F.col("y.place").alias("place_b"))
 
 
 def _regions(pairs: DataFrame) -> DataFrame:
@@ -303,14 +312,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     frequent = _frequent_keys(texts, total)
     windows = _windows(texts)
     hot = F.shiftright("key", 16).isin(frequent) if len(frequent) <= 200 else F.array_contains(F.array(*[F.lit(k) for k in frequent]), F.shiftright("key", 16))
-    if frequent:
-        dealt = windows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1).cast("long"))
-        paired, path = written_path(_paired(dealt, True), "window-pairs")
-        heads = paired.where("a = b").select("key", F.col("a").alias("id"), F.col("place_a").alias("place"))
-        pairs = paired.where("a != b").drop("key").union(_paired(heads, False).drop("key"))
-    else:
-        paired, path = written_path(_paired(windows, False), "window-pairs")
-        pairs = paired.drop("key")
+    salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1) if frequent else F.lit(-1)
+    met, path = written_path(_met(windows.withColumn("salt", salt.cast("long"))), "windows")
+    pairs = _paired(met)
     regions = written(_regions(pairs), "regions")
     drop_path(spark, path)
     found = _verified(regions, texts).distinct()

@@ -368,6 +368,36 @@ def test_passages_against_all_windows(spark, odd, empty):
     assert passages.find(empty).count() == 0
 
 
+def _covered(found) -> dict[int, set]:
+    got: dict[int, set] = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    return got
+
+
+def test_passages_do_not_depend_on_salts(spark, monkeypatch):
+    """Holders of passages behind one common phrase give the same pairs of windows, dealt over salts or not."""
+    rng = random.Random(8)
+    phrase = text(rng, 5)
+    shared = [f"{text(rng, 25)} {phrase} {text(rng, 30)}" for _ in range(6)]
+    rows = [(k, f"{text(rng, 20)} {shared[k % 6]} {text(rng, 20)}") for k in range(36)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    regions, pairs = passages._regions, []
+
+    def kept(found):
+        pairs.append({tuple(r) for r in found.select("a", "b", "place_a", "place_b").collect()})
+        return regions(found)
+
+    monkeypatch.setattr(passages, "_regions", kept)
+    monkeypatch.setattr(passages, "FREQUENT", 1 << 40)
+    passages.find(frame)
+    plain, pairs[:] = pairs[0], []
+    monkeypatch.setattr(passages, "FREQUENT", 2)
+    monkeypatch.setattr(passages, "SALTS", 16)
+    passages.find(frame)
+    assert len(plain) > 100 and pairs[0] == plain
+
+
 def test_compact_windows_hold_every_run_once():
     rng = np.random.default_rng(2)
     for lengths in ([40, 0, 9, 25], [10], [9], [100]):
