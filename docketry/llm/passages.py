@@ -12,6 +12,9 @@ and right bound them. Runs that are alike have the same least shingle under most
    functions, make a candidate region.
 4. Candidates are verified on their words: maximal passages of at least WORDS words whose shingles have the Jaccard
    similarity THRESHOLD. The document with the smaller id keeps its passage.
+5. Windows that no passage found so far covers are compared with all windows of their key, in tiles of bounded size,
+   by the shingles around them; what may share a passage goes through 3 and 4 again. So a first window that has the
+   key but not the passage costs no other pair.
 Keys that a sample shows to be frequent are dealt over SALTS tasks; first windows are least over all tasks, so the
 sample only decides how rows are dealt, not which are paired.
 
@@ -39,6 +42,9 @@ HASHES, ENOUGH = 4, 2
 #: How far the distance between two documents' positions may move within a region.
 DRIFT = 12
 SALTS, SAMPLED, FREQUENT = 32, 200_000, 24
+#: Windows of one side of a tile; bits that stand for the shingles around a window, and how many two windows of a
+#: passage have in common at least: its 46 shingles at a similarity of 0.8 share 41, less what falls on one bit.
+TILE, CONTEXT, NEAR = 4096, 512, 30
 #: A window's extent on either side of its least shingle, in the packed row: longer ones are cut, which loses no
 #: region, since the windows beside them go on.
 REACH = (1 << 13) - 1
@@ -174,6 +180,130 @@ def _paired(met: DataFrame) -> DataFrame:
     return rows.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.place").alias("place_a"), F.col("y.place").alias("place_b"))
 
 
+def _open(met: DataFrame, found: DataFrame) -> DataFrame:
+    """met with open: whether no passage found in the window's document holds its least shingle."""
+    spans = found.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    c = F.shiftright("place", 30)
+    inside = F.exists("spans", lambda x: (c >= x["start_word"]) & (c + SHINGLE <= x["start_word"] + x["n_words"]))
+    return met.join(spans, "id", "left").select("key", "id", "place", "salt", (~F.coalesce(inside, F.lit(False))).alias("open"))
+
+
+def fewest_distinct(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least count of distinct values in a run of RUN values that holds c and lies in [first, last]; RUN if there is none."""
+    order = np.argsort(h, kind="stable")
+    before = np.full(len(h), -1)
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    before[order[same + 1]] = order[same]
+    again = before >= np.maximum(0, np.arange(len(h)) - RUN + 1)
+    upto, out = np.concatenate([[0], np.cumsum(again)]), np.full(len(c), RUN)
+    some = np.flatnonzero(upto[np.minimum(last, c + RUN - 1) + 1] > upto[np.maximum(first, c - RUN + 1)])
+    for k in range(0, len(some), 1 << 12):
+        at = some[k : k + (1 << 12)]
+        for s in range(RUN):
+            start = c[at] - s
+            fits = (start >= first[at]) & (start + RUN - 1 <= last[at])
+            own, start = at[fits], start[fits]
+            out[own] = np.minimum(out[own], (before[start[:, None] + np.arange(RUN)] < start[:, None]).sum(axis=1))
+    return out
+
+
+def contexts(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each centre c, the shingles less than RUN away, inside [first, last], as set bits of CONTEXT // 64 words."""
+    out = np.empty((len(c), CONTEXT // 64), np.uint64)
+    for k in range(0, len(c), 1 << 13):
+        part = slice(k, k + (1 << 13))
+        at = np.clip(c[part, None] + np.arange(1 - RUN, RUN), first[part, None], last[part, None])
+        bits = np.zeros((len(at), CONTEXT), np.uint8)
+        bits[np.arange(len(at))[:, None], (h[at] >> np.uint64(20) & np.uint64(CONTEXT - 1)).astype(np.int64)] = 1
+        out[part] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def _described(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """asked (key, id, place, open, grid) with need and bits: what stands around each window, from the texts."""
+    cols = ["key", "place", "open", "grid"]
+    joined = rows.join(asked.groupBy("id").agg(F.collect_list(F.struct(*cols)).alias("asked")), "id").select("id", "text", "asked")
+
+    def run(batches):
+        table = WordTable(hash_words)
+        for part in chunks(batches, "text"):
+            numbers, counts = table.number(part.column("text"), lower=True)
+            h, n = shingle_hashes(table.filled()[numbers], counts, SHINGLE)
+            lists = part.column("asked")
+            per, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+            key, place, open_, grid = (flat.field(x).to_numpy(zero_copy_only=False) for x in cols)
+            doc = np.repeat(np.arange(len(per)), per)
+            first = (np.cumsum(n) - n)[doc]
+            last, c = first + n[doc] - 1, first + (place >> 30)
+            # an id may have several texts; a window of another one may lie beyond this one's end
+            used = np.flatnonzero(c <= last)
+            first, last, c = first[used], last[used], c[used]
+            bits = contexts(h, c, first, last)
+            need = np.maximum(1, np.minimum(NEAR, fewest_distinct(h, c, first, last) * NEAR // RUN))
+            ids = part.column("id").to_numpy(zero_copy_only=False)[doc[used]]
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT // 8), len(c), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
+            made = [pa.array(key[used]), pa.array(ids), pa.array(place[used]), pa.array(open_[used].astype(bool)), pa.array(grid[used]), pa.array(need), raw]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "place", "open", "grid", "need", "bits"])
+
+    return joined.mapInArrow(run, "key long, id long, place long, open boolean, grid int, need long, bits binary")
+
+
+def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, place_a, place_b), a < b: all pairs of windows of one least shingle, b's open, with much alike around them.
+
+    Keys are compared in tiles of about TILE windows a side. A passage that two windows share has RUN shingles or more
+    that hold both centres, so NEAR of the shingles around are common to both (fewer where words repeat: need).
+    """
+    short = F.shiftright("key", 16).alias("short")
+    of_key = met.groupBy(short).agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max(F.when(F.col("open"), F.col("id"))).alias("hi")).where("hi > lo")
+    sizes = met.select(short, "salt").distinct().join(of_key, "short").select("short", "salt", F.ceil(F.col("m") / TILE).cast("int").alias("grid"))
+    asked = met.withColumn("short", short).join(sizes, ["short", "salt"]).select(F.col("short").alias("key"), "id", "place", "open", "grid")
+    own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
+    dealt = _described(asked, rows).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "id", "place", "open", "need", "bits")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
+    names = ["key", "t", "u", "own", "id", "place", "open", "need"]
+
+    def tile(cols):
+        key, t, u, own, node, place, open_, need, bits = cols
+        change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
+        edges = np.concatenate([[0], change, [len(key)]])
+        end = np.repeat(edges[1:], np.diff(edges))
+        at, step = np.arange(len(key)), 1
+        at = at[end > at + 1]
+        while len(at):
+            i, j = at, at + step
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            keep = (node[i] != node[j]) & open_[j] & ((t[i] == u[i]) | (own[i] != own[j]))
+            i, j = i[keep], j[keep]
+            keep = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) >= np.minimum(need[i], need[j])
+            if keep.any():
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], place[i], place[j])], names=["a", "b", "place_a", "place_b"])
+            step += 1
+            at = at[end[at] > at + step]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(cols[0]), -1))
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from tile([x[:cut] for x in cols])
+            held = [x[cut:] for x in cols]
+        if held is not None:
+            yield from tile(held)
+
+    return dealt.mapInArrow(run, "a long, b long, place_a long, place_b long")
+
+
 def _regions(pairs: DataFrame) -> DataFrame:
     """(a, b, lo_a, hi_a, lo_b, hi_b): the interval join. Shingle positions that windows of ENOUGH functions cover."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -316,8 +446,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met, path = written_path(_met(windows.withColumn("salt", salt.cast("long"))), "windows")
     pairs = _paired(met)
     regions = written(_regions(pairs), "regions")
+    found = written(_verified(regions, texts).distinct(), "passages")
+    rest = written(_regions(_tiled(written(_open(met, found), "open"), texts)), "regions")
     drop_path(spark, path)
-    found = _verified(regions, texts).distinct()
+    found = found.union(_verified(rest, texts)).distinct()
     whole = copies.where(f"n >= {WORDS}").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("earlier_id"), F.lit(0).cast("long").alias("earlier_start"), F.col("n").alias("earlier_words"), F.lit(1.0).alias("similarity"))
     return found.union(whole)
 

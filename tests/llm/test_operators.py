@@ -398,6 +398,16 @@ def test_passages_do_not_depend_on_salts(spark, monkeypatch):
     assert len(plain) > 100 and pairs[0] == plain
 
 
+def test_passages_behind_stock_phrases(spark):
+    """Earlier documents hold each stretch of a passage, so all first windows, but not the passage."""
+    rng = random.Random(9)
+    shared = text(rng, 50).split()
+    rows = [(k, f"{text(rng, 60)} {' '.join(shared[6 * (k % 6) : 6 * (k % 6) + 20])} {text(rng, 60)}") for k in range(240)]
+    rows += [(300 + k, f"{text(rng, 30)} {' '.join(shared)} {text(rng, 30)}") for k in range(6)]
+    got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)))
+    assert set(got) == set(range(301, 306)) and all(set(range(30, 80)) <= x for x in got.values())
+
+
 def test_compact_windows_hold_every_run_once():
     rng = np.random.default_rng(2)
     for lengths in ([40, 0, 9, 25], [10], [9], [100]):
