@@ -9,7 +9,7 @@ and right bound them. Runs that are alike have the same least shingle under most
 2. For HASHES functions, windows are keyed by their least shingle. Within a key each window is paired with the one of
    the least id that has the same neighbour, and each of those with the one of the key's least id.
 3. Interval join: pairs of two documents whose windows overlap in both, at about one distance, under at least ENOUGH
-   functions, make a candidate region.
+   functions (in step 5 under one), make a candidate region.
 4. Candidates are verified on their words: maximal passages of at least WORDS words whose shingles have the Jaccard
    similarity THRESHOLD. The document with the smaller id keeps its passage.
 5. Windows that no passage found so far covers are compared with all windows of their key, in tiles of bounded size,
@@ -304,8 +304,8 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
-def _regions(pairs: DataFrame) -> DataFrame:
-    """(a, b, lo_a, hi_a, lo_b, hi_b): the interval join. Shingle positions that windows of ENOUGH functions cover."""
+def _regions(pairs: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(a, b, lo_a, hi_a, lo_b, hi_b): the interval join. Shingle positions that windows of enough functions cover."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.select("a", "b", "place_a", "place_b").repartition(n, "a", "b").sortWithinPartitions("a", "b", "place_a")
 
@@ -320,7 +320,7 @@ def _regions(pairs: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], ~go_on]))
         functions = np.bitwise_count(np.bitwise_or.reduceat(1 << f, starts))
         made = [a[starts], b[starts], *(np.minimum.reduceat(x, starts) if k % 2 == 0 else np.maximum.reduceat(x, starts) for k, x in enumerate((la, ra, lb, rb)))]
-        keep = functions >= ENOUGH
+        keep = functions >= enough
         return [x[keep] for x in made]
 
     def run(batches):
@@ -447,7 +447,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = _paired(met)
     regions = written(_regions(pairs), "regions")
     found = written(_verified(regions, texts).distinct(), "passages")
-    rest = written(_regions(_tiled(written(_open(met, found), "open"), texts)), "regions")
+    rest = written(_regions(_tiled(written(_open(met, found), "open"), texts), 1), "regions")
     drop_path(spark, path)
     found = found.union(_verified(rest, texts)).distinct()
     whole = copies.where(f"n >= {WORDS}").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("earlier_id"), F.lit(0).cast("long").alias("earlier_start"), F.col("n").alias("earlier_words"), F.lit(1.0).alias("similarity"))

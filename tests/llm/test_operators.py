@@ -408,6 +408,36 @@ def test_passages_behind_stock_phrases(spark):
     assert set(got) == set(range(301, 306)) and all(set(range(30, 80)) <= x for x in got.values())
 
 
+def test_one_agreeing_function_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HASHES", 1)
+    rng = random.Random(11)
+    shared = text(rng, 60)
+    rows = [(k, f"{text(rng, 30)} {shared} {text(rng, 30)}") for k in range(3)]
+    got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    assert set(got) == {1, 2}
+
+
+def near_holders(rng: random.Random, n: int, group: int) -> tuple[list, list[int]]:
+    """Groups of n documents: one with a passage of 50 words, others with one word of it changed (similarity 41 / 51)."""
+    rows, copies = [], []
+    for g in range(group):
+        words = text(rng, 50).split()
+        for k in range(n):
+            own = list(words)
+            if k:
+                own[rng.randint(10, 39)] = f"changed{g}x{k}"
+                copies.append(g * n + k)
+            rows.append((g * n + k, f"{text(rng, 30)} {' '.join(own)} {text(rng, 30)}"))
+    return rows, copies
+
+
+def test_near_passages_are_met_under_one_function(spark):
+    rng = random.Random(10)
+    rows, copies = near_holders(rng, 40, 5)
+    got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)))
+    assert len(set(copies) & set(got)) >= 0.99 * len(copies)
+
+
 def test_compact_windows_hold_every_run_once():
     rng = np.random.default_rng(2)
     for lengths in ([40, 0, 9, 25], [10], [9], [100]):
