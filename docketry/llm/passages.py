@@ -312,12 +312,15 @@ def _regions(pairs: DataFrame, enough: int = ENOUGH) -> DataFrame:
     def joined(a, b, pa_, pb):
         ca, cb, f = pa_ >> 30, pb >> 30, pa_ >> 26 & 15
         la, ra, lb, rb = ca - (pa_ >> 13 & REACH), ca + (pa_ & REACH), cb - (pb >> 13 & REACH), cb + (pb & REACH)
-        order = np.lexsort((ca, np.floor_divide(cb - ca, 4 * DRIFT), b, a))
+        # distances with gaps of at most DRIFT belong together; then intervals of a that overlap
+        order = np.lexsort((cb - ca, b, a))
         a, b, ca, cb, f, la, ra, lb, rb = (x[order] for x in (a, b, ca, cb, f, la, ra, lb, rb))
-        shift = cb - ca
-        go_on = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (np.abs(shift[1:] - shift[:-1]) <= DRIFT)
-        go_on &= (np.maximum(la[1:], la[:-1]) <= np.minimum(ra[1:], ra[:-1])) & (np.maximum(lb[1:], lb[:-1]) <= np.minimum(rb[1:], rb[:-1]))
-        starts = np.flatnonzero(np.concatenate([[True], ~go_on]))
+        apart = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (np.diff(cb - ca) > DRIFT)
+        group = np.concatenate([[0], np.cumsum(apart)]) * (int(ra.max()) + 1)
+        order = np.lexsort((la, group))
+        a, b, f, la, ra, lb, rb, group = (x[order] for x in (a, b, f, la, ra, lb, rb, group))
+        upto = np.maximum.accumulate(ra + group)
+        starts = np.flatnonzero(np.concatenate([[True], (la + group)[1:] > upto[:-1]]))
         functions = np.bitwise_count(np.bitwise_or.reduceat(1 << f, starts))
         made = [a[starts], b[starts], *(np.minimum.reduceat(x, starts) if k % 2 == 0 else np.maximum.reduceat(x, starts) for k, x in enumerate((la, ra, lb, rb)))]
         keep = functions >= enough

@@ -438,6 +438,19 @@ def test_near_passages_are_met_under_one_function(spark):
     assert len(set(copies) & set(got)) >= 0.99 * len(copies)
 
 
+def test_regions_across_distances(spark):
+    """Distances on both sides of a bucket's edge, and a chance pair of another distance in between."""
+
+    def row(b, ca, shift, f):
+        return 1, b, ca << 30 | f << 26 | 10 << 13 | 10, (ca + shift) << 30 | f << 26 | 10 << 13 | 10
+
+    rows = [row(2, 10, 47, 0), row(2, 12, 48, 1), row(2, 60, 47, 0), row(2, 62, 48, 1)]
+    rows += [row(3, 10, 0, 0), row(3, 12, 40, 2), row(3, 14, 0, 1)]
+    found = passages._regions(spark.createDataFrame(rows, "a long, b long, place_a long, place_b long").coalesce(1))
+    got = sorted((r.b, r.lo_a, r.hi_a, r.lo_b, r.hi_b) for r in found.collect())
+    assert got == [(2, 0, 22, 47, 70), (2, 50, 72, 97, 120), (3, 0, 24, 0, 24)]
+
+
 def test_compact_windows_hold_every_run_once():
     rng = np.random.default_rng(2)
     for lengths in ([40, 0, 9, 25], [10], [9], [100]):
