@@ -1,11 +1,15 @@
 """Token ids of whole texts by a public vocabulary file of the tokenizers library.
 
-The vocabulary's pattern never crosses white space, so a text's ids are its words' ids one after another.
-Tasks therefore encode each distinct word once and look the rest up.
+A file whose normalizer and split pattern are the fixed ones below never joins text across white space or between the
+pieces that the pattern finds. Tasks then find the pieces of many texts at once, have the library's model encode each
+distinct piece once, and look the rest up. Words with other characters than the plain ones, and words that may hold a
+special token, are encoded by the whole library, each distinct one once. Any other file is left to the library, text
+by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -17,10 +21,24 @@ from docketry.llm.common import RaggedTable
 
 #: The id that ends each document.
 END_ID = 1
-#: Words that the file's normalizer only lower-cases: printable ASCII and accented Latin letters.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+")
-#: The file's own split pattern, for such words.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+#: The normalizer and the split of the files whose pieces are encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+#: Plain characters: printable ASCII and accented Latin letters, which normalization only lower-cases.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ž"
+_PLAIN, _SPACE = "!-~" + _LETTERS[6:], "\\x20\\x09-\\x0D\\x00"
+_OTHER = re.compile(f"[^{_PLAIN}{_SPACE}]|<\\|")
+#: The split for plain characters; the end of a text is a piece of its own.
+_PIECE = f"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{_LETTERS}]+|[0-9]|[^{_SPACE}0-9{_LETTERS}]+|\\x00"
+_PIECES = re.compile(_PIECE)
+#: The same where there are other words: each of them is one piece. Words are looked through at their start alone.
+_MIXED = re.compile(f"(?<![^{_SPACE}])[^{_SPACE}]*(?:[^{_PLAIN}{_SPACE}]|<\\|)[^{_SPACE}]*|{_PIECE}")
+#: Distinct pieces that a task remembers before it starts afresh.
+PIECES_KEPT = 500_000
+#: Texts that the library encodes at once where it gets them whole.
+BATCH = 32
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,7 +48,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+_BYTE_LETTERS = _byte_letters()
 
 
 def default_vocabulary() -> str:
@@ -39,8 +57,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def splits_alike(config: dict) -> bool:
+    """Whether a vocabulary file has the fixed normalizer and split, and special tokens that the code can tell."""
+    steps = config.get("pre_tokenizer") or {}
+    marked = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in config.get("added_tokens", []))
+    return config.get("normalizer") == NORMALIZER and steps.get("pretokenizers") == [SPLIT, BYTES] and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and marked
+
+
 class DocTokenizer(RaggedTable):
-    """ids(texts) gives the ids of texts one after another, and each text's count."""
+    """ids(texts) gives the ids of texts one after another, and each text's count. It numbers distinct pieces."""
 
     def __init__(self, vocabulary: str):
         super().__init__()
@@ -48,34 +73,49 @@ class DocTokenizer(RaggedTable):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model, self.pieces = self.tokenizer.model, {}
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        slow = []
-        if len(self.pieces) > 300_000:
-            self.pieces.clear()
-        pieces, tokenize = self.pieces, self.model.tokenize
-        for i, word in enumerate(words):
-            text = word.decode("utf-8", "replace")
-            if "<|" in text or not _PLAIN.fullmatch(text):
-                slow.append(i)
-                continue
-            ids: list[int] = []
-            for piece in _PIECES.findall(text.lower()):
-                own = pieces.get(piece)
-                if own is None:
-                    letters = piece if piece.isascii() else "".join(map(_LETTERS.__getitem__, piece.encode()))
-                    own = pieces[piece] = [t.id for t in tokenize(letters)]
-                ids += own
-            out[i] = ids
-        texts = [words[i].decode("utf-8", "replace") for i in slow]
-        for i, x in zip(slow, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            out[i] = x.ids
+        self.model, self.alike = self.tokenizer.model, splits_alike(json.loads(self.tokenizer.to_str()))
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        others, tokenize = [], self.model.tokenize
+        for i, piece in enumerate(words):
+            if piece.isascii() and piece.isprintable() and "<|" not in piece:
+                out[i] = [t.id for t in tokenize(piece.lower())]
+            elif piece == "\0":
+                out[i] = []
+            elif _OTHER.search(piece):
+                others.append(i)
+            else:
+                out[i] = [t.id for t in tokenize("".join(map(_BYTE_LETTERS.__getitem__, piece.lower().encode())))]
+        for at in range(0, len(others), 1024):
+            some = others[at : at + 1024]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                out[i] = x.ids
         return out
 
+    def _pieced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without NUL characters; the end of each is marked by one."""
+        if len(self) > PIECES_KEPT:
+            self.forget()
+        joined = "\0".join(texts) + "\0"
+        found = (_MIXED if _OTHER.search(joined) else _PIECES).findall(joined)
+        numbers = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        counts = np.diff(np.concatenate([[-1], np.flatnonzero(numbers == self["\0"])]))
+        return self.spread(numbers, counts)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the library alone."""
+        made = [x.ids for at in range(0, len(texts), BATCH) for x in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
+        return np.fromiter((i for x in made for i in x), np.uint32, sum(map(len, made))), np.fromiter(map(len, made), np.int64, len(made))
+
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return self.spread(*self.number(texts))
+        strings = texts.to_pylist()
+        if not self.alike:
+            return self._whole(strings)
+        if not any("\0" in x for x in strings):
+            return self._pieced(strings)
+        parts = [self._whole([x]) if "\0" in x else self._pieced([x]) for x in strings]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
 
 @lru_cache(maxsize=2)
