@@ -1,26 +1,31 @@
 """Near-duplicate documents by an exact Jaccard join of word-shingle sets.
 
-1. Every text becomes its set of distinct five-word shingles. Texts with equal sets are one node.
+1. Every text becomes its set of distinct five-word shingles. Texts with equal sets, by a 128-bit digest, are one
+   node, which has the least id of them as its number.
 2. Prefix keys: two sets with a Jaccard similarity of the threshold t share a shingle among the first
    n - ceil(t n) + 1 of each, in any fixed order. The order is rarest first: shingles that are counted often (a
    counted list of bounded size) come last, so common passages hardly ever are keys.
 3. In each key's band of sizes (a band spans a factor of 1 / t) every node is compared with one pivot, and the
    components of those links are found. Large groups of copies melt into one component here, without all pairs.
+   Keys of very frequent shingles are dealt over several tasks; each has a pivot, and the pivots have one too.
 4. Tiles: nodes that share a key and lie in different components are compared all the same, in tiles of bounded
-   size; of keys that exactly the same nodes share, one is enough. Each node has a bitmap: the parity of its shingles
-   in hashed bits, about as many as it has shingles. The bits in which two bitmaps differ bound the sets' difference
-   from below, so the overlap from above; pairs that cannot reach t are dropped.
+   size; of keys that exactly the same nodes share, one is enough, and keys with the same least node meet in one
+   task, where a pair is given out once. Each node has a bitmap: the parity of its shingles in hashed bits, about as
+   many as it has shingles. The bits in which two bitmaps differ bound the sets' difference from below, so the overlap
+   from above; pairs that cannot reach t are dropped.
 5. The pairs that are left are verified by intersecting the sorted arrays of shingle hashes.
 No link between different sets is lost: each linked pair shares a key, and is compared unless already connected.
 
-Shingles are compared by 64-bit hashes, nodes are named by a 64-bit hash of the set. Edge cases: null and empty
-texts, and those without a word, have no shingle and link with nothing; a text of fewer than five words has its
-whole sequence as one shingle; a row without an id has its shingle count and no component; rows that share an id and
-a text are alike, and an id with several texts joins them; an empty table gives no rows; extra columns are ignored.
+Shingles are compared by 64-bit hashes. Edge cases: null and empty texts, and those without a word, have no shingle
+and link with nothing; a text of fewer than five words has its whole sequence as one shingle; a row without an id has
+its shingle count and no component; rows that share an id and a text are alike, and an id with several texts joins
+them; ids are cast to long, and text ids end the job; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,13 +35,18 @@ from docketry.llm.common import WordTable, chunks, drop_path, hash_words, mixed,
 from docketry.llm.components import components
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A shingle is common if it is in more documents than COMMON_LEAST and than a COMMON_SHARE-th of them; so at most
-#: COMMON_SHARE times the mean set size are. It is looked for where COUNTED shingles of a task have it COMMON_SEEN times.
-COMMON_LEAST, COMMON_SHARE, COMMON_SEEN, COUNTED = 48, 20_000, 4, 4_000_000
+#: A shingle is common if it is in more documents than COMMON_LEAST and than a COMMON_SHARE-th of them. It is looked for
+#: where COUNTED shingles of a task have it COMMON_SEEN times. The COMMON_KEPT most frequent ones are sent to all tasks
+#: (16 bytes each); which these are changes the order of shingles, so the work, but no link.
+COMMON_LEAST, COMMON_SHARE, COMMON_SEEN, COUNTED, COMMON_KEPT = 48, 20_000, 4, 4_000_000, 200_000
+#: Documents with a common shingle for each task that its keys are dealt to.
+DEALT = 50_000
 #: Ids up to this count are sent to all tasks (8 bytes each) to pick documents; more are joined by key.
 SENT_IDS = 4_000_000
 #: Nodes of one side of a tile.
 TILE = 1024
+#: Rows of tiles that a task compares at once.
+COMPARED = 16_384
 NARROW, WIDE = 1024, 8192
 
 
@@ -72,11 +82,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= round(100 * THRESHOLD) * (len(a) + len(b) - common)
 
 
-def _name(own: np.ndarray) -> int:
-    """The 64-bit name of a set, from its sorted hashes."""
+def _name(own: np.ndarray) -> bytes:
+    """The 128-bit name of a set, from its sorted hashes."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+    return xxhash.xxh3_128_digest(own.tobytes())
 
 
 def shingle_sets(batches, text: str):
@@ -94,19 +104,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """(id, node, n) of every row, and in rows marked common (shingle as node, count as n) what tasks have often."""
+    """(id, name, n) of every row, and in rows with a hash (its count as n) the shingles that tasks have often."""
+    schema = pa.schema([("id", pa.int64()), ("name", pa.binary()), ("n", pa.int64()), ("hash", pa.int64())])
 
     def often(held):
         found, count = np.unique(np.concatenate(held), return_counts=True)
         found, count = found[count >= COMMON_SEEN], count[count >= COMMON_SEEN]
         k = len(found)
-        yield pa.RecordBatch.from_pydict({"id": pa.nulls(k, pa.int64()), "node": found.view(np.int64), "n": count.astype(np.int64), "common": pa.array([True] * k, pa.bool_())})
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(count.astype(np.int64)), pa.array(found.view(np.int64))], schema=schema)
 
     def run(batches):
         held, size = [], 0
         for part, sets in shingle_sets(batches, "text"):
             n = [len(x) for x in sets]
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "node": pa.array([_name(x) if len(x) else None for x in sets], pa.int64()), "n": pa.array(n, pa.int64()), "common": pa.array([False] * len(n))})
+            names = pa.array([_name(x) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), names, pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], schema=schema)
             held += sets
             size += sum(n)
             if size >= COUNTED:
@@ -115,7 +127,7 @@ def _named(rows: DataFrame) -> DataFrame:
         if held:
             yield from often(held)
 
-    return rows.mapInArrow(run, "id long, node long, n long, common boolean")
+    return rows.mapInArrow(run, "id long, name binary, n long, hash long")
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -124,55 +136,59 @@ def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, rep, n, bits, keys) of each row that has shingles. A key holds a shingle's hash and, low, the band."""
+    """(node, n, bits, keys, salts) of each row that has shingles. A key holds a shingle's hash and, low, the band.
+
+    salts: for each key the task it is dealt to, 0 unless the shingle is very frequent.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         often, count = sent.value
         for part, sets in shingle_sets(batches, "text"):
             out = []
-            for rep, own in zip(part.column("id").to_pylist(), sets):
+            for node, own in zip(part.column("id").to_pylist(), sets):
                 n = len(own)
                 if not n:
                     continue
-                order = own >> np.uint64(1)
+                take = n - -(-round(100 * THRESHOLD) * n // 100) + 1
+                first, seen = own[:take], np.zeros(take, np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    order = np.where(often[at] == own, count[at] | np.uint64(1 << 63), order)
-                take = n - -(-round(100 * THRESHOLD) * n // 100) + 1
-                first = own[np.lexsort((own, order))[:take]] if len(often) else own[:take]
+                    known = np.where(often[at] == own, count[at], 0)
+                    order = np.lexsort((own, np.where(known > 0, known | np.uint64(1 << 63), own >> np.uint64(1))))[:take]
+                    first, seen = own[order], known[order].astype(np.int64)
                 keys = mixed(first.copy()) & ~np.uint64(63) | band(np.array(n))
-                out.append((_name(own), rep, n, bitmap(own).tobytes(), keys.view(np.int64)))
+                out.append((node, n, bitmap(own).tobytes(), keys.view(np.int64), (node % (1 + seen // DEALT)).astype(np.int32)))
             if out:
                 cols = list(zip(*out))
-                kinds = [pa.int64()] * 3 + [pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "rep", "n", "bits", "keys"])
+                kinds = [pa.int64()] * 2 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["node", "n", "bits", "keys", "salts"])
 
-    return rows.mapInArrow(run, "node long, rep long, n long, bits binary, keys array<long>")
+    return rows.mapInArrow(run, "node long, n long, bits binary, keys array<long>, salts array<int>")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, pivot): nodes whose key's shingle another node has too; pivot: one node of the key and band.
+    """(key, node, pivot): nodes whose key's shingle another node has too; pivot: one node of the key, band and salt.
 
     Rows of a key come sorted, so a task needs its last row alone. Half of the keys take their least node as pivot,
-    half their greatest.
+    half their greatest. Nodes of a dealt key are kept in any case: such a shingle is frequent.
     """
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+    rows = nodes.select("node", F.explode(F.arrays_zip("keys", "salts")).alias("x")).select("node", F.col("x.keys").alias("key"), F.col("x.salts").alias("salt"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turned = F.when(F.col("key").bitwiseAND(64) == 0, F.col("node")).otherwise(F.bitwise_not(F.col("node")))
-    rows = rows.repartition(n, F.shiftright("key", 6)).sortWithinPartitions("key", turned)
+    rows = rows.repartition(n, F.shiftright("key", 6), "salt").sortWithinPartitions("key", "salt", turned)
 
     def run(batches):
-        held = pivot = None  # the last row, not yet given out, as (key, node, whether it shares its key); its pivot
+        held = pivot = None  # the last row, not yet given out, as (key, node, salt, whether it shares its key); its pivot
         for batch in batches:
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+            key, node, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "salt"))
             if not len(key):
                 continue
             if held is not None:
-                key, node = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], node])
+                key, node, salt = (np.concatenate([[x], y]) for x, y in zip(held, (key, node, salt)))
             same = (key[1:] >> 6) == (key[:-1] >> 6)
-            shared = np.concatenate([[held is not None and held[2]], same]) | np.concatenate([same, [False]])
-            starts = np.concatenate([[True], key[1:] != key[:-1]])
+            shared = np.concatenate([[held is not None and held[3]], same]) | np.concatenate([same, [False]]) | (salt > 0)
+            starts = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
             pivots = node[first]
             if held is not None:
@@ -180,13 +196,21 @@ def _members(nodes: DataFrame) -> DataFrame:
             give = shared[:-1]
             if give.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[:-1][give]) for x in (key, node, pivots)], names=["key", "node", "pivot"])
-            held, pivot = (key[-1], node[-1], bool(len(same) and same[-1]) or (len(key) == 1 and bool(shared[0]))), pivots[-1]
-        if held is not None and held[2]:
+            held, pivot = (key[-1], node[-1], salt[-1], bool(len(same) and same[-1]) or bool(shared[-1])), pivots[-1]
+        if held is not None and held[3]:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (held[0], held[1], pivot)], names=["key", "node", "pivot"])
 
     return rows.mapInArrow(run, "key long, node long, pivot long")
 
 
+def _pivoted(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: each node with its pivot, and the pivots of a dealt key with the least of them."""
+    own = members.where("node != pivot").select("node", "pivot")
+    several = members.where("node = pivot").groupBy("key").agg(F.min("pivot").alias("least"), F.max("pivot").alias("last")).where("least != last")
+    among = members.where("node = pivot").join(several, "key").where("node != least").select("node", F.col("least").alias("pivot"))
+    return own.union(among).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full bitmaps leave the threshold in reach."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
@@ -204,17 +228,17 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets have the threshold. Sets are made again, from the texts of the nodes that are asked."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = nodes.select("node", F.col("rep").alias("id")).join(asked, "node").select("id").distinct()
+    asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "asked")
 
     def run(batches):
-        for _, sets in shingle_sets(batches, "text"):
-            full = [x for x in sets if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in full], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], names=["node", "hashes"])
+        for part, sets in shingle_sets(batches, "text"):
+            ids = part.column("id").to_numpy(zero_copy_only=False)
+            full = np.array([len(x) > 0 for x in sets], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array([x.tobytes() for x in sets if len(x)], pa.binary())], names=["node", "hashes"])
 
-    sets = written(only(rows, written(reps, "reps"), "left_semi").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = written(only(rows, asked, "left_semi").mapInArrow(run, "node long, hashes binary"), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"x_{s}"))
 
     def test(batches):
@@ -229,16 +253,22 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes that share a key, differ in component, and may have the threshold by bitmap."""
     labelled = members.select(F.shiftright("key", 6).alias("key"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nodes_of = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"x{seed}") for seed in (1, 2)]
-    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), *nodes_of).where("lo != hi")
+    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("lead"), F.count("*").alias("m"), *nodes_of).where("lo != hi")
     # keys of one set of nodes (by its 128-bit signature) give the same pairs
-    used = mixed_keys.groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
-    rows = labelled.join(used.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("grid")), "key")
+    used = mixed_keys.groupBy("m", "x1", "x2", "lead").agg(F.min("key").alias("key"))
+    # tiles a side: a power of two, so that like keys of one lead cut their nodes alike
+    grid = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("m") / TILE)))).cast("int")
+    rows = labelled.join(used.select("key", "lead", grid.alias("grid")), "key")
     rows = rows.join(nodes.select("node", "n", "bits"), "node")
-    own = F.pmod(F.col("node"), F.col("grid")).cast("int")
-    rows = rows.select("key", "node", "root", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
-    rows = rows.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "root", "n", "bits")
+    own = F.pmod(F.xxhash64("node"), F.col("grid")).cast("int")
+    rows = rows.select("lead", "key", "node", "root", "n", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
+    rows = rows.select("lead", "key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "root", "n", "bits")
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
+    rows = rows.repartition(n, "lead", "t", "u").sortWithinPartitions("lead", "t", "u", "key")
+
+    def changes(cols):
+        """Where one of the columns changes."""
+        return np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols], axis=0)) + 1
 
     def by_width(bits):
         """For each width that occurs, in 64-bit words: rows' places in a matrix of the bitmaps of that width or more."""
@@ -264,11 +294,11 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         return keep
 
     def tile(cols):
-        key, t, u, own, node, root, n, bits = cols
+        """The distinct pairs of whole tiles."""
+        _, key, t, u, own, node, root, n, bits = cols
         words, matrices = by_width(bits)
-        change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
-        end = np.repeat(np.concatenate([change, [len(key)]]), np.diff(np.concatenate([[0], change, [len(key)]])))
-        at, step = np.arange(len(key)), 1
+        end = np.repeat(np.append(changes(cols[:4]), len(key)), np.diff(np.concatenate([[0], changes(cols[:4]), [len(key)]])))
+        at, step, found = np.arange(len(key)), 1, []
         at = at[end > at + 1]
         while len(at):
             i, j = at, at + step
@@ -279,58 +309,62 @@ def _tiled(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
             keep = near(i, j, n, words, matrices)
             if keep.any():
                 x, y = node[i[keep]], node[j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
             step += 1
             at = at[end[at] > at + step]
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+        held, rows_held = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "key", "t", "u", "own", "node", "root", "n")]
+                held.append([*cols, np.array(batch.column("bits").to_pylist(), object)])
+                rows_held += batch.num_rows
+                if rows_held < COMPARED:
+                    continue
+            if not rows_held:
                 continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "t", "u", "own", "node", "root", "n")]
-            cols.append(np.array(batch.column("bits").to_pylist(), object))
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from tile([x[:cut] for x in cols])
-            held = [x[cut:] for x in cols]
-        if held is not None:
-            yield from tile(held)
+            cols = [np.concatenate(x) for x in zip(*held)]
+            whole = len(cols[0])
+            if batch is not None:  # keys of one lead stay together if they can; the last tile may go on
+                ends = changes([cols[0], *cols[2:4]])
+                ends = ends if len(ends) else changes(cols[:4])
+                whole = int(ends[-1]) if len(ends) else 0
+            if whole:
+                yield from tile([x[:whole] for x in cols])
+            held, rows_held = [[x[whole:] for x in cols]], len(cols[0]) - whole
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): component_id is the least id that links reach, the row's own included."""
-    spark, rows = docs.sparkSession, _rows(docs, id_col, text_col)
+    rows = _rows(docs, id_col, text_col)
     named, named_path = written_path(_named(rows), "named")
-    every = named.where("NOT common").select("id", "node", "n")
-    total = every.count()
-    limit = max(COMMON_LEAST, total // COMMON_SHARE)
-    often = named.where("common").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
-    often = sorted((int(np.int64(r[0]).view(np.uint64)), r[1]) for r in often)
-    common = np.array([x for x, _ in often], np.uint64), np.array([c for _, c in often], np.uint64)
-    reps = every.where("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"))
-    reps = written(reps, "reps")
-    spare = every.where("node IS NOT NULL AND id IS NOT NULL").join(reps, "node").where("id != rep").select("id").distinct()
+    every = named.where("hash IS NULL").select("id", "name", "n")
+    total, ids = every.agg(F.count("*"), F.count_distinct("id") + F.count_if(F.col("id").isNull())).first()
+    counted = named.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON_LEAST, total // COMMON_SHARE))
+    often = sorted((int(np.int64(h).view(np.uint64)), c) for h, c in counted.orderBy(F.desc("n"), "hash").limit(COMMON_KEPT).collect())
+    common = np.array([h for h, _ in often], np.uint64), np.array([c for _, c in often], np.uint64)
+    full = every.where("name IS NOT NULL AND id IS NOT NULL")
+    reps, reps_path = written_path(full.groupBy("name").agg(F.min("id").alias("rep")), "reps")
+    spare = full.join(reps, "name").where("id != rep").select("id").distinct()
     # An id that has several texts may be a copy by one and a node's only row by another: it stays.
-    spare = written(spare.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_anti"), "copies")
-    nodes = written(_keyed(only(rows.where("id IS NOT NULL"), spare, "left_anti"), common), "nodes")
+    spare, spare_path = written_path(spare.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_anti"), "copies")
+    texts = only(rows.where("id IS NOT NULL"), spare, "left_anti")
+    texts = texts.dropDuplicates(["id", "text"]) if ids < total else texts
+    nodes, nodes_path = written_path(_keyed(texts, common), "nodes")
     members, members_path = written_path(_members(nodes), "members")
 
-    pivots = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    first = written(_verified(written(_bounded(pivots, nodes), "pairs"), nodes, rows), "links")
-    tiles = written(_tiled(members, nodes, components(first)), "pairs")
-    second = written(_verified(tiles, nodes, rows), "links")
-    drop_path(spark, members_path)
-    roots = components(first.union(second))
-    joined = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = joined.join(least, "root").select("node", "component_id")
-    out = every.join(known, "node", "left")
+    first = written(_verified(written(_bounded(_pivoted(members), nodes), "pairs"), texts), "links")
+    second = written(_verified(written(_tiled(members, nodes, components(first)), "pairs"), texts), "links")
+    for path in (members_path, nodes_path, spare_path):
+        drop_path(rows.sparkSession, path)
+    known = reps.join(components(first.union(second)).withColumnRenamed("node", "rep"), "rep", "left").select("name", F.coalesce("root", "rep").alias("component_id"))
+    out = every.join(known, "name", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
