@@ -19,9 +19,11 @@ WORDS_KEPT = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         path = tempfile.mkdtemp(prefix="docketry-")
@@ -41,11 +43,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later readers do not recompute it, and it outlives executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df as a table in the shared folder: later readers do not recompute it, and it outlives executors.
+
+    made: gets the path, so that the caller can drop the table.
+    """
+    table, path = written_path(df, name)
+    if made is not None:
+        made.append(path)
+    return table
 
 
 def written_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:

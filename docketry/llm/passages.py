@@ -1,25 +1,30 @@
 """Passages that documents share, exactly or nearly, by compact windows.
 
 Tokens are five-word shingles. Under one hash function, a compact window (l, c, r) stands for all runs of shingles
-inside [l, r] that hold c, whose least hash is at c. Windows of at least the passage length are the nodes of a
-Cartesian tree over the positions that are least in some run of that length; nearest smaller positions to the left
-and right bound them. Runs that are alike have the same least shingle under most hash functions.
+inside [l, r] that hold c, whose least hash is at c: the nodes of a Cartesian tree over the positions that are least in
+some run; nearest smaller positions to the left and right bound them. HASHES functions are used together: where
+their windows overlap, a group of runs has one signature, the least shingles under all functions and their distance.
+
+What is enough: a passage of n >= RUN shingles at the similarity 0.8 has at most n / 9 shingles that the other lacks,
+and every changed, missing or new word takes four or five of them in a row. So some LEAST shingles in a row are
+common, and all of their hashes agree: the signature of that run is the same in both documents, under any functions.
 
 1. Texts that are equal are one text; later copies are passages as a whole.
-2. For HASHES functions, windows are keyed by their least shingle. Within a key each window is paired with the one of
-   the least id that has the same neighbour, and each of those with the one of the key's least id.
-3. Interval join: pairs of two documents whose windows overlap in both, at about one distance, under at least ENOUGH
-   functions (in step 5 under one), make a candidate region.
+2. Windows are keyed by their signature. Each is paired with the one of the least id that has its key.
+3. Interval join: pairs of two documents whose windows, with RUN shingles around, overlap in both, at about one
+   distance, make a candidate region.
 4. Candidates are verified on their words: maximal passages of at least WORDS words whose shingles have the Jaccard
    similarity THRESHOLD. The document with the smaller id keeps its passage.
-5. Windows that no passage found so far covers are compared with all windows of their key, in tiles of bounded size,
-   by the shingles around them; what may share a passage goes through 3 and 4 again. So a first window that has the
-   key but not the passage costs no other pair.
+5. The first window of a key may have the signature but not the passage. So windows that no passage found so far
+   covers are compared with all windows of their key, in tiles of bounded size, by the shingles around them. Each
+   takes the window of a smaller id whose common part goes on furthest to the left, and to the right; these go
+   through 3 and 4 again. A tile gives out two pairs for a window at most.
 Keys that a sample shows to be frequent are dealt over SALTS tasks; first windows are least over all tasks, so the
 sample only decides how rows are dealt, not which are paired.
 
 Edge cases: null, empty and short texts have no passages; rows without an id are left out; rows that share an id and
-a text are one; an empty table gives no rows; extra columns are ignored; a text of any length is used whole.
+a text are one; ids are cast to long, and text ids end the job; an empty table gives no rows; extra columns are
+ignored; a text of any length is used whole.
 """
 
 from __future__ import annotations
@@ -32,21 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WordTable, chunks, drop_path, hash_words, mixed, shingle_hashes, whole_text, written, written_path
+from docketry.llm.common import WordTable, chunks, drop_path, hash_words, mixed, shingle_hashes, whole_text, written
 from docketry.llm.jaccard_join import only
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
-#: Shingles of the shortest passage; hash functions; how many of them must agree.
+#: Shingles of the shortest passage, and of the run that any passage has in common with its like; hash functions.
 RUN = WORDS - SHINGLE + 1
-HASHES, ENOUGH = 4, 2
+LEAST, HASHES = 21, 2
 #: How far the distance between two documents' positions may move within a region.
 DRIFT = 12
-SALTS, SAMPLED, FREQUENT = 32, 200_000, 24
+#: Keys with FREQUENT windows in a sample of the texts (SAMPLED of them, FRACTION at most) are dealt over SALTS tasks.
+#: Their list is shorter than the sample's windows by that factor.
+SALTS, SAMPLED, FRACTION, FREQUENT = 32, 200_000, 0.02, 24
 #: Windows of one side of a tile; bits that stand for the shingles around a window, and how many two windows of a
 #: passage have in common at least: its 46 shingles at a similarity of 0.8 share 41, less what falls on one bit.
-TILE, CONTEXT, NEAR = 4096, 512, 30
-#: A window's extent on either side of its least shingle, in the packed row: longer ones are cut, which loses no
-#: region, since the windows beside them go on.
+TILE, CONTEXT, NEAR = 8192, 512, 30
+#: The share of common shingles from which a run around two windows is tried; passages have 8 / 9.
+TRIED = 0.85
+#: A window's extent on either side of its centre, in the packed row. Longer ones are cut: any LEAST shingles that two
+#: documents share lie in a window of their own, so what is cut off is in the windows beside.
 REACH = (1 << 13) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,93 +75,123 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def compact_windows(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all compact windows of at least width values, in each of the texts laid end to end.
+def _centres(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, centres, marked): where the runs of width values begin in each text, and which value is least in each.
 
-    Only positions that are least in some run of width values have such a window, and their nearest smaller
-    positions are such too, so the Cartesian tree is built over those alone, with a stack. Ties go to the left.
+    marked: values with their places in the low bits, which makes them distinct. Ties go to the left.
     """
     bits = max(1, len(values)).bit_length()
     place = np.uint64((1 << bits) - 1)
     marked = values & ~place | np.arange(len(values), dtype=np.uint64)
     least = sliding_least(marked, width)
     whole = lengths >= width
-    runs = np.zeros(len(values) + 1, np.int64)
-    np.add.at(runs, starts[whole], 1)
-    np.subtract.at(runs, starts[whole] + lengths[whole] - width + 1, 1)
-    centres = np.unique((least[np.cumsum(runs[: len(least)]) > 0] & place).astype(np.int64))
-    doc = np.searchsorted(starts, centres, side="right") - 1
+    edge = np.zeros(len(values) + 1, np.int64)
+    np.add.at(edge, starts[whole], 1)
+    np.subtract.at(edge, starts[whole] + lengths[whole] - width + 1, 1)
+    runs = np.flatnonzero(np.cumsum(edge[: len(least)]) > 0)
+    return runs, (least[runs] & place).astype(np.int64), marked
+
+
+def _smaller_before(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each value the nearest smaller one before it in its text, -1 if there is none: its ancestor in the Cartesian tree.
+
+    All values between a place and where its pointer stands are larger, so pointers jump along pointers.
+    """
+    before = np.arange(-1, len(values) - 1)
+    at = np.arange(len(values))
+    while len(at):
+        to = before[at]
+        on = (to >= 0) & (doc[to] == doc[at]) & (values[to] > values[at])
+        at = at[on]
+        before[at] = before[to[on]]
+    before[(before >= 0) & (doc[before] != doc)] = -1
+    return before
+
+
+def compact_windows(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of all compact windows of at least width values, in each of the texts laid end to end, by c.
+
+    Only positions that are least in some run of width values have such a window, and their nearest smaller
+    positions are such too, so the Cartesian tree is built over those alone. Ties go to the left.
+    """
+    _, c, marked = _centres(values, starts, lengths, width)
+    return _windows_at(np.unique(c), marked, starts, lengths)
+
+
+def _windows_at(c: np.ndarray, marked: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # texts without a shingle share their start with the next text
-    low, high = starts[doc].tolist(), (starts[doc] + lengths[doc] - 1).tolist()
-    left, right = [0] * len(centres), [0] * len(centres)
-    stack: list[int] = []
-    own, at, docs = marked[centres].tolist(), centres.tolist(), doc.tolist()
-    for i in range(len(at)):
-        while stack and (docs[stack[-1]] != docs[i] or own[stack[-1]] > own[i]):
-            j = stack.pop()
-            right[j] = at[i] - 1 if docs[j] == docs[i] else high[j]
-        left[i] = at[stack[-1]] + 1 if stack else low[i]
-        stack.append(i)
-    for j in stack:
-        right[j] = high[j]
-    return np.array(left, np.int64), centres, np.array(right, np.int64)
+    doc = np.searchsorted(starts, c, side="right") - 1
+    before = _smaller_before(marked[c], doc)
+    after = len(c) - 1 - _smaller_before(marked[c][::-1], doc[::-1])[::-1]
+    left = np.where(before >= 0, c[before] + 1, starts[doc])
+    right = np.where(after < len(c), c[np.minimum(after, len(c) - 1)] - 1, starts[doc] + lengths[doc] - 1)
+    return left, c, right
+
+
+def signed_windows(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, l, c, r): where compact windows of all functions overlap, for each group of runs of LEAST shingles that has
+    one signature. c: the centre under the first function; all runs inside [l, r] that hold the centres have the key."""
+    centres, windows = [], []
+    for f in range(HASHES):
+        runs, c, marked = _centres(mixed(h.copy(), f + 1), starts, lengths, LEAST)
+        centres.append(c)
+        windows.append(_windows_at(np.unique(c), marked, starts, lengths))
+    change = np.any([c[1:] != c[:-1] for c in centres], axis=0) | (np.diff(runs) != 1)
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(runs)), bool), change]))
+    centres = [c[new] for c in centres]
+    left, right = np.full(len(new), -1), np.full(len(new), len(h))
+    key = np.zeros(len(new), np.uint64)
+    for f, (c, (lows, at, highs)) in enumerate(zip(centres, windows)):
+        own = np.searchsorted(at, c)
+        left, right = np.maximum(left, lows[own]), np.minimum(right, highs[own])
+        key = mixed(key ^ h[c] + (c - centres[0]).astype(np.uint64), f + 101)
+    return key, left, centres[0], right
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """(key, id, place): every window of every text. key: 48 bits of the least shingle and 16 of its neighbour's."""
+    """(key, id, place): every window of every text."""
 
     def run(batches):
         table = WordTable(hash_words)
         for part in chunks(batches, "text"):
             numbers, counts = table.number(part.column("text"), lower=True)
-            full = counts >= WORDS
-            if not full.any():
+            used = np.flatnonzero(counts >= WORDS)
+            if not len(used):
                 continue
             h, n = shingle_hashes(table.filled()[numbers], counts, SHINGLE)
-            starts = np.cumsum(n) - n
-            n = np.where(full, n, 0)
-            used = np.flatnonzero(full)
-            starts, n = starts[used], n[used]
+            starts, n = (np.cumsum(n) - n)[used], n[used]
             ids = part.column("id").to_numpy(zero_copy_only=False)[used]
-            for f in range(HASHES):
-                left, c, right = compact_windows(mixed(h.copy(), f + 1), starts, n)
-                doc = np.searchsorted(starts, c, side="right") - 1
-                first = starts[doc]
-                near = c + SHINGLE if f % 2 == 0 else c - SHINGLE
-                inside = (near >= first) & (near < first + n[doc])
-                beside = np.where(inside, mixed(h[np.clip(near, 0, len(h) - 1)]) >> np.uint64(48), np.uint64(0))
-                key = mixed(h[c], f + 101) & ~np.uint64(0xFFFF) | beside
-                place = (c - first) << 30 | f << 26 | np.minimum(c - left, REACH) << 13 | np.minimum(right - c, REACH)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(place)], names=["key", "id", "place"])
+            key, left, c, right = signed_windows(h, starts, n)
+            doc = np.searchsorted(starts, c, side="right") - 1
+            place = (c - starts[doc]) << 30 | np.minimum(c - left, REACH) << 13 | np.minimum(right - c, REACH)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(place)], names=["key", "id", "place"])
 
     return rows.mapInArrow(run, "key long, id long, place long")
 
 
-def _frequent_keys(rows: DataFrame, total: int) -> list[int]:
-    """Keys that a sample of texts has often; a bounded list, used only to deal rows."""
-    sample = rows.sample(min(1.0, 0.02, SAMPLED / max(1, total)), seed=5) if total > 5000 else rows
-    found = _windows(sample).groupBy(F.shiftright("key", 16).alias("key")).agg(F.count("*").alias("n"))
-    return [r[0] for r in found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n")).limit(20_000).collect()]
+def _dealt(texts: DataFrame, total: int, made: list[str]) -> DataFrame:
+    """The windows with a salt: -1, or for keys that a sample has often the task that a window is dealt to."""
+    seen = _windows(texts.sample(min(FRACTION, SAMPLED / max(1, total)), seed=5)) if FRACTION < 1 else _windows(texts)
+    often = written(seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("key", F.lit(True).alias("hot")), "frequent", made)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1).cast("long")
+    return _windows(texts).join(F.broadcast(often), "key", "left").select("key", "id", "place", salt.alias("salt"))
 
 
 def _met(dealt: DataFrame) -> DataFrame:
-    """(key, id, place, salt): windows whose least shingle another window has too, and all windows of frequent keys.
-
-    dealt has a salt: -1, or for frequent keys the task that a window is dealt to.
-    """
+    """(key, id, place, salt): windows whose key another window has too, and all windows of frequent keys."""
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = ["key", "id", "place", "salt"]
-    rows = dealt.select(*cols).repartition(n, F.shiftright("key", 16), "salt").sortWithinPartitions("key")
+    rows = dealt.repartition(n, "key", "salt").sortWithinPartitions("key")
 
     def run(batches):
-        held, met = None, False  # the last row, not yet given out, and whether the row before it has its shingle
+        held, met = None, False  # the last row, not yet given out, and whether the row before it has its key
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = [batch.column(c).to_numpy(zero_copy_only=False) for c in cols]
             if held is not None:
                 table = [np.concatenate(x) for x in zip(held, table)]
-            same = table[0][1:] >> 16 == table[0][:-1] >> 16
+            same = table[0][1:] == table[0][:-1]
             give = (np.concatenate([[met], same]) | np.concatenate([same, [False]]) | (table[3] >= 0))[:-1]
             if give.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[:-1][give]) for x in table], names=cols)
@@ -164,20 +203,14 @@ def _met(dealt: DataFrame) -> DataFrame:
 
 
 def _paired(met: DataFrame) -> DataFrame:
-    """(a, b, place_a, place_b), a < b: each window with the least of its full key, and those with the least of the shingle.
+    """(a, b, place_a, place_b), a < b: each window with the least of its key.
 
     The least are the same however rows are dealt: they are partial minima, summed before they are shuffled.
     """
-    full = met.groupBy("key").agg(F.min(F.struct("id", "place")).alias("own"))
-    least = full.groupBy(F.shiftright("key", 16).alias("short")).agg(F.min("own").alias("top"))
-    heads = full.join(least, F.shiftright("key", 16) == F.col("short")).select("key", "own", "top")
-    sent = met.select("key", "salt").distinct().join(heads, "key")
-    rows = met.join(sent, ["key", "salt"])
-    first = (F.col("id") == F.col("own.id")) & (F.col("place") == F.col("own.place"))
-    rows = rows.withColumn("head", F.when(first, F.col("top")).otherwise(F.col("own"))).where("id != head.id")
-    own, head = F.struct("id", "place"), F.struct("head.id", "head.place")
-    rows = rows.select(F.least(own, head).alias("x"), F.greatest(own, head).alias("y"))
-    return rows.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.place").alias("place_a"), F.col("y.place").alias("place_b"))
+    least = met.groupBy("key").agg(F.min(F.struct("id", "place")).alias("head"))
+    sent = met.select("key", "salt").distinct().join(least, "key")
+    rows = met.join(sent, ["key", "salt"]).where("id != head.id")
+    return rows.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.place").alias("place_a"), F.col("place").alias("place_b"))
 
 
 def _open(met: DataFrame, found: DataFrame) -> DataFrame:
@@ -207,20 +240,24 @@ def fewest_distinct(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.nd
     return out
 
 
-def contexts(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For each centre c, the shingles less than RUN away, inside [first, last], as set bits of CONTEXT // 64 words."""
-    out = np.empty((len(c), CONTEXT // 64), np.uint64)
+def contexts(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, around) for each centre c: the shingles less than RUN away inside [first, last], as set bits of
+    CONTEXT // 64 words, and as 32-bit hashes in order, 0 where there is none."""
+    bits, around = np.empty((len(c), CONTEXT // 64), np.uint64), np.empty((len(c), 2 * RUN - 1), np.uint32)
     for k in range(0, len(c), 1 << 13):
         part = slice(k, k + (1 << 13))
-        at = np.clip(c[part, None] + np.arange(1 - RUN, RUN), first[part, None], last[part, None])
-        bits = np.zeros((len(at), CONTEXT), np.uint8)
-        bits[np.arange(len(at))[:, None], (h[at] >> np.uint64(20) & np.uint64(CONTEXT - 1)).astype(np.int64)] = 1
-        out[part] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    return out
+        at = c[part, None] + np.arange(1 - RUN, RUN)
+        inside = (at >= first[part, None]) & (at <= last[part, None])
+        near = h[np.clip(at, first[part, None], last[part, None])]
+        set_ = np.zeros((len(at), CONTEXT), np.uint8)
+        set_[np.arange(len(at))[:, None], (near >> np.uint64(20) & np.uint64(CONTEXT - 1)).astype(np.int64)] = 1
+        bits[part] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64)
+        around[part] = np.where(inside, np.maximum(near >> np.uint64(32), np.uint64(1)), np.uint64(0))
+    return bits, around
 
 
 def _described(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """asked (key, id, place, open, grid) with need and bits: what stands around each window, from the texts."""
+    """asked (key, id, place, open, grid) with need, bits and around: what stands around each window, from the texts."""
     cols = ["key", "place", "open", "grid"]
     joined = rows.join(asked.groupBy("id").agg(F.collect_list(F.struct(*cols)).alias("asked")), "id").select("id", "text", "asked")
 
@@ -238,38 +275,58 @@ def _described(asked: DataFrame, rows: DataFrame) -> DataFrame:
             # an id may have several texts; a window of another one may lie beyond this one's end
             used = np.flatnonzero(c <= last)
             first, last, c = first[used], last[used], c[used]
-            bits = contexts(h, c, first, last)
+            bits, around = contexts(h, c, first, last)
             need = np.maximum(1, np.minimum(NEAR, fewest_distinct(h, c, first, last) * NEAR // RUN))
             ids = part.column("id").to_numpy(zero_copy_only=False)[doc[used]]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT // 8), len(c), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-            made = [pa.array(key[used]), pa.array(ids), pa.array(place[used]), pa.array(open_[used].astype(bool)), pa.array(grid[used]), pa.array(need), raw]
-            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "place", "open", "grid", "need", "bits"])
+            raw = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(c), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (bits, around)]
+            made = [pa.array(key[used]), pa.array(ids), pa.array(place[used]), pa.array(open_[used].astype(bool)), pa.array(grid[used]), pa.array(need), *raw]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "place", "open", "grid", "need", "bits", "around"])
+
+    return joined.mapInArrow(run, "key long, id long, place long, open boolean, grid int, need long, bits binary, around binary")
+
 
-    return joined.mapInArrow(run, "key long, id long, place long, open boolean, grid int, need long, bits binary")
+def common_extents(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) for rows of contexts: how far from the centre runs of y go on that x may have too; -1 if none.
+
+    A run holds the centre and RUN shingles or more, begins and ends with common ones, and has TRIED of them.
+    """
+    left, right = np.full(len(x), -1), np.full(len(x), -1)
+    s, e = np.meshgrid(np.arange(RUN), np.arange(RUN - 1, 2 * RUN - 1), indexing="ij")
+    fits = e - s >= RUN - 1
+    s, e = s[fits], e[fits]
+    for k in range(0, len(x), 512):
+        part = slice(k, k + 512)
+        there = ((y[part, :, None] == x[part, None, :]) & (y[part, :, None] > 0)).any(axis=2)
+        upto = np.concatenate([np.zeros((len(there), 1), np.int64), np.cumsum(there, axis=1)], axis=1)
+        held = there[:, s] & there[:, e] & (upto[:, e + 1] - upto[:, s] >= TRIED * (e - s + 1))
+        left[part] = np.where(held, RUN - 1 - s, -1).max(axis=1)
+        right[part] = np.where(held, e - RUN + 1, -1).max(axis=1)
+    return left, right
 
 
 def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b, place_a, place_b), a < b: all pairs of windows of one least shingle, b's open, with much alike around them.
+    """(a, b, place_a, place_b), a < b: for each open window b, windows of its key with much alike around them.
 
     Keys are compared in tiles of about TILE windows a side. A passage that two windows share has RUN shingles or more
     that hold both centres, so NEAR of the shingles around are common to both (fewer where words repeat: need).
     """
-    short = F.shiftright("key", 16).alias("short")
-    of_key = met.groupBy(short).agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max(F.when(F.col("open"), F.col("id"))).alias("hi")).where("hi > lo")
-    sizes = met.select(short, "salt").distinct().join(of_key, "short").select("short", "salt", F.ceil(F.col("m") / TILE).cast("int").alias("grid"))
-    asked = met.withColumn("short", short).join(sizes, ["short", "salt"]).select(F.col("short").alias("key"), "id", "place", "open", "grid")
+    of_key = met.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max(F.when(F.col("open"), F.col("id"))).alias("hi")).where("hi > lo")
+    sizes = met.select("key", "salt").distinct().join(of_key, "key").select("key", "salt", F.ceil(F.col("m") / TILE).cast("int").alias("grid"))
+    asked = met.join(sizes, ["key", "salt"]).select("key", "id", "place", "open", "grid")
     own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
     dealt = _described(asked, rows).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "id", "place", "open", "need", "bits")
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "id", "place", "open", "need", "bits", "around")
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
     names = ["key", "t", "u", "own", "id", "place", "open", "need"]
 
     def tile(cols):
-        key, t, u, own, node, place, open_, need, bits = cols
+        key, t, u, own, node, place, open_, need, bits, around = cols
         change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
         edges = np.concatenate([[0], change, [len(key)]])
         end = np.repeat(edges[1:], np.diff(edges))
+        # for each window the best reach to the left and to the right, and the window that has it
+        best, with_ = np.full((2, len(key)), -1), np.full((2, len(key)), -1)
         at, step = np.arange(len(key)), 1
         at = at[end > at + 1]
         while len(at):
@@ -280,9 +337,18 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
             keep = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) >= np.minimum(need[i], need[j])
             if keep.any():
                 i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], place[i], place[j])], names=["a", "b", "place_a", "place_b"])
+                for side, reach in enumerate(common_extents(around[i], around[j])):
+                    order = np.lexsort((node[i], -reach, j))
+                    first = order[np.concatenate([[True], np.diff(j[order]) != 0])]
+                    p, q, r = i[first], j[first], reach[first]
+                    better = (r > best[side][q]) | (r == best[side][q]) & (r >= 0) & (node[p] < node[with_[side][q]])
+                    best[side][q[better]], with_[side][q[better]] = r[better], p[better]
             step += 1
             at = at[end[at] > at + step]
+        pairs = np.unique(np.concatenate([np.stack([with_[side][own_], own_], axis=1) for side in (0, 1) for own_ in [np.flatnonzero(with_[side] >= 0)]]), axis=0)
+        if len(pairs):
+            i, j = pairs.T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], place[i], place[j])], names=["a", "b", "place_a", "place_b"])
 
     def run(batches):
         held = None
@@ -290,7 +356,7 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(cols[0]), -1))
+            cols += [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(cols[0]), -1) for c, kind in (("bits", np.uint64), ("around", np.uint32))]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -304,27 +370,28 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, place_a long, place_b long")
 
 
-def _regions(pairs: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """(a, b, lo_a, hi_a, lo_b, hi_b): the interval join. Shingle positions that windows of enough functions cover."""
+def _regions(pairs: DataFrame) -> DataFrame:
+    """(a, b, lo_a, hi_a, lo_b, hi_b): the interval join. Shingle positions that windows cover, and RUN on either side.
+
+    Bounds are rounded outwards, so that a document's regions with its partners are often the same.
+    """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.select("a", "b", "place_a", "place_b").repartition(n, "a", "b").sortWithinPartitions("a", "b", "place_a")
 
     def joined(a, b, pa_, pb):
-        ca, cb, f = pa_ >> 30, pb >> 30, pa_ >> 26 & 15
-        la, ra, lb, rb = ca - (pa_ >> 13 & REACH), ca + (pa_ & REACH), cb - (pb >> 13 & REACH), cb + (pb & REACH)
+        ca, cb = pa_ >> 30, pb >> 30
+        la, ra, lb, rb = ca - (pa_ >> 13 & REACH) - RUN, ca + (pa_ & REACH) + RUN, cb - (pb >> 13 & REACH) - RUN, cb + (pb & REACH) + RUN
         # distances with gaps of at most DRIFT belong together; then intervals of a that overlap
         order = np.lexsort((cb - ca, b, a))
-        a, b, ca, cb, f, la, ra, lb, rb = (x[order] for x in (a, b, ca, cb, f, la, ra, lb, rb))
+        a, b, ca, cb, la, ra, lb, rb = (x[order] for x in (a, b, ca, cb, la, ra, lb, rb))
         apart = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (np.diff(cb - ca) > DRIFT)
-        group = np.concatenate([[0], np.cumsum(apart)]) * (int(ra.max()) + 1)
+        group = np.concatenate([[0], np.cumsum(apart)]) * (int(ra.max()) + RUN + 1)
         order = np.lexsort((la, group))
-        a, b, f, la, ra, lb, rb, group = (x[order] for x in (a, b, f, la, ra, lb, rb, group))
+        a, b, la, ra, lb, rb, group = (x[order] for x in (a, b, la, ra, lb, rb, group))
         upto = np.maximum.accumulate(ra + group)
         starts = np.flatnonzero(np.concatenate([[True], (la + group)[1:] > upto[:-1]]))
-        functions = np.bitwise_count(np.bitwise_or.reduceat(1 << f, starts))
-        made = [a[starts], b[starts], *(np.minimum.reduceat(x, starts) if k % 2 == 0 else np.maximum.reduceat(x, starts) for k, x in enumerate((la, ra, lb, rb)))]
-        keep = functions >= enough
-        return [x[keep] for x in made]
+        low, high = (lambda x: np.maximum(0, np.minimum.reduceat(x, starts)) & ~63), (lambda x: np.maximum.reduceat(x, starts) | 63)
+        return [a[starts], b[starts], low(la), high(ra), low(lb), high(rb)]
 
     def run(batches):
         held = None
@@ -345,17 +412,33 @@ def _regions(pairs: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, lo_a long, hi_a long, lo_b long, hi_b long")
 
 
-def shared_passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(start, words) in y and in x, and the similarity, of maximal passages of y that x has; x, y: word hashes."""
-    if min(len(x), len(y)) < WORDS:
-        return []
-    p, q = (shingle_hashes(v.astype(np.uint64), np.array([len(v)]), SHINGLE)[0] for v in (x, y))
-    order = np.argsort(p, kind="stable")
-    at = np.minimum(np.searchsorted(p[order], q), len(p) - 1)
-    there = np.where(p[order][at] == q, order[at], -1)
+def shared_passages(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[list[tuple[int, int, int, int, float]]]:
+    """For each pair of word hashes: (start, words) in y and in x, and the similarity, of maximal passages of y that x has."""
+    out: list[list] = [[] for _ in xs]
+    used = [i for i, (x, y) in enumerate(zip(xs, ys)) if min(len(x), len(y)) >= WORDS]
+    if not used:
+        return out
+    sides = []
+    for arrays in (xs, ys):
+        n = np.array([len(arrays[i]) for i in used])
+        h, n = shingle_hashes(np.concatenate([arrays[i] for i in used]).astype(np.uint64), n, SHINGLE)
+        sides.append((h, n, np.cumsum(n) - n))
+    (p, pn, p_at), (q, qn, q_at) = sides
+    own = mixed(np.arange(len(used), dtype=np.uint64), 7)
+    keys, asked = p ^ np.repeat(own, pn), q ^ np.repeat(own, qn)
+    order = np.argsort(keys, kind="stable")
+    at = np.minimum(np.searchsorted(keys[order], asked), len(p) - 1)
+    there = np.where(keys[order][at] == asked, order[at] - np.repeat(p_at, qn), -1)
+    hits = np.add.reduceat(there >= 0, q_at)
+    for k in np.flatnonzero(hits >= RUN * THRESHOLD).tolist():
+        x, y = slice(p_at[k], p_at[k] + pn[k]), slice(q_at[k], q_at[k] + qn[k])
+        out[used[k]] = _found(p[x], q[y], there[y])
+    return out
+
+
+def _found(p: np.ndarray, q: np.ndarray, there: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Passages of q that p has; there: where p has each shingle of q, -1 if nowhere."""
     hit = np.flatnonzero(there >= 0)
-    if len(hit) < RUN * THRESHOLD:
-        return []
     ends = np.flatnonzero(np.diff(hit) > 1)
     first, last = np.concatenate([[0], ends + 1]), np.concatenate([ends, [len(hit) - 1]])
     # A passage of n shingles, m of them shared, has a similarity of about m / (2n - m).
@@ -392,36 +475,45 @@ def _measured(p: np.ndarray, q: np.ndarray, there: np.ndarray, lo: int, hi: int)
     return int(lo), int(hi - lo + SHINGLE), a_lo, int(a_hi - a_lo + SHINGLE), float(similarity)
 
 
-def _slices(rows: DataFrame, asked: DataFrame) -> DataFrame:
+def _slices(rows: DataFrame, asked: DataFrame, made: list[str]) -> DataFrame:
     """(id, lo, hi, words): 32-bit hashes of the words that a region's shingles cover."""
-    joined = only(rows, written(asked.select("id").distinct(), "asked"), "left_semi").join(asked, "id")
+    lists = written(asked.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("asked")), "asked", made)
+    joined = only(rows, lists.select("id"), "left_semi").join(lists, "id")
 
     def run(batches):
         table = WordTable(hash_words)
         for part in chunks(batches, "text"):
             numbers, counts = table.number(part.column("text"), lower=True)
             words, ends = (table.filled()[numbers] >> np.uint64(32)).astype(np.uint32), np.cumsum(counts)
-            lo, hi = (part.column(c).to_pylist() for c in ("lo", "hi"))
-            cut = [words[e - n + max(0, a) : min(e, e - n + b + SHINGLE)].tobytes() for e, n, a, b in zip(ends.tolist(), counts.tolist(), lo, hi)]
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "lo": part.column("lo"), "hi": part.column("hi"), "words": pa.array(cut, pa.binary())})
+            lists = part.column("asked")
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            lo, hi = (lists.flatten().field(x) for x in ("lo", "hi"))
+            start = (ends - counts)[doc]
+            cut = [words[a:b].tobytes() for a, b in zip((start + lo.to_numpy()).tolist(), np.minimum(ends[doc], start + hi.to_numpy() + SHINGLE).tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(doc)), lo, hi, pa.array(cut, pa.binary())], names=["id", "lo", "hi", "words"])
 
-    return joined.select("id", "text", "lo", "hi").mapInArrow(run, "id long, lo long, hi long, words binary")
+    return joined.select("id", "text", "asked").mapInArrow(run, "id long, lo long, hi long, words binary")
 
 
-def _verified(regions: DataFrame, rows: DataFrame) -> DataFrame:
+#: Words of regions that are verified at once.
+VERIFIED = 1 << 20
+
+
+def _verified(regions: DataFrame, rows: DataFrame, made: list[str]) -> DataFrame:
     """Passages of the regions, verified word by word."""
     asked = regions.select(F.col("a").alias("id"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi"))
-    asked = written(asked.union(regions.select("b", "lo_b", "hi_b")).distinct(), "regions")
-    slices = written(_slices(rows, asked), "slices")
+    slices = written(_slices(rows, asked.union(regions.select("b", "lo_b", "hi_b")), made), "slices", made)
     side = lambda s: slices.select(F.col("id").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.col("words").alias(f"x_{s}"))
     both = regions.join(side("a"), ["a", "lo_a", "hi_a"]).join(side("b"), ["b", "lo_b", "hi_b"]).select("a", "b", "lo_a", "lo_b", "x_a", "x_b")
 
     def run(batches):
         for batch in batches:
+            a, b, lo_a, lo_b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "lo_a", "lo_b", "x_a", "x_b"))
+            place = np.cumsum([len(p) + len(q) for p, q in zip(x, y)]) // (4 * VERIFIED)
             out = []
-            for a, b, lo_a, lo_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "lo_a", "lo_b", "x_a", "x_b"))):
-                for start, n, a_start, a_n, similarity in shared_passages(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)):
-                    out.append((b, max(0, lo_b) + start, n, a, max(0, lo_a) + a_start, a_n, similarity))
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(place)) + 1):
+                found = shared_passages([np.frombuffer(x[i], np.uint32) for i in part], [np.frombuffer(y[i], np.uint32) for i in part])
+                out += [(b[i], lo_b[i] + start, n, a[i], lo_a[i] + a_start, a_n, similarity) for i, some in zip(part.tolist(), found) for start, n, a_start, a_n, similarity in some]
             if out:
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.float64())], names=[x.split()[0] for x in PASSAGES.split(", ")])
@@ -431,30 +523,27 @@ def _verified(regions: DataFrame, rows: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of a document that a document with a smaller id has: PASSAGES."""
-    spark = docs.sparkSession
+    made: list[str] = []
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    named = written(rows.select("id", F.md5(F.col("text").cast("binary")).alias("name"), words.alias("n")), "named")
-    total = named.count()
+    named = written(rows.select("id", F.md5(F.col("text").cast("binary")).alias("name"), words.alias("n")), "named", made)
+    total, ids = named.agg(F.count("*"), F.count_distinct("id")).first()
     reps = named.groupBy("name").agg(F.min("id").alias("rep"))
-    copies = written(named.join(reps, "name").where("id != rep").select("id", "rep", "n").distinct(), "copies")
-    used = named.where(f"n >= {WORDS}").select(F.col("id").alias("rep")).distinct()
-    spare = written(copies.select("id").distinct().join(named.join(reps, "name").where("id = rep").select("id").distinct(), "id", "left_anti"), "spare")
-    texts = only(rows, spare, "left_anti").dropDuplicates(["id", "text"]) if total != named.select("id").distinct().count() else only(rows, spare, "left_anti")
-
-    frequent = _frequent_keys(texts, total)
-    windows = _windows(texts)
-    hot = F.shiftright("key", 16).isin(frequent) if len(frequent) <= 200 else F.array_contains(F.array(*[F.lit(k) for k in frequent]), F.shiftright("key", 16))
-    salt = F.when(hot, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(-1) if frequent else F.lit(-1)
-    met, path = written_path(_met(windows.withColumn("salt", salt.cast("long"))), "windows")
-    pairs = _paired(met)
-    regions = written(_regions(pairs), "regions")
-    found = written(_verified(regions, texts).distinct(), "passages")
-    rest = written(_regions(_tiled(written(_open(met, found), "open"), texts), 1), "regions")
-    drop_path(spark, path)
-    found = found.union(_verified(rest, texts)).distinct()
+    copies = written(named.join(reps, "name").where("id != rep").select("id", "rep", "n").distinct(), "copies", made)
+    spare = copies.select("id").distinct().join(named.join(reps, "name").where("id = rep").select("id").distinct(), "id", "left_anti")
+    texts = only(rows, written(spare, "spare", made), "left_anti")
+    texts = texts.dropDuplicates(["id", "text"]) if ids < total else texts
+
+    met = written(_met(_dealt(texts, total, made)), "windows", made)
+    regions = written(_regions(_paired(met)), "regions", made)
+    found = written(_verified(regions, texts, made).distinct(), "passages", made)
+    rest = written(_regions(_tiled(written(_open(met, found), "open", made), texts)), "regions", made)
+    found = found.union(_verified(rest, texts, made)).distinct()
     whole = copies.where(f"n >= {WORDS}").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("earlier_id"), F.lit(0).cast("long").alias("earlier_start"), F.col("n").alias("earlier_words"), F.lit(1.0).alias("similarity"))
-    return found.union(whole)
+    out = written(found.union(whole), "shared")
+    for path in made:
+        drop_path(docs.sparkSession, path)
+    return out
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -393,8 +393,9 @@ def test_passages_do_not_depend_on_salts(spark, monkeypatch):
     passages.find(frame)
     plain, pairs[:] = pairs[0], []
     monkeypatch.setattr(passages, "FREQUENT", 2)
+    monkeypatch.setattr(passages, "FRACTION", 1)
     monkeypatch.setattr(passages, "SALTS", 16)
-    passages.find(frame)
+    passages.find(frame.repartition(7))
     assert len(plain) > 100 and pairs[0] == plain
 
 
@@ -408,13 +409,14 @@ def test_passages_behind_stock_phrases(spark):
     assert set(got) == set(range(301, 306)) and all(set(range(30, 80)) <= x for x in got.values())
 
 
-def test_one_agreeing_function_is_enough(spark, monkeypatch):
-    monkeypatch.setattr(passages, "HASHES", 1)
+def test_long_shared_passage(spark):
+    """20,000 words in common are found whole, with one word changed in every 100."""
     rng = random.Random(11)
-    shared = text(rng, 60)
-    rows = [(k, f"{text(rng, 30)} {shared} {text(rng, 30)}") for k in range(3)]
+    shared = text(rng, 20_000).split()
+    near = [f"changed{k}" if k % 100 == 50 else w for k, w in enumerate(shared)]
+    rows = [(k, f"{text(rng, 30)} {' '.join(x)} {text(rng, 30)}") for k, x in enumerate((shared, shared, near))]
     got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2} and all(set(range(30, 20_030)) <= x for x in got.values())
 
 
 def near_holders(rng: random.Random, n: int, group: int) -> tuple[list, list[int]]:
@@ -431,24 +433,34 @@ def near_holders(rng: random.Random, n: int, group: int) -> tuple[list, list[int
     return rows, copies
 
 
-def test_near_passages_are_met_under_one_function(spark):
-    rng = random.Random(10)
-    rows, copies = near_holders(rng, 40, 5)
-    got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)))
-    assert len(set(copies) & set(got)) >= 0.99 * len(copies)
+def test_near_passages_of_groups(spark):
+    """Passages of 50 words with one changed: of lone pairs, of small groups and of groups that share keys."""
+    for n, group in ((2, 100), (3, 60), (40, 5)):
+        rows, copies = near_holders(random.Random(10 + n), n, group)
+        got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)))
+        assert len(set(copies) & set(got)) >= 0.99 * len(copies), n
+
+
+def test_a_stretch_that_goes_on_elsewhere(spark):
+    """The first holder of a stretch lacks what is around it in two later documents; that is found as well."""
+    rng = random.Random(12)
+    left, middle, right = text(rng, 20), text(rng, 60), text(rng, 12)
+    rows = [(0, f"{text(rng, 30)} {middle} {text(rng, 30)}")] + [(k, f"{text(rng, 30)} {left} {middle} {right} {text(rng, 30)}") for k in (1, 2, 3)]
+    got = _covered(passages.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    assert set(range(50, 110)) <= got[1] and all(set(range(30, 122)) <= got[k] for k in (2, 3))
 
 
 def test_regions_across_distances(spark):
-    """Distances on both sides of a bucket's edge, and a chance pair of another distance in between."""
+    """Distances on both sides of a bucket's edge, a chance pair of another distance in between, and a far one."""
 
-    def row(b, ca, shift, f):
-        return 1, b, ca << 30 | f << 26 | 10 << 13 | 10, (ca + shift) << 30 | f << 26 | 10 << 13 | 10
+    def row(b, ca, shift):
+        return 1, b, ca << 30 | 10 << 13 | 10, (ca + shift) << 30 | 10 << 13 | 10
 
-    rows = [row(2, 10, 47, 0), row(2, 12, 48, 1), row(2, 60, 47, 0), row(2, 62, 48, 1)]
-    rows += [row(3, 10, 0, 0), row(3, 12, 40, 2), row(3, 14, 0, 1)]
+    rows = [row(2, 110, 47), row(2, 112, 48), row(2, 160, 47), row(2, 162, 48)]
+    rows += [row(3, 110, 0), row(3, 112, 40), row(3, 114, 0), row(3, 2000, 0)]
     found = passages._regions(spark.createDataFrame(rows, "a long, b long, place_a long, place_b long").coalesce(1))
     got = sorted((r.b, r.lo_a, r.hi_a, r.lo_b, r.hi_b) for r in found.collect())
-    assert got == [(2, 0, 22, 47, 70), (2, 50, 72, 97, 120), (3, 0, 24, 0, 24)]
+    assert got == [(2, 0, 255, 64, 319), (3, 0, 191, 0, 191), (3, 0, 191, 64, 255), (3, 1920, 2111, 1920, 2111)]
 
 
 def test_compact_windows_hold_every_run_once():
