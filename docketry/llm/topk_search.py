@@ -1,17 +1,18 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Vectors are turned into integers, floor(scale * x). Rows are packed into blocks; in each block every dimension has
-one sorted list. A query reads all lists from their best ends, step by step, and keeps for each row a lower bound
-(what was read, and the list's worst value for the rest) and an upper bound (what was read, and the list's last read
-value for the rest). It stops when few rows outside can still reach the k-th lower bound, and resolves the final
-scores of those that can. A block's result is exact, so the best k over all blocks are.
-
-The query set meets all rows in blocks: row blocks go to each query block's key, salted so that one query block's
-work spreads over tasks.
-
-Edge cases: vectors that are null or hold null or non-finite components take no part, as query or candidate; vectors
-of another length are no candidates; ties go to the smaller id, a null id last; rows that share the query's id count
-as its own; an empty table gives no rows; extra columns are ignored.
+one sorted list. A query reads all lists from their best ends, step by step, and adds what it reads to its rows'
+sums. A row's lower bound is its sum and each unread list's worst value, its upper bound its sum and each unread list's
+last read value. A query stops when few rows outside can still reach the k-th lower bound, and resolves the final
+scores of those that can; at the end of the lists the sums are the scores. A block's result is exact, so the best k
+over all blocks are.
+
+The query set meets all rows in blocks: blocks of queries, the smaller side, go to each block of rows.
+
+Edge cases: vectors that are null or hold null or non-finite components take no part, as query or candidate, nor do
+those with a component so large that scores might reach 2 ** 53, from where sums are not exact; vectors of another
+length are no candidates; ties go to the smaller id, a null id last; rows that share the query's id count as its own;
+an empty table gives no rows; extra columns are ignored; ids are cast to long, and text ids end the job.
 """
 
 from __future__ import annotations
@@ -21,69 +22,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, ROWS, QUERIES, SALTS = 256, 8192, 256, 8
+from docketry.llm.common import written
+
+SCALE, ROWS, QUERIES = 256, 4096, 256
+#: Steps in which the lists are read to their ends.
+STEPS = 8
 _NO_ID = np.iinfo(np.int64).max
 
 
 class SortedLists:
     """The rows of one block with a sorted list for each dimension, read from either end.
 
-    Queries advance together, by depth: what a list has given at a depth is the same for all queries that read it
-    from one end, so bounds of many queries are sums over two masks of read entries.
+    Queries advance together: a list gives the same entries to all queries that read it from one end. read and
+    entries count what queries have read, and what there was to read.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows, self.values = ids, rows, rows.astype(np.float64)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(rows))[:, None], order.shape), axis=0)
+        self.ids, self.rows = ids, rows
+        self.order = np.argsort(rows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(rows, self.order, axis=0).astype(np.float64)
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.broadcast_to(np.arange(len(rows))[:, None], rows.shape), axis=0)
+        self.read = self.entries = 0
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and exact scores of its k best rows, but for those with its own id."""
-        n, out = len(self.ids), [None] * len(queries)
-        active, depth = np.arange(len(queries)), max(4 * k, n // 16)
+        (n, dims), out = self.rows.shape, [None] * len(queries)
+        active, depth, sums = np.arange(len(queries)), 0, np.zeros((n, len(queries)))
+        self.entries += n * dims * len(queries)
         while len(active):
-            if depth >= n or n <= 4 * k:
-                scores = self.values @ queries[active].T.astype(np.float64)
-                for c, q in enumerate(active):
-                    at = np.flatnonzero((self.ids != own[q]) & (scores[:, c] >= self._kth(scores[:, c], own[q], k)))
-                    out[q] = self._resolved(at, queries[q], k)
-                break
-            lower, upper = self._bounds(queries[active].astype(np.float64), depth)
-            going = []
-            for c, q in enumerate(active):
+            weights, to = queries[active].astype(np.float64), min(n, depth + -(-n // STEPS))
+            self._add(sums, weights, depth, to)
+            self.read += (to - depth) * dims * len(active)
+            depth, going = to, []
+            if depth < n:
+                lower, upper = self._bounds(sums, weights, depth)
+            for c, q in enumerate(active.tolist()):
+                others = self.ids != own[q]
+                if depth == n:
+                    out[q] = self._best(np.flatnonzero(others & (sums[:, c] >= self._kth(sums[:, c], others, k))), sums[:, c].astype(np.int64), k)
+                    continue
                 slack = 1e-9 * (1 + np.abs(upper[:, c]).max())
-                able = np.flatnonzero((self.ids != own[q]) & (upper[:, c] >= self._kth(lower[:, c], own[q], k) - slack))
-                if len(able) <= max(8 * k, n // 8):
-                    out[q] = self._resolved(able, queries[q], k)
+                able = np.flatnonzero(others & (upper[:, c] >= self._kth(lower[:, c], others, k) - slack))
+                if len(able) <= max(8 * k, n // 32):
+                    scores = np.zeros(n, np.int64)
+                    scores[able] = self.rows[able] @ queries[q]
+                    out[q] = self._best(able, scores, k)
                 else:
-                    going.append(q)
-            active, depth = np.array(going, np.int64), 4 * depth
+                    going.append(c)
+            active, sums = active[going], sums[:, going]
         return out
 
-    def _kth(self, scores: np.ndarray, own: int, k: int) -> float:
+    def _add(self, sums: np.ndarray, weights: np.ndarray, depth: int, to: int) -> None:
+        """Adds the entries between two depths: from the lists' ends for positive weights, from their starts for others."""
+        n, dims = self.rows.shape
+        ends, starts = np.maximum(weights, 0), np.minimum(weights, 0)
+        for d in range(dims):
+            sums[self.order[n - to : n - depth, d]] += np.outer(self.sorted[n - to : n - depth, d], ends[:, d])
+            sums[self.order[depth:to, d]] += np.outer(self.sorted[depth:to, d], starts[:, d])
+
+    def _kth(self, scores: np.ndarray, others: np.ndarray, k: int) -> float:
         """The k-th best of the scores of rows with another id; below all where there are fewer."""
-        others = scores[self.ids != own]
-        return np.partition(others, len(others) - k)[len(others) - k] if len(others) >= k else -np.inf
-
-    def _bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of all rows' scores for all queries when every list has given depth entries."""
-        n, lower, upper = len(self.ids), 0.0, 0.0
-        for weight, read, last, worst in (
-            (np.maximum(queries, 0), self.rank >= n - depth, self.sorted[n - depth], self.sorted[0]),
-            (np.minimum(queries, 0), self.rank < depth, self.sorted[depth - 1], self.sorted[-1]),
+        some = scores[others]
+        return np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else -np.inf
+
+    def _bounds(self, sums: np.ndarray, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all rows' scores when every list has given depth entries."""
+        n, lower, upper = len(self.ids), sums.copy(), sums.copy()
+        for weight, unread, last, worst in (
+            (np.maximum(weights, 0), self.rank < n - depth, self.sorted[n - depth], self.sorted[0]),
+            (np.minimum(weights, 0), self.rank >= depth, self.sorted[depth - 1], self.sorted[-1]),
         ):
-            known = np.where(read, self.values, 0.0) @ weight.T
-            unread = (~read).astype(np.float64)
-            lower = lower + known + unread @ (weight * worst).T
-            upper = upper + known + unread @ (weight * last).T
+            unread = unread.astype(np.float64)
+            lower += unread @ (weight * worst).T
+            upper += unread @ (weight * last).T
         return lower, upper
 
-    def _resolved(self, at: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        scores = self.rows[at] @ query
-        best = np.lexsort((self.ids[at], -scores))[:k]
-        return self.ids[at[best]], scores[best]
+    def _best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        best = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
+        return self.ids[best], scores[best]
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -118,33 +135,38 @@ def search(
     rows: int = ROWS, queries: int = QUERIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query row."""
-    whole = F.expr(f"`{vector_col}` IS NOT NULL AND forall(`{vector_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    vector = F.col(vector_col)
+    most = F.sqrt(F.lit(float(1 << 53)) / F.greatest(F.size(vector), F.lit(1)))
+    whole = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.lit(float(scale)) * x.cast("double")) < most))
     kept = vectors.where(whole).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("ask"),
         F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("vector"),
     )
+    blocks = written(_blocks(kept.select("id", "vector"), rows), "blocks")
     asked = kept.where("ask AND id IS NOT NULL")
-    parts = max(1, -(-asked.count() // queries))
+    parts, places = max(1, -(-asked.count() // queries)), max(1, blocks.count())
     asking = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.size("vector").alias("dim")).agg(
         F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows"))
-    asking = asking.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    blocks = _blocks(kept.select("id", "vector"), rows)
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    asking = asking.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).select("place", "dim", "rows")
+    blocks = blocks.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int"))
 
     def run(batches):
+        last, lists = None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                dim = row.column("dim")[0].as_py()
-                ids = np.frombuffer(row.column("ids")[0].as_py(), "<i8")
-                lists = SortedLists(ids, np.frombuffer(row.column("data")[0].as_py(), "<i8").reshape(len(ids), dim))
-                asked = row.column("rows")[0].as_py()
-                vectors, own = np.array([x["vector"] for x in asked], np.int64).reshape(len(asked), dim), np.array([x["id"] for x in asked], np.int64)
+                dim, data = row.column("dim")[0].as_py(), (row.column("ids")[0].as_py(), row.column("data")[0].as_py())
+                if data != last:  # a block's pairs come one after another
+                    ids = np.frombuffer(data[0], "<i8")
+                    last, lists = data, SortedLists(ids, np.frombuffer(data[1], "<i8").reshape(len(ids), dim))
+                asked = row.column("rows")[0].values
+                own = asked.field("id").to_numpy(zero_copy_only=False)
+                vectors = asked.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(own), dim)
                 out = [(q, v, s) for q, (found, scores) in zip(own.tolist(), lists.top(vectors, own, k)) for v, s in zip(found.tolist(), scores.tolist())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    pairs = blocks.join(asking, ["part", "salt", "dim"]).select("dim", "ids", "data", "rows")
+    pairs = blocks.join(asking, ["place", "dim"]).select("dim", "ids", "data", "rows")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
