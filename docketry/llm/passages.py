@@ -49,9 +49,8 @@ DRIFT = 12
 #: Keys with FREQUENT windows in a sample of the texts (SAMPLED of them, FRACTION at most) are dealt over SALTS tasks.
 #: Their list is shorter than the sample's windows by that factor.
 SALTS, SAMPLED, FRACTION, FREQUENT = 32, 200_000, 0.02, 24
-#: Windows of one side of a tile; bits that stand for the shingles around a window, and how many two windows of a
-#: passage have in common at least: its 46 shingles at a similarity of 0.8 share 41, less what falls on one bit.
-TILE, CONTEXT, NEAR = 8192, 512, 30
+#: Windows of one side of a tile; places to which the shingles around a window are hashed, to count what two share.
+TILE, CONTEXT = 8192, 512
 #: The share of common shingles from which a run around two windows is tried; passages have 8 / 9.
 TRIED = 0.85
 #: A window's extent on either side of its centre, in the packed row. Longer ones are cut: any LEAST shingles that two
@@ -148,6 +147,25 @@ def signed_windows(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     return key, left, centres[0], right
 
 
+def thinned(key: np.ndarray, left: np.ndarray, c: np.ndarray, right: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows without those between two others of their key, in one document and in one stretch of RUN // 2 places.
+
+    A passage of RUN shingles that holds such a window holds one of the two as well, so texts that go in circles need
+    no window at every turn. The two get the extents of all. doc, first: each window's text, and where it starts.
+    """
+    stretch = (c - first) // (RUN // 2)
+    order = np.lexsort((c, stretch, key, doc))
+    change = np.any([x[order][1:] != x[order][:-1] for x in (doc, key, stretch)], axis=0)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(c)), bool), change]))
+    if not len(starts):
+        return key, left, c, right
+    ends = np.append(starts[1:], len(c)) - 1
+    sizes = ends - starts + 1
+    left[order], right[order] = np.repeat(np.minimum.reduceat(left[order], starts), sizes), np.repeat(np.maximum.reduceat(right[order], starts), sizes)
+    kept = np.sort(order[np.unique(np.concatenate([starts, ends]))])
+    return key[kept], left[kept], c[kept], right[kept]
+
+
 def _windows(rows: DataFrame) -> DataFrame:
     """(key, id, place): every window of every text."""
 
@@ -163,6 +181,8 @@ def _windows(rows: DataFrame) -> DataFrame:
             ids = part.column("id").to_numpy(zero_copy_only=False)[used]
             key, left, c, right = signed_windows(h, starts, n)
             doc = np.searchsorted(starts, c, side="right") - 1
+            key, left, c, right = thinned(key, left, c, right, doc, starts[doc])
+            doc = np.searchsorted(starts, c, side="right") - 1
             place = (c - starts[doc]) << 30 | np.minimum(c - left, REACH) << 13 | np.minimum(right - c, REACH)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(place)], names=["key", "id", "place"])
 
@@ -221,43 +241,29 @@ def _open(met: DataFrame, found: DataFrame) -> DataFrame:
     return met.join(spans, "id", "left").select("key", "id", "place", "salt", (~F.coalesce(inside, F.lit(False))).alias("open"))
 
 
-def fewest_distinct(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The least count of distinct values in a run of RUN values that holds c and lies in [first, last]; RUN if there is none."""
-    order = np.argsort(h, kind="stable")
-    before = np.full(len(h), -1)
-    same = np.flatnonzero(h[order][1:] == h[order][:-1])
-    before[order[same + 1]] = order[same]
-    again = before >= np.maximum(0, np.arange(len(h)) - RUN + 1)
-    upto, out = np.concatenate([[0], np.cumsum(again)]), np.full(len(c), RUN)
-    some = np.flatnonzero(upto[np.minimum(last, c + RUN - 1) + 1] > upto[np.maximum(first, c - RUN + 1)])
-    for k in range(0, len(some), 1 << 12):
-        at = some[k : k + (1 << 12)]
-        for s in range(RUN):
-            start = c[at] - s
-            fits = (start >= first[at]) & (start + RUN - 1 <= last[at])
-            own, start = at[fits], start[fits]
-            out[own] = np.minimum(out[own], (before[start[:, None] + np.arange(RUN)] < start[:, None]).sum(axis=1))
-    return out
-
-
-def contexts(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, around) for each centre c: the shingles less than RUN away inside [first, last], as set bits of
-    CONTEXT // 64 words, and as 32-bit hashes in order, 0 where there is none."""
-    bits, around = np.empty((len(c), CONTEXT // 64), np.uint64), np.empty((len(c), 2 * RUN - 1), np.uint32)
+def contexts(h: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each centre c the shingles less than RUN away inside [first, last], as 32-bit hashes in order, 0 for none."""
+    around = np.empty((len(c), 2 * RUN - 1), np.uint32)
     for k in range(0, len(c), 1 << 13):
         part = slice(k, k + (1 << 13))
         at = c[part, None] + np.arange(1 - RUN, RUN)
         inside = (at >= first[part, None]) & (at <= last[part, None])
-        near = h[np.clip(at, first[part, None], last[part, None])]
-        set_ = np.zeros((len(at), CONTEXT), np.uint8)
-        set_[np.arange(len(at))[:, None], (near >> np.uint64(20) & np.uint64(CONTEXT - 1)).astype(np.int64)] = 1
-        bits[part] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64)
-        around[part] = np.where(inside, np.maximum(near >> np.uint64(32), np.uint64(1)), np.uint64(0))
-    return bits, around
+        near = h[np.clip(at, first[part, None], last[part, None])] >> np.uint64(32)
+        around[part] = np.where(inside, np.maximum(near, np.uint64(1)), np.uint64(0))
+    return around
+
+
+def counted(around: np.ndarray) -> np.ndarray:
+    """How many shingles of each row fall on each of CONTEXT places."""
+    at = np.arange(len(around))[:, None] * CONTEXT + (around & np.uint32(CONTEXT - 1))
+    return np.bincount(at[around > 0], minlength=len(around) * CONTEXT).reshape(-1, CONTEXT).astype(np.float32)
 
 
 def _described(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """asked (key, id, place, open, grid) with need, bits and around: what stands around each window, from the texts."""
+    """asked (key, id, place, open, grid) with around: what stands around each window, from the texts.
+
+    places: those of windows that are alike.
+    """
     cols = ["key", "place", "open", "grid"]
     joined = rows.join(asked.groupBy("id").agg(F.collect_list(F.struct(*cols)).alias("asked")), "id").select("id", "text", "asked")
 
@@ -275,14 +281,31 @@ def _described(asked: DataFrame, rows: DataFrame) -> DataFrame:
             # an id may have several texts; a window of another one may lie beyond this one's end
             used = np.flatnonzero(c <= last)
             first, last, c = first[used], last[used], c[used]
-            bits, around = contexts(h, c, first, last)
-            need = np.maximum(1, np.minimum(NEAR, fewest_distinct(h, c, first, last) * NEAR // RUN))
-            ids = part.column("id").to_numpy(zero_copy_only=False)[doc[used]]
-            raw = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(c), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in (bits, around)]
-            made = [pa.array(key[used]), pa.array(ids), pa.array(place[used]), pa.array(open_[used].astype(bool)), pa.array(grid[used]), pa.array(need), *raw]
-            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "place", "open", "grid", "need", "bits", "around"])
-
-    return joined.mapInArrow(run, "key long, id long, place long, open boolean, grid int, need long, bits binary, around binary")
+            around = contexts(h, c, first, last)
+            doc = doc[used]
+            # windows of one key and document with the same around them, as in texts that go in circles, are compared once
+            marks = np.stack([key[used].view(np.uint64), doc.astype(np.uint64), *mixed_rows(around)])
+            order = np.lexsort((place[used], *marks))
+            heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (np.diff(marks[:, order], axis=1) != 0).any(axis=0)]))
+            kept, sizes = order[heads], np.diff(np.append(heads, len(order)))
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(place[used][order]))
+            asked_open = np.maximum.reduceat(open_[used][order].astype(np.int8), heads).astype(bool) if len(heads) else np.zeros(0, bool)
+            used, around = used[kept], around[kept]
+            ids = part.column("id").to_numpy(zero_copy_only=False)[doc[kept]]
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * around.shape[1]), len(kept), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
+            made = [pa.array(key[used]), pa.array(ids), places, pa.array(asked_open), pa.array(grid[used]), raw]
+            yield pa.RecordBatch.from_arrays(made, names=["key", "id", "places", "open", "grid", "around"])
+
+    return joined.mapInArrow(run, "key long, id long, places array<long>, open boolean, grid int, around binary")
+
+
+def mixed_rows(around: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each row."""
+    out = np.zeros((2, len(around)), np.uint64)
+    for k in range(around.shape[1]):
+        out[0] = mixed(out[0] ^ around[:, k].astype(np.uint64), 2 * k)
+        out[1] = mixed(out[1] ^ around[:, k].astype(np.uint64), 2 * k + 1)
+    return out
 
 
 def common_extents(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +320,12 @@ def common_extents(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k in range(0, len(x), 512):
         part = slice(k, k + 512)
         there = ((y[part, :, None] == x[part, None, :]) & (y[part, :, None] > 0)).any(axis=2)
-        upto = np.concatenate([np.zeros((len(there), 1), np.int64), np.cumsum(there, axis=1)], axis=1)
+        upto = np.concatenate([np.zeros((len(there), 1), np.int16), np.cumsum(there, axis=1, dtype=np.int16)], axis=1)
+        # RUN shingles at either end of such a run have all that it has, less what is outside them
+        some = np.flatnonzero((upto[:, RUN:] - upto[:, :-RUN]).max(axis=1) >= RUN - (1 - TRIED) * (2 * RUN - 1) - 1)
+        if not len(some):
+            continue
+        there, upto, part = there[some], upto[some], some + k
         held = there[:, s] & there[:, e] & (upto[:, e + 1] - upto[:, s] >= TRIED * (e - s + 1))
         left[part] = np.where(held, RUN - 1 - s, -1).max(axis=1)
         right[part] = np.where(held, e - RUN + 1, -1).max(axis=1)
@@ -307,48 +335,53 @@ def common_extents(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, place_a, place_b), a < b: for each open window b, windows of its key with much alike around them.
 
-    Keys are compared in tiles of about TILE windows a side. A passage that two windows share has RUN shingles or more
-    that hold both centres, so NEAR of the shingles around are common to both (fewer where words repeat: need).
+    Keys are compared in tiles of about TILE windows a side. What two windows may share has at least TRIED of RUN
+    shingles of the later one in the earlier; a matrix product of what is around them counts these, or a few more.
     """
     of_key = met.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lo"), F.max(F.when(F.col("open"), F.col("id"))).alias("hi")).where("hi > lo")
     sizes = met.select("key", "salt").distinct().join(of_key, "key").select("key", "salt", F.ceil(F.col("m") / TILE).cast("int").alias("grid"))
     asked = met.join(sizes, ["key", "salt"]).select("key", "id", "place", "open", "grid")
     own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
     dealt = _described(asked, rows).select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("grid") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "id", "place", "open", "need", "bits", "around")
+    dealt = dealt.select("key", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "id", "places", "open", "around")
     n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "t", "u").sortWithinPartitions("key", "t", "u")
-    names = ["key", "t", "u", "own", "id", "place", "open", "need"]
+    names = ["key", "t", "u", "own", "id", "open"]
 
     def tile(cols):
-        key, t, u, own, node, place, open_, need, bits, around = cols
+        key, t, u, own, node, open_, places, around = cols
         change = np.flatnonzero((key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1])) + 1
         edges = np.concatenate([[0], change, [len(key)]])
-        end = np.repeat(edges[1:], np.diff(edges))
         # for each window the best reach to the left and to the right, and the window that has it
         best, with_ = np.full((2, len(key)), -1), np.full((2, len(key)), -1)
-        at, step = np.arange(len(key)), 1
-        at = at[end > at + 1]
-        while len(at):
-            i, j = at, at + step
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            keep = (node[i] != node[j]) & open_[j] & ((t[i] == u[i]) | (own[i] != own[j]))
-            i, j = i[keep], j[keep]
-            keep = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64) >= np.minimum(need[i], need[j])
-            if keep.any():
-                i, j = i[keep], j[keep]
-                for side, reach in enumerate(common_extents(around[i], around[j])):
-                    order = np.lexsort((node[i], -reach, j))
-                    first = order[np.concatenate([[True], np.diff(j[order]) != 0])]
-                    p, q, r = i[first], j[first], reach[first]
-                    better = (r > best[side][q]) | (r == best[side][q]) & (r >= 0) & (node[p] < node[with_[side][q]])
-                    best[side][q[better]], with_[side][q[better]] = r[better], p[better]
-            step += 1
-            at = at[end[at] > at + step]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            later = low + np.flatnonzero(open_[low:high])
+            if not len(later) or high - low < 2:
+                continue
+            counts = counted(around[later]).T
+            for at in range(low, high, 1024):
+                some = np.arange(at, min(high, at + 1024))
+                common = (counted(around[some]) > 0).astype(np.float32) @ counts >= int(TRIED * RUN)
+                common &= node[some][:, None] < node[later]
+                if t[low] != u[low]:
+                    common &= own[some][:, None] != own[later]
+                i, j = np.nonzero(common)
+                for k in range(0, len(i), 1 << 14):
+                    improved(around, node, best, with_, some[i[k : k + (1 << 14)]], later[j[k : k + (1 << 14)]])
         pairs = np.unique(np.concatenate([np.stack([with_[side][own_], own_], axis=1) for side in (0, 1) for own_ in [np.flatnonzero(with_[side] >= 0)]]), axis=0)
         if len(pairs):
             i, j = pairs.T
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], place[i], place[j])], names=["a", "b", "place_a", "place_b"])
+            n = np.fromiter(map(len, places[j]), np.int64, len(j))
+            first = np.fromiter((x[0] for x in places[i]), np.int64, len(i))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(np.repeat(x, n) for x in (node[i], node[j], first)), np.concatenate(places[j]))], names=["a", "b", "place_a", "place_b"])
+
+    def improved(around, node, best, with_, i, j):
+        for side, reach in enumerate(common_extents(around[i], around[j])):
+            order = np.lexsort((node[i], -reach, j))
+            first = order[np.concatenate([[True], np.diff(j[order]) != 0])]
+            p, q, r = i[first], j[first], reach[first]
+            better = (r > best[side][q]) | (r == best[side][q]) & (r >= 0) & (node[p] < node[with_[side][q]])
+            best[side][q[better]], with_[side][q[better]] = r[better], p[better]
 
     def run(batches):
         held = None
@@ -356,7 +389,8 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols += [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(len(cols[0]), -1) for c, kind in (("bits", np.uint64), ("around", np.uint32))]
+            cols.append(batch.column("places").to_numpy(zero_copy_only=False))
+            cols.append(np.frombuffer(b"".join(batch.column("around").to_pylist()), np.uint32).reshape(len(cols[0]), -1))
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
