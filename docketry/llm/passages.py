@@ -51,6 +51,8 @@ DRIFT = 12
 SALTS, SAMPLED, FRACTION, FREQUENT = 32, 200_000, 0.02, 24
 #: Windows of one side of a tile; places to which the shingles around a window are hashed, to count what two share.
 TILE, CONTEXT = 8192, 512
+#: Windows of a tile that is compared pair by pair.
+FEW = 4
 #: The share of common shingles from which a run around two windows is tried; passages have 8 / 9.
 TRIED = 0.85
 #: A window's extent on either side of its centre, in the packed row. Longer ones are cut: any LEAST shingles that two
@@ -354,9 +356,18 @@ def _tiled(met: DataFrame, rows: DataFrame) -> DataFrame:
         edges = np.concatenate([[0], change, [len(key)]])
         # for each window the best reach to the left and to the right, and the window that has it
         best, with_ = np.full((2, len(key)), -1), np.full((2, len(key)), -1)
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        sizes = np.diff(edges)
+        few = np.repeat(sizes <= FEW, sizes)
+        for step in range(1, FEW):  # small tiles together, pair by pair
+            i = np.flatnonzero(few[:-step] & few[step:] & (np.repeat(edges[1:], sizes)[:-step] > np.arange(len(key))[step:])) if step < len(key) else np.empty(0, np.int64)
+            i, j = np.where(node[i] < node[i + step], i, i + step), np.where(node[i] < node[i + step], i + step, i)
+            keep = (node[i] != node[j]) & open_[j] & ((t[i] == u[i]) | (own[i] != own[j]))
+            i, j = i[keep], j[keep]
+            for k in range(0, len(i), 1 << 14):
+                improved(around, node, best, with_, i[k : k + (1 << 14)], j[k : k + (1 << 14)])
+        for low, high in zip(edges[:-1][sizes > FEW].tolist(), edges[1:][sizes > FEW].tolist()):
             later = low + np.flatnonzero(open_[low:high])
-            if not len(later) or high - low < 2:
+            if not len(later):
                 continue
             counts = counted(around[later]).T
             for at in range(low, high, 1024):
@@ -559,11 +570,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per passage of a document that a document with a smaller id has: PASSAGES."""
     made: list[str] = []
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    named = written(rows.select("id", F.md5(F.col("text").cast("binary")).alias("name"), words.alias("n")), "named", made)
+    name = F.md5(F.col("text").cast("binary"))
+    named = written(rows.select("id", name.alias("name")), "named", made)
     total, ids = named.agg(F.count("*"), F.count_distinct("id")).first()
     reps = named.groupBy("name").agg(F.min("id").alias("rep"))
-    copies = written(named.join(reps, "name").where("id != rep").select("id", "rep", "n").distinct(), "copies", made)
+    copies = written(named.join(reps, "name").where("id != rep").distinct(), "copies", made)
+    firsts = only(rows, written(copies.select(F.col("rep").alias("id")).distinct(), "firsts", made), "left_semi")
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    copied = copies.join(firsts.select(F.col("id").alias("rep"), name.alias("name"), words.alias("n")).distinct(), ["rep", "name"])
     spare = copies.select("id").distinct().join(named.join(reps, "name").where("id = rep").select("id").distinct(), "id", "left_anti")
     texts = only(rows, written(spare, "spare", made), "left_anti")
     texts = texts.dropDuplicates(["id", "text"]) if ids < total else texts
@@ -573,7 +587,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = written(_verified(regions, texts, made).distinct(), "passages", made)
     rest = written(_regions(_tiled(written(_open(met, found), "open", made), texts)), "regions", made)
     found = found.union(_verified(rest, texts, made)).distinct()
-    whole = copies.where(f"n >= {WORDS}").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("earlier_id"), F.lit(0).cast("long").alias("earlier_start"), F.col("n").alias("earlier_words"), F.lit(1.0).alias("similarity"))
+    whole = copied.where(f"n >= {WORDS}").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start_word"), F.col("n").alias("n_words"), F.col("rep").alias("earlier_id"), F.lit(0).cast("long").alias("earlier_start"), F.col("n").alias("earlier_words"), F.lit(1.0).alias("similarity"))
     out = written(found.union(whole), "shared")
     for path in made:
         drop_path(docs.sparkSession, path)
