@@ -38,7 +38,7 @@ WIDTH, THRESHOLD = 5, 0.8
 #: A shingle is common if it is in more documents than COMMON_LEAST and than a COMMON_SHARE-th of them. It is looked for
 #: where COUNTED shingles of a task have it COMMON_SEEN times. The COMMON_KEPT most frequent ones are sent to all tasks
 #: (16 bytes each); which these are changes the order of shingles, so the work, but no link.
-COMMON_LEAST, COMMON_SHARE, COMMON_SEEN, COUNTED, COMMON_KEPT = 48, 20_000, 4, 4_000_000, 200_000
+COMMON_LEAST, COMMON_SHARE, COMMON_SEEN, COUNTED, COMMON_KEPT = 48, 20_000, 4, 2_000_000, 200_000
 #: Documents with a common shingle for each task that its keys are dealt to.
 DEALT = 50_000
 #: Ids up to this count are sent to all tasks (8 bytes each) to pick documents; more are joined by key.
