@@ -28,8 +28,18 @@ BLOCKS = "address article aside blockquote br dd div dl dt fieldset figcaption f
 # Dashes and quotes that count as one.
 DASHES, SINGLE, DOUBLE = "‐‑‒–—−", "‘’‚", "“”„"
 
-#: The inside of a tag: quoted spans whole, so that a ">" in an attribute does not end it.
-_INSIDE = r"""(?:[^>"']++|"[^"]*"|'[^']*'|["'])*"""
+# What counts as white space.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+#: A tag: quoted spans whole, so that a ">" in an attribute does not end it; up to the first ">" where a quote is left
+#: open. The group is possessive, so the matcher keeps no state for each attribute.
+_QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
+_PLAIN = "[^>]*+>"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, rf"\A[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++\z", "")
 
 
 def _named(text: Column) -> Column:
@@ -41,11 +51,11 @@ def _named(text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _numeric(texts: pd.Series) -> pd.Series:
     def one(match: re.Match) -> str:
-        body = match[1]
-        code = int(body[1:], 16) if body[0] == "x" else int(body)
+        digits, base = (match[2], 10) if match[2] else (match[1], 16)
+        code = int(digits[-12:], base) if not digits[:-12].strip("0") else 1 << 40
         return chr(code) if code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else match[0]
 
-    return texts.map(lambda t: None if t is None else re.sub(r"&#(x[0-9a-fA-F]{1,8}|[0-9]{1,9});", one, t))
+    return texts.map(lambda t: None if t is None else re.sub(r"&#(?:x([0-9a-fA-F]+)|([0-9]+));", one, t))
 
 
 def decoded(text: Column, numeric: bool = True) -> Column:
@@ -61,9 +71,10 @@ def html_to_text(html: Column, numeric: bool = True) -> Column:
     for region in ("script", "style", "head"):
         t = F.regexp_replace(t, rf"(?is)<{region}\b.*?</{region}\s*>", " ")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b{_INSIDE}>", "\n")
-    t = decoded(F.regexp_replace(t, rf"<{_INSIDE}>", ""), numeric)
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
+    block = rf"</?(?:{'|'.join(BLOCKS)})\b"
+    t = F.regexp_replace(t, rf"(?i)(?:{block}{_QUOTED}|{block}{_PLAIN})", "\n")
+    t = decoded(F.regexp_replace(t, rf"(?:<{_QUOTED}|<{_PLAIN})", ""), numeric)
+    t = F.regexp_replace(t, f"[{SPACES}&&[^\n]]+", " ")
     return F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
@@ -130,12 +141,12 @@ def block_ids(blocks: DataFrame, snapshot: str = "snapshot_id") -> DataFrame:
 
 def paragraphs(text: Column) -> Column:
     """Blank lines separate paragraphs; empty ones go."""
-    return F.filter(F.transform(F.split(text, r"\n[ \t\r\f\x0B]*\n\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, rf"\n[{SPACES}&&[^\n]]*\n[{SPACES}]*"), trimmed), lambda x: x != "")
 
 
 def prose_lines(text: Column) -> Column:
     """Trimmed lines that are not empty, or the whole text where there is none."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n+"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r?\n+"), trimmed), lambda x: x != "")
     return F.when(F.size(lines) > 0, lines).otherwise(F.array(text))
 
 
@@ -151,42 +162,60 @@ def wording(text: Column, unit: Column) -> Column:
 
 def string_norm(text: Column) -> Column:
     """Trimmed, folded, white space collapsed, trailing dots off."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "), r"\.+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(trimmed(text)), f"[{SPACES}]+", " "), r"\.+$", "")
 
 
 # Units that count as one.
 UNITS = {
-    "tsp": "teaspoon teaspoons tl teelöffel teeloeffel", "tbsp": "tablespoon tablespoons el esslöffel essloeffel", "g": "gram grams gm gramm",
-    "kg": "kilogram kilo kilogramm", "ml": "millilitre milliliter", "l": "litre liter", "cup": "cups tasse tassen", "clove": "cloves zehe zehen",
-    "can": "cans dose dosen", "pinch": "prise prisen", "sprig": "sprigs", "sheet": "sheets blatt blätter", "msp": "messerspitze",
-    "piece": "stück stueck stk", "bunch": "bund", "packet": "päckchen paeckchen pckg",
-}
+    "tsp": ["teaspoon", "teaspoons", "tl", "teelöffel", "teeloeffel"],
+    "tbsp": ["tablespoon", "tablespoons", "el", "esslöffel", "essloeffel"],
+    "g": ["gram", "grams", "gm", "gramm"],
+    "kg": ["kilogram", "kilo", "kilogramm"],
+    "ml": ["millilitre", "milliliter"],
+    "l": ["litre", "liter"],
+    "cup": ["cups", "tasse", "tassen"],
+    "clove": ["cloves", "zehe", "zehen"],
+    "can": ["cans", "dose", "dosen"],
+    "pinch": ["prise", "prisen"],
+    "sprig": ["sprigs"],
+    "sheet": ["sheets", "blatt", "blätter"],
+    "msp": ["messerspitze"],
+    "piece": ["stück", "stueck", "stk"],
+    "bunch": ["bund"],
+    "packet": ["päckchen", "paeckchen", "pckg"],
+}
+# Fraction signs.
+FRACTIONS = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8"}
 
 
 def unit_norm(unit: Column) -> Column:
     own = string_norm(F.coalesce(unit, F.lit("")))
-    pairs = [F.lit(x) for to, names in UNITS.items() for name in names.split() for x in (name, to)]
+    pairs = [F.lit(x) for to, names in UNITS.items() for name in names for x in (name, to)]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), own), own)
 
 
+#: A whole amount in one pattern: whole part or decimal, fraction, and the same again after a dash or "to".
+_AMOUNT = r"(?:(\d+(?:\.\d+)?)(?![\d./]))?(?: ?(\d+)/(\d+))?"
+_QUANTITY = rf"^{_AMOUNT}(?:\s*(-|–|—|to)\s*{_AMOUNT}(?: .*)?)?$"
+
+
 def quantity_norm(text: Column) -> Column:
-    """A comparable form: number to four places, lo..hi for a range, else the folded wording."""
-    t = text
-    for sign, plain in {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8"}.items():
-        t = F.replace(t, F.lit(sign), F.lit(" " + plain))
-    t = F.trim(F.regexp_replace(F.lower(F.trim(t)), r"\s+", " "))
-
-    def number(x: Column) -> Column:
-        part = lambda pattern, k: F.regexp_extract(x, pattern, k).try_cast("double")
-        mixed, plain = r"^(\d+) (\d+)/(\d+)$", r"^(\d+)/(\d+)$"
-        return (
-            F.when(F.regexp_like(x, F.lit(mixed)), part(mixed, 1) + F.try_divide(part(mixed, 2), part(mixed, 3)))
-            .when(F.regexp_like(x, F.lit(plain)), F.try_divide(part(plain, 1), part(plain, 2)))
-            .when(F.regexp_like(x, F.lit(r"^\d+(\.\d+)?$")), x.try_cast("double"))
-        )
-
-    sides = F.split(t, r"\s*(?:-|–|—|to)\s*")
-    lo, hi = number(F.get(sides, F.lit(0))), number(F.get(F.split(F.get(sides, F.lit(1)), " "), F.lit(0)))
+    """A comparable form: a number to four places, lo..hi for a range, else the folded wording.
+
+    A number is a whole or decimal part, a fraction, or a whole part and a fraction; what follows a range's second
+    number after a space, such as a unit, is left out.
+    """
+    t = reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(" " + FRACTIONS[sign])), FRACTIONS, text)
+    t = trimmed(F.regexp_replace(F.lower(t), f"[{SPACES}]+", " "))
+    group = lambda k: F.nullif(F.regexp_extract(t, _QUANTITY, k), F.lit("")).try_cast("double")
+
+    def number(whole: int) -> Column:
+        share = F.try_divide(group(whole + 1), group(whole + 2))
+        mixed = F.contains(F.regexp_extract(t, _QUANTITY, whole), F.lit(".")) & group(whole + 1).isNotNull()
+        value = F.when(group(whole + 1).isNull(), group(whole)).otherwise(F.coalesce(group(whole), F.lit(0.0)) + share)
+        return F.when(~mixed, value)
+
     shown = lambda x: F.format_string("%.4f", x)
-    is_range = (F.size(sides) == 2) & lo.isNotNull() & hi.isNotNull()
-    return F.when(is_range, F.concat(shown(lo), F.lit(".."), shown(hi))).when(number(t).isNotNull(), shown(number(t))).otherwise(t)
+    ranged = F.regexp_extract(t, _QUANTITY, 4) != ""
+    return F.when(ranged & number(1).isNotNull() & number(5).isNotNull(), F.concat(shown(number(1)), F.lit(".."), shown(number(5)))).when(
+        ~ranged & number(1).isNotNull(), shown(number(1))).otherwise(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +19,31 @@ def nearest_rank(values: str, q: float) -> Column:
     return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.size(ordered) * q).cast("int")))
 
 
+#: Stretches of values into which nearest_ranks cuts a group.
+STRETCHES = 256
+
+
 def nearest_ranks(rows: DataFrame, by: str, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Nearest-rank quantiles of groups of any size: ranks over distinct values, whose counts are summed first."""
+    """Exact nearest-rank quantiles of groups of any size, in two steps.
+
+    Values are counted, and approximate quantiles cut each group into stretches. Sums over stretches, a bounded number
+    for each group, tell which stretch holds a rank; only these stretches are ranked value by value.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(by).orderBy(value)
-    everything = Window.partitionBy(by)
-    ranked = counts.withColumns({"__upto": F.sum("n").over(upto), "__all": F.sum("n").over(everything)})
-    pick = lambda q: F.min(F.when(F.col("__upto") > F.least(F.col("__all") - 1, F.floor(F.col("__all") * q)), F.col(value)))
-    return ranked.groupBy(by).agg(*[pick(q).alias(name) for name, q in quantiles.items()])
+    cuts = counts.groupBy(by).agg(F.percentile_approx(value, [k / STRETCHES for k in range(1, STRETCHES)], STRETCHES * 4).alias("__cuts"))
+    counts = counts.join(cuts, F.equal_null(counts[by], cuts[by])).drop(cuts[by])
+    counts = counts.withColumn("__at", F.size(F.filter("__cuts", lambda x: x < F.col(value)))).drop("__cuts")
+    sums = counts.groupBy(by, "__at").agg(F.sum("n").alias("__n"))
+    before, everything = Window.partitionBy(by).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
+    sums = sums.withColumns({"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__all": F.sum("__n").over(everything)})
+    rank = {name: F.least(F.col("__all") - 1, F.floor(F.col("__all") * q)) for name, q in quantiles.items()}
+    holds = [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")) for r in rank.values()]
+    sums = sums.where(reduce(lambda x, y: x | y, holds)).withColumnsRenamed({by: "__by", "__at": "__stretch"})
+    near = counts.join(sums, F.equal_null(F.col(by), F.col("__by")) & (F.col("__at") == F.col("__stretch")))
+    upto = F.col("__before") + F.sum("n").over(Window.partitionBy(by, "__at").orderBy(value))
+    near = near.withColumn("__upto", upto)
+    inside = lambda r: (r < F.col("__upto")) & (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n"))
+    return near.groupBy(by).agg(*[F.min(F.when(inside(r), F.col(value))).alias(name) for name, r in rank.items()])
 
 
 def stability(runs: DataFrame, by: list[str], ids: str) -> DataFrame:

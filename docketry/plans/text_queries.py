@@ -75,6 +75,10 @@ def o51_sealed(s: S, d: str) -> D:
 
 def _claims(s: S, d: str) -> tuple[D, D]:
     claims = table(s, d, "benchmark").select(F.col("item_id").alias("claim_id"), tx.normal(F.col("text"), False).alias("claim_norm"))
+    some = claims.where("claim_id % 20 = 0").withColumn("words", F.split("claim_norm", " "))
+    # one- and two-word claims as well
+    short = some.select((F.col("claim_id") + 1_000_000).alias("claim_id"), F.array_join(F.slice("words", F.lit(1), F.expr("cast(1 + claim_id div 20 % 2 AS int)")), " ").alias("claim_norm"))
+    claims = claims.union(short)
     texts = table(s, d, "documents").select(F.col("doc_id").alias("text_id"), tx.normal(F.col("text"), False).alias("text_norm"))
     return claims.withColumn("words", F.split("claim_norm", " ")), texts.withColumn("words", F.split("text_norm", " "))
 
@@ -194,7 +198,7 @@ ORACLES = {
     "o50_prose_lines": f"WITH {_LINES} SELECT doc_id, ord, line FROM lines",
     "o31_wording": "SELECT l_returnflag || CASE WHEN l_linestatus = 'O' THEN '' ELSE ' ' || l_linestatus END AS wording, count(*) AS n FROM lineitem GROUP BY 1",
     "o51_sealed": "SELECT doc_id, (length(text) + 44)::INTEGER AS n FROM documents",
-    "o40_containment": f"WITH c AS (SELECT item_id AS claim_id, {_normal('text')} AS n FROM benchmark), t AS (SELECT doc_id AS text_id, {_normal('text')} AS n FROM documents) SELECT claim_id, text_id FROM c JOIN t ON contains(t.n, c.n)",
+    "o40_containment": f"WITH b AS (SELECT item_id AS claim_id, {_normal('text')} AS n FROM benchmark), c AS (SELECT * FROM b UNION ALL SELECT claim_id + 1000000, array_to_string(string_split(n, ' ')[1:1 + (claim_id // 20) % 2], ' ') FROM b WHERE claim_id % 20 = 0), t AS (SELECT doc_id AS text_id, {_normal('text')} AS n FROM documents) SELECT claim_id, text_id FROM c JOIN t ON contains(t.n, c.n)",
     "o56_sufficiency": "SELECT page_id, 'insufficient' AS decision, 0::BIGINT AS n_items, 'name,recipeIngredient,recipeInstructions,recipeYield' AS missing FROM pages",
     "o63_ref_resolution": f"WITH {_LINES}, {_IDS} SELECT snapshot_id AS doc, 'unknown_block' AS reason FROM ids WHERE ord = 0 AND snapshot_id % 3 = 0",
     "o65_capture_support": f"WITH {_LINES}, i AS (SELECT doc_id, {_normal(_TAIL)} AS n FROM documents) SELECT snapshot_id AS snapshot, count(*) AS n FROM blocks JOIN i ON i.doc_id = snapshot_id WHERE NOT contains(i.n, text_norm) GROUP BY 1",

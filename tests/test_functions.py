@@ -184,3 +184,37 @@ def test_sealed_mark_does_not_occur_in_its_text(spark):
     first = one(spark, tx.sealed(F.col("t"), F.lit("k")), t="x").split("\n")[0]
     again = one(spark, tx.sealed(F.col("t"), F.lit("k")), t=f"x {first}")
     assert not again.startswith(first)
+
+
+def test_html_of_hostile_pages(spark):
+    """Tags of 100,000 attributes, quotes left open, large pages and all kinds of white space end well."""
+    many = "<p " + " ".join(f'a{k}="x>{k}"' for k in range(100_000)) + ">text</p>"
+    assert one(spark, tx.html_to_text(F.col("h")), h=many) == "text"
+    assert one(spark, tx.html_to_text(F.col("h")), h='a<b title="open>c</b>') == "ac"
+    assert one(spark, tx.html_to_text(F.col("h")), h="<div>" + "word " * 250_000 + "</div>").count("word") == 250_000
+    assert one(spark, tx.html_to_text(F.col("h")), h="<p>\u00a0a\u00a0\u2003b\t</p>\u3000<p>c</p>") == "a b\nc"
+    assert one(spark, tx.html_to_text(F.col("h")), h="&#0000000000065;&#x0000000041;&#99999999999999;") == "AA&#99999999999999;"
+
+
+def test_white_space_at_the_ends(spark):
+    assert one(spark, tx.string_norm(F.col("t")), t="\tFoo\u00a0 Bar\n") == "foo bar"
+    assert one(spark, tx.prose_lines(F.col("t")), t="\ta\u00a0\n\u2003\nb") == ["a", "b"]
+    assert one(spark, tx.paragraphs(F.col("t")), t="\ta\n\u00a0\nb\n") == ["a", "b"]
+
+
+def test_containment_of_short_claims(spark):
+    claims = spark.createDataFrame([(1, "alpha beta", ["alpha", "beta"]), (2, "gam", ["gam"]), (3, "x alpha beta gamma", "x alpha beta gamma".split()), (4, "", [""])], "claim_id int, claim_norm string, words array<string>")
+    texts = spark.createDataFrame([(1, "x alpha beta gamma y", "x alpha beta gamma y".split()), (2, "other", ["other"])], "text_id int, text_norm string, words array<string>")
+    got = {tuple(r) for r in vf.containment_join(claims, texts).select("claim_id", "text_id").collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (4, 2)}
+
+
+def test_nearest_ranks_of_many_values(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 3 = 1 THEN 'b' END AS k", "cast(pmod(xxhash64(id), 1700) AS double) AS v")
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.k, []).append(r.v)
+    qs = {"least": 0.0, "p50": 0.5, "p90": 0.9, "most": 1.0}
+    for r in ev.nearest_ranks(rows, "k", "v", qs).collect():
+        v = sorted(want[r.k])
+        assert [r[n] for n in qs] == [v[min(len(v) - 1, int(len(v) * q))] for q in qs.values()]
