@@ -135,6 +135,38 @@ def test_packing_keeps_every_id_once(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_against_the_library(spark):
+    """Pieces put together give the library's own ids and the end id; sequences lie gapless and hardly need padding."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    rows = [(k, text(rng, rng.randint(0, 400))) for k in range(60)] + [(90, text(rng, 6000)), (91, ""), (92, None), (93, "Ein “Zitat” — naïve 日本語 <|endoftext|> a\x00b \x1c DON'T")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = Tokenizer.from_file(tokens.default_vocabulary())
+    pieces, sequences = {}, {}
+    for r in packing.pack(frame).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length and zlib.crc32(r.ids) == token_planes.crc32_of(ids)
+        pieces.setdefault(r.id, []).append((r.start, ids.tolist(), r.doc_tokens))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for key, t in rows:
+        parts = sorted(pieces[key])
+        want = made.encode(t or "", add_special_tokens=False).ids + [1]
+        assert sum((ids for _, ids, _ in parts), []) == want and {n for _, _, n in parts} == {len(want)}
+        assert [start for start, _, _ in parts] == [sum(len(x) for _, x, _ in parts[:i]) for i in range(len(parts))]
+    total = 0
+    for places in sequences.values():
+        end = 0
+        for offset, n in sorted(places):
+            assert offset == end
+            end += n
+        assert end <= 2048
+        total += end
+    assert len(sequences) <= -(-total // 2048) + 2
+
+
 def test_packer_is_best_fit_and_bounded():
     p = packing.Packer(10, 2)
     assert [p.place(n, (n,)) for n in (6, 8, 2, 3)] == [(0, 0), (1, 0), (1, 8), (0, 6)]
