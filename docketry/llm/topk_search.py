@@ -25,82 +25,75 @@ from pyspark.sql import functions as F
 from docketry.llm.common import written
 
 SCALE, ROWS, QUERIES = 256, 4096, 256
-#: Steps in which the lists are read to their ends.
-STEPS = 8
+#: Parts of a list that are read when bounds are compared; each step goes four times as deep as the one before.
+PARTS = (32, 8, 2, 1)
 _NO_ID = np.iinfo(np.int64).max
 
 
 class SortedLists:
     """The rows of one block with a sorted list for each dimension, read from either end.
 
-    Queries advance together: a list gives the same entries to all queries that read it from one end. read and
-    entries count what queries have read, and what there was to read.
+    Queries advance together: a list gives the same entries to all queries that read it from one end, so a step's
+    entries, placed by row, reach all sums in one matrix product. read and entries count what queries have read, and
+    what there was to read.
     """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(rows, self.order, axis=0).astype(np.float64)
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.broadcast_to(np.arange(len(rows))[:, None], rows.shape), axis=0)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(rows))[:, None], rows.shape), axis=0)
+        # depth at which a row is read: lists from their ends, for positive weights, then from their starts
+        self.at = np.vstack([len(rows) - 1 - rank.T, rank.T])
+        self.values = np.vstack([rows.T, rows.T]).astype(np.float64)
         self.read = self.entries = 0
 
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and exact scores of its k best rows, but for those with its own id."""
         (n, dims), out = self.rows.shape, [None] * len(queries)
-        active, depth, sums = np.arange(len(queries)), 0, np.zeros((n, len(queries)))
+        active, depth, sums = np.arange(len(queries)), 0, np.zeros((len(queries), n))
+        weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(np.float64)
+        mine = own[:, None] == self.ids
         self.entries += n * dims * len(queries)
-        while len(active):
-            weights, to = queries[active].astype(np.float64), min(n, depth + -(-n // STEPS))
-            self._add(sums, weights, depth, to)
+        for to in [-(-n // part) for part in PARTS]:
+            sums += weights @ np.where((self.at >= depth) & (self.at < to), self.values, 0.0)
             self.read += (to - depth) * dims * len(active)
-            depth, going = to, []
-            if depth < n:
-                lower, upper = self._bounds(sums, weights, depth)
-            for c, q in enumerate(active.tolist()):
-                others = self.ids != own[q]
-                if depth == n:
-                    out[q] = self._best(np.flatnonzero(others & (sums[:, c] >= self._kth(sums[:, c], others, k))), sums[:, c].astype(np.int64), k)
-                    continue
-                slack = 1e-9 * (1 + np.abs(upper[:, c]).max())
-                able = np.flatnonzero(others & (upper[:, c] >= self._kth(lower[:, c], others, k) - slack))
-                if len(able) <= max(8 * k, n // 32):
-                    scores = np.zeros(n, np.int64)
-                    scores[able] = self.rows[able] @ queries[q]
-                    out[q] = self._best(able, scores, k)
-                else:
-                    going.append(c)
-            active, sums = active[going], sums[:, going]
+            depth = to
+            if depth == n:
+                sums[mine] = -np.inf
+                for q, scores, others, least in zip(active.tolist(), sums, ~mine, self._kth(sums, k)):
+                    able = np.flatnonzero((scores >= least) & others)
+                    out[q] = self._best(able, scores[able].astype(np.int64), k)
+                break
+            lower, upper = self._bounds(sums, weights, depth)
+            slack = 1e-9 * (1 + np.abs(upper).max(axis=1, initial=0))
+            lower[mine] = upper[mine] = -np.inf
+            able = (upper >= (self._kth(lower, k) - slack)[:, None]) & ~mine
+            ends = able.sum(axis=1) <= max(8 * k, n // 32)
+            for c in np.flatnonzero(ends).tolist():
+                rest, q = np.flatnonzero(able[c]), active[c]
+                out[q] = self._best(rest, self.rows[rest] @ queries[q], k)
+            if ends.all():
+                break
+            active, sums, weights, mine = active[~ends], sums[~ends], weights[~ends], mine[~ends]
         return out
 
-    def _add(self, sums: np.ndarray, weights: np.ndarray, depth: int, to: int) -> None:
-        """Adds the entries between two depths: from the lists' ends for positive weights, from their starts for others."""
-        n, dims = self.rows.shape
-        ends, starts = np.maximum(weights, 0), np.minimum(weights, 0)
-        for d in range(dims):
-            sums[self.order[n - to : n - depth, d]] += np.outer(self.sorted[n - to : n - depth, d], ends[:, d])
-            sums[self.order[depth:to, d]] += np.outer(self.sorted[depth:to, d], starts[:, d])
-
-    def _kth(self, scores: np.ndarray, others: np.ndarray, k: int) -> float:
-        """The k-th best of the scores of rows with another id; below all where there are fewer."""
-        some = scores[others]
-        return np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else -np.inf
+    def _kth(self, scores: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of each query; below all where there are fewer rows."""
+        n = scores.shape[1]
+        return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
 
     def _bounds(self, sums: np.ndarray, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all rows' scores when every list has given depth entries."""
-        n, lower, upper = len(self.ids), sums.copy(), sums.copy()
-        for weight, unread, last, worst in (
-            (np.maximum(weights, 0), self.rank < n - depth, self.sorted[n - depth], self.sorted[0]),
-            (np.minimum(weights, 0), self.rank >= depth, self.sorted[depth - 1], self.sorted[-1]),
-        ):
-            unread = unread.astype(np.float64)
-            lower += unread @ (weight * worst).T
-            upper += unread @ (weight * last).T
-        return lower, upper
+        n = len(self.ids)
+        unread = (self.at >= depth).astype(np.float64)
+        worst, last = np.hstack([self.sorted[0], self.sorted[-1]]), np.hstack([self.sorted[n - depth], self.sorted[depth - 1]])
+        return sums + (weights * worst) @ unread, sums + (weights * last) @ unread
 
     def _best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        best = at[np.lexsort((self.ids[at], -scores[at]))[:k]]
-        return self.ids[best], scores[best]
+        best = np.lexsort((self.ids[at], -scores))[:k]
+        return self.ids[at[best]], scores[best]
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
