@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.text import block_ids
+
 # Seconds of each unit's names.
 SECONDS = {
     1: "s sec secs second seconds sek sekunde sekunden", 60: "m min mins minute minutes minuten",
@@ -132,3 +134,16 @@ def card(documents: DataFrame) -> DataFrame:
     return documents.select(
         "recipe_id", "version", F.coalesce("doc.title", F.lit("(no title in source)")).alias("title"), F.size(flat).alias("n_ingredients"),
         F.concat_ws(" ", F.trim(first["val_source_text"]), first["unit"]).alias("first_amount"))
+
+
+def snapshots(captures: DataFrame, blocks: DataFrame, adapter: str, adapter_version: str, run_id: str, model: str | None = None) -> DataFrame:
+    """(snapshot_id, snapshot): captures (snapshot_id, source_type, captured_text, payload) with their blocks and provenance.
+
+    Blocks (snapshot_id, ord, type, heading, heading_norm, text, text_norm) get their ids here and stand in order. A
+    capture without blocks has an empty list, for the contract to refuse.
+    """
+    named = block_ids(blocks).groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("block_id").alias("id"), "type", "heading", "text"))).alias("blocks"))
+    origin = F.struct(F.lit(adapter).alias("adapter"), F.lit(adapter_version).alias("adapter_version"), F.lit(run_id).alias("run_id"), F.lit(model).cast("string").alias("model"))
+    none = F.array().cast(dict(named.dtypes)["blocks"])
+    return captures.join(named, "snapshot_id", "left").select("snapshot_id", F.struct(
+        "snapshot_id", F.lit(1).alias("version"), "source_type", "captured_text", "payload", F.coalesce("blocks", none).alias("blocks"), origin.alias("provenance")).alias("snapshot"))
