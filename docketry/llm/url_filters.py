@@ -6,7 +6,8 @@ corpus is listed exactly if the first level that rejects it has an even number,
 of levels: membership is exact for all keys of the corpus and needs no join.
 
 All work is in DataFrame expressions. A filter is a binary literal; the cascade's size follows the listed keys,
-not the corpus, because the first level's false-positive rate is set from the corpus's key count.
+not the corpus, because the first level's false-positive rate is set from the corpus's key count. More than PART_RULES
+listed keys are dealt by their crc32 to several cascades, each over its part of the universe: a key asks one of them.
 
 Edge cases: a null url, or one without "://", has an empty host and path and no rule; an empty path fits no rule;
 repeated rows are judged alike; extra columns are ignored; an empty table or rule list gives no rules' verdicts.
@@ -15,6 +16,7 @@ repeated rows are judged alike; extra columns are ignored; an empty table or rul
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import written
 
-#: Listed keys up to this count; the bound on what the filters' literals hold.
-MAX_RULES = 200_000
+#: Listed keys of one cascade, about; the bound on what one filter's literal holds and what the driver gets at once.
+PART_RULES = 200_000
 ALLOW, BLOCK = "allow", "block"
 
 
@@ -65,7 +67,7 @@ def positions(key: Column, size: int, hashes: int, seed: int) -> list[Column]:
 
 
 def bloom_level(keys: DataFrame, count: int, false_rate: float, seed: int) -> Level:
-    """A filter of the column key. Only its set bits come to the driver: hashes for each key, of at most MAX_RULES."""
+    """A filter of the column key. Only its set bits come to the driver: hashes for each key, of about PART_RULES at most."""
     size = max(64, math.ceil(count * -math.log(false_rate) / math.log(2) ** 2))
     size, hashes = -(-size // 8) * 8, max(1, round(-math.log2(false_rate)))
     bits = bytearray(size // 8)
@@ -76,8 +78,6 @@ def bloom_level(keys: DataFrame, count: int, false_rate: float, seed: int) -> Le
 
 def cascade(spark: SparkSession, listed: list[str], universe: DataFrame) -> list[Level]:
     """The levels that tell listed keys from all other keys of universe (a column key, repeats allowed)."""
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} listed keys")
     if not listed:
         return []
     inside = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
@@ -103,6 +103,29 @@ def member(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def cascades(spark: SparkSession, listed: list[str], universe: DataFrame) -> list[list[Level]]:
+    """One cascade for each part of the keys; their number follows the listed keys alone."""
+    parts = max(1, math.ceil(len(set(listed)) / PART_RULES))
+    if parts == 1:
+        return [cascade(spark, listed, universe)]
+    dealt: list[list[str]] = [[] for _ in range(parts)]
+    for key in set(listed):
+        dealt[zlib.crc32(key.encode()) % parts].append(key)
+    return [cascade(spark, own, universe.where(_part(F.col("key"), parts) == p)) for p, own in enumerate(dealt)]
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.crc32(key.cast("binary")) % parts
+
+
+def member_of_any(made: list[list[Level]], key: Column) -> Column:
+    """Exact membership by the cascade that a key is dealt to."""
+    out = member(made[0], key)
+    for p in range(1, len(made)):
+        out = F.when(_part(key, len(made)) == p, member(made[p], key)).otherwise(out)
+    return out
+
+
 def _shapes(rules: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
     """The (labels of the host, length of the path) that rules have."""
     return sorted({(host.count(".") + 1, len(path)) for _, host, path in rules})
@@ -130,8 +153,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     blocked = [host + path for verdict, host, path in rules if verdict == BLOCK]
     universe = rows.select(F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL") if keys else spark.createDataFrame([], "key string")
     own = spark.createDataFrame([(k,) for k in every], "key string")
-    listed, block = cascade(spark, every, universe), cascade(spark, blocked, universe.union(own))
-    found = [F.when(k.isNotNull() & member(listed, k), F.struct(F.length(k).alias("n"), k.alias("key"))) for k in keys]
+    listed, block = cascades(spark, every, universe), cascades(spark, blocked, universe.union(own))
+    found = [F.when(k.isNotNull() & member_of_any(listed, k), F.struct(F.length(k).alias("n"), k.alias("key"))) for k in keys]
     best = F.array_max(F.array(*found))["key"] if found else F.lit(None).cast("string")
     out = rows.select("id", "host", "path", best.alias("rule"))
-    return out.withColumn("verdict", F.when(F.col("rule").isNotNull() & member(block, F.col("rule")), BLOCK).otherwise(ALLOW))
+    return out.withColumn("verdict", F.when(F.col("rule").isNotNull() & member_of_any(block, F.col("rule")), BLOCK).otherwise(ALLOW))

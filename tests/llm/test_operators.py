@@ -364,6 +364,18 @@ def test_url_filters_against_plain_code(spark):
     assert {r.verdict for r in url_filters.judge(frame, []).collect()} == {"allow"}
 
 
+def test_many_rules_go_to_several_cascades(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(URLS)), "page_id int, url string")
+    want = sorted(map(tuple, url_filters.judge(frame, queries.URL_RULES).collect()), key=repr)
+    monkeypatch.setattr(url_filters, "PART_RULES", 2)
+    listed = [f"k{7 * i}" for i in range(9)]
+    universe = spark.range(200).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    made = url_filters.cascades(spark, listed, universe)
+    assert len(made) == 5
+    assert {r.key for r in universe.where(url_filters.member_of_any(made, F.col("key"))).collect()} == set(listed)
+    assert sorted(map(tuple, url_filters.judge(frame, queries.URL_RULES).collect()), key=repr) == want
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     listed = [f"k{7 * i}" for i in range(300)]
