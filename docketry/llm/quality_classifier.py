@@ -205,11 +205,14 @@ def held_out(id_col: str) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most sample labelled rows that are not held out."""
+    """Word vectors and network from at most sample labelled rows that are not held out.
+
+    Where several rows share a labelled id, the least of their texts is learned from.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    texts = texts.repartition(8, "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).repartition(8, "id")
     vectors = word_vectors(_context_sums(texts.select("text")))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
