@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
+from docketry.llm import importance, jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -84,6 +84,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compact_windows": op8_compact_windows,
         "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_importance_resampling": op11_importance_resampling,
     }
 
 
@@ -105,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_jaccard_tiles": OP4_SQL,
         "op5_exact_topk_nra": OP5_SQL,
         "op7_url_filters": OP7_SQL,
+        "op11_importance_resampling": OP11_SQL,
     }
 
 
@@ -191,3 +198,44 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, b.y FROM reach r
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+#: CRC-32 of each distinct feature by its table of 256 entries, which a rule builds.
+OP11_SQL = r"""
+WITH rule AS (
+  SELECT list(c ORDER BY b) AS crc FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+of_documents AS (
+  SELECT r, f, count(*) AS n FROM (
+    SELECT r, unnest(w) AS f FROM d UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d) GROUP BY ALL),
+of_target AS (
+  SELECT f, count(*) AS n FROM (
+    SELECT unnest(w) AS f FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b) GROUP BY ALL),
+texts AS (SELECT f, hex(encode(f)) AS h FROM of_documents UNION SELECT f, hex(encode(f)) FROM of_target),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                            lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM texts, rule),
+s AS (SELECT bucket, sum(n) AS n FROM of_documents JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM of_target JOIN hashed USING (f) GROUP BY bucket),
+sizes AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s_all, coalesce((SELECT sum(n) FROM t), 0) AS t_all),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), sizes),
+weights AS (
+  SELECT r, sum(n) AS n, (sum(n * gain) - ((sum(n * gain) % sum(n)) + sum(n)) % sum(n)) // sum(n) AS weight
+  FROM of_documents JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able
+  FROM scored WHERE n_words >= 20 AND score IS NOT NULL)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * able // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
