@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import importance, jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters
+from docketry.llm import importance, jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters, whitening
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -89,6 +89,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece_viterbi": op9_sentencepiece_viterbi,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_importance_resampling": op11_importance_resampling,
+        "op12_embedding_whitening": op12_embedding_whitening,
     }
 
 
