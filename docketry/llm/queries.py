@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import importance, jaccard_join, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters, whitening
+from docketry.llm import importance, jaccard_join, language_id, packing, passages, quality_classifier, quality_rules, resharding, sentencepieces, token_planes, topk_search, url_filters, whitening
 
 #: The url rules, as (verdict, host, path).
 URL_RULES = [
@@ -94,6 +94,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_importance_resampling": op11_importance_resampling,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_language_id": op13_language_id,
     }
 
 
