@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import WORDS_KEPT, WordTable, chunks, mixed, whole_text, word_codes, written
+from docketry.llm.importance import read_words
 
 START = "▁"
 #: Rounds of expectation maximisation; counts that each piece has beforehand; probability of a character that is no piece.
@@ -104,11 +105,12 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def runs_of(words: list[bytes]) -> list[list[str]]:
-    """The runs of letters, in lower case, of words that white space separates."""
+    """The runs of letters, in lower case, of words that read_words() leaves between spaces."""
     import regex
 
     find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
-    return [find(w.decode("utf-8", "replace").lower()) for w in words]
+    texts = (w.decode("utf-8", "replace").lower() for w in words)
+    return [[t] if t.isalpha() else find(t) for t in texts]
 
 
 def _coded(runs: list[str]):
@@ -212,7 +214,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"lang": pa.array(langs), "word": pa.array(words), "n": pa.array(list(seen.values()), pa.int64())})
 
         for part in chunks(batches, "text"):
-            codes, words, counts = word_codes(part.column("text"))
+            codes, words, counts = word_codes(read_words(part.column("text")))
             own = part.column("lang").dictionary_encode()
             lang = np.repeat(own.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts)
             pair, n = np.unique(lang * len(words) + codes, return_counts=True)
@@ -287,7 +289,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         kinds = len(own.languages)
         names, table = pa.array([*own.languages, UNDETERMINED], pa.string()), WordTable(own.words)
         for part in chunks(batches, "text"):
-            numbers, counts = table.number(part.column("text"))
+            numbers, counts = table.number(read_words(part.column("text")))
             known, docs = table.filled(), np.repeat(np.arange(len(counts)), counts)
             logs = np.stack([np.bincount(docs, known[numbers, k], len(counts)) for k in range(kinds + 1)], axis=1)
             read = logs[:, -1] > 0 if kinds else np.zeros(len(counts), bool)
