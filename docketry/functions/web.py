@@ -222,103 +222,3 @@ def first_resolvable(base: pd.Series, candidates: pd.Series) -> pd.Series:
         return None
 
     return pd.Series([one(b, c) for b, c in zip(base, candidates)])
-
-
-def pointer(document, path: str):
-    """What a JSON Pointer names; KeyError where nothing is there."""
-    for part in path.split("/")[1:] if path else []:
-        part = part.replace("~1", "/").replace("~0", "~")
-        if isinstance(document, list):
-            if not re.fullmatch(r"0|[1-9]\d*", part) or int(part) >= len(document):
-                raise KeyError(path)
-            document = document[int(part)]
-        elif isinstance(document, dict) and part in document:
-            document = document[part]
-        else:
-            raise KeyError(path)
-    return document
-
-
-@F.pandas_udf(T.StringType())
-def resolve_pointer(documents: pd.Series, paths: pd.Series) -> pd.Series:
-    """The JSON that a pointer names, null where it names nothing."""
-
-    def one(doc, path):
-        try:
-            return json.dumps(pointer(json.loads(doc), path), ensure_ascii=False)
-        except (KeyError, ValueError, TypeError):
-            return None
-
-    return pd.Series([one(d, p) for d, p in zip(documents, paths)])
-
-
-@F.pandas_udf(_structs(path=TEXT, kind=TEXT, text=TEXT))
-def leaves(documents: pd.Series) -> pd.Series:
-    """Scalar leaves of JSON documents by path; empty containers give none. Keys are written as they are."""
-
-    def walk(value, path, out):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                walk(v, f"{path}/{k}", out)
-        elif isinstance(value, list):
-            for k, v in enumerate(value):
-                walk(v, f"{path}/{k}", out)
-        else:
-            kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
-            whole = isinstance(value, float) and value.is_integer() and abs(value) < 1e21
-            text = value if kind == "string" else str(int(value)) if whole else json.dumps(value)
-            out.append({"path": path, "kind": kind, "text": text})
-        return out
-
-    def one(doc):
-        try:
-            return walk(json.loads(doc), "", [])
-        except (ValueError, TypeError):
-            return None
-
-    return documents.map(one)
-
-
-def source_refs(document, owner: str = "") -> list[tuple[str, str | None, str | None]]:
-    """(owner path, block id, pointer) of every reference anywhere in a document."""
-    out = []
-    if isinstance(document, dict):
-        for k, v in document.items():
-            if k == "sourceRefs" and isinstance(v, list):
-                out += [(owner, r.get("blockId"), r.get("payloadPointer")) for r in v if isinstance(r, dict)]
-            else:
-                out += source_refs(v, f"{owner}/{k}")
-    elif isinstance(document, list):
-        for k, v in enumerate(document):
-            out += source_refs(v, f"{owner}/{k}")
-    return out
-
-
-def claims(document, owner: str = "", scope: tuple = ()) -> list[tuple[str, str, list[str]]]:
-    """(path, wording, cited block ids) of every wording that is not blank; the nearest references above it count."""
-    out = []
-    if isinstance(document, dict):
-        refs = [r.get("blockId") for r in document.get("sourceRefs") or [] if isinstance(r, dict) and r.get("blockId")]
-        scope = tuple(refs) or scope
-        text = document.get("sourceText")
-        if isinstance(text, str) and text.strip():
-            out.append((owner, text, list(scope)))
-        for k, v in document.items():
-            if k != "sourceRefs":
-                out += claims(v, f"{owner}/{k}", scope)
-    elif isinstance(document, list):
-        for k, v in enumerate(document):
-            out += claims(v, f"{owner}/{k}", scope)
-    return out
-
-
-@F.pandas_udf(_structs(path=TEXT, text=TEXT, blocks=TEXTS))
-def claims_of(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda d: [dict(zip(("path", "text", "blocks"), c)) for c in claims(json.loads(d))])
-
-
-@F.pandas_udf(_structs(owner=TEXT, block=TEXT, pointer=TEXT))
-def refs_of(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda d: [dict(zip(("owner", "block", "pointer"), c)) for c in source_refs(json.loads(d))])
-
-

@@ -58,6 +58,109 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("recipe_id", "version", F.struct("doc_key", "title", F.coalesce("groups", empty).alias("groups")).alias("doc"))
 
 
+_ITEM = """named_struct(
+  'g', group_ordinal, 'o', ordinal, 'title', group_title,
+  'ingredient', named_struct(
+    'id', concat('i', group_ordinal, '-', ordinal), 'sourceText', source_text,
+    'quantityExpression', CASE WHEN val_kind IS NOT NULL THEN named_struct('sourceText', val_source_text, 'kind', val_kind, 'value', val_value) END,
+    'unit', unit, 'name', name, 'qualifiers', cast(array() AS array<string>), 'scalingEligibility', CASE WHEN unit IS NULL THEN 'unknown' ELSE 'proportional' END,
+    'sourceRefs', filter(array(named_struct('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal))), x -> ordinal % 3 != 0)),
+  'step', named_struct(
+    'id', concat('t', group_ordinal, '-', ordinal), 'sourceText', concat('Add ', source_text), 'normalizedActionText', concat('add ', name),
+    'sourceRefs', array(named_struct('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal))),
+    'ingredientUses', array(named_struct(
+      'ingredientId', concat('i', group_ordinal, '-', ordinal),
+      'usage', element_at(array('use_now', 'reserve_for_later', 'use_remaining', 'use_partial_unspecified', 'use_all'), cast((group_ordinal + ordinal) % 5 + 1 AS int)),
+      'quantityExpression', CASE WHEN val_kind = 'range' AND ordinal % 2 = 0 THEN named_struct('sourceText', val_source_text, 'kind', val_kind) END,
+      'unit', CASE WHEN val_kind = 'range' AND ordinal % 2 = 0 THEN unit END, 'sourceRefs', cast(array() AS array<string>))),
+    'componentUses', filter(array(named_struct('componentId', concat('c', group_ordinal - 1), 'usage', 'use_all', 'sourceRefs', cast(array() AS array<string>))), x -> ordinal = 0 AND group_ordinal > 0),
+    'equipmentUses', cast(array() AS array<string>),
+    'producesComponents', filter(array(concat('c', group_ordinal)), x -> ordinal = 0),
+    'durations', filter(array(named_struct('durationExpression', named_struct('sourceText', val_source_text, 'kind', val_kind, 'value', val_value, 'unit', 'min'), 'sourceRefs', cast(array() AS array<string>))), x -> val_value IS NOT NULL),
+    'temperatures', cast(array() AS array<string>), 'donenessCues', cast(array() AS array<string>),
+    'prerequisiteCues', filter(array(named_struct('sourceText', CASE WHEN ordinal % 2 = 0 THEN concat('Chill the ', name) ELSE name END, 'sourceRefs', array(named_struct('payloadPointer', '/status')))), x -> val_kind = 'qualitative'),
+    'waitCues', filter(array(named_struct('sourceText', concat('wait for ', name), 'sourceRefs', cast(array() AS array<string>))), x -> val_kind IS NULL)))"""
+_DOCUMENT = """named_struct(
+  'id', concat('r-', recipe_id, '-', version), 'schemaVersion', '2.0.0',
+  'title', CASE WHEN title IS NULL THEN named_struct('state', 'not_in_source', 'sourceText', cast(null AS string), 'sourceRefs', cast(null AS array<struct<blockId: string>>))
+                ELSE named_struct('state', 'from_source', 'sourceText', title, 'sourceRefs', array(named_struct('blockId', concat('b-', doc_key)))) END,
+  'sourceName', CASE WHEN status = 'F' THEN 'archive' END,
+  'yields', array(named_struct('id', 'y1', 'sourceText', concat('about ', status), 'valueExpression', named_struct('sourceText', status, 'kind', 'exact', 'value', total),
+                               'scalingEligibility', 'unknown', 'sourceRefs', array(named_struct('payloadPointer', '/total')))),
+  'ingredientGroups', transform(groups, g -> named_struct(
+    'id', concat('g', g), 'title', filter(items, x -> x.g = g)[0].title, 'sourceRefs', array(named_struct('blockId', concat_ws('-', 'b', doc_key, g))),
+    'ingredients', transform(filter(items, x -> x.g = g), x -> x.ingredient))),
+  'preparedComponents', transform(groups, g -> named_struct('id', concat('c', g), 'label', concat('mix ', g), 'createdByStepId', concat('t', g, '-0'), 'sourceRefs', cast(array() AS array<string>))),
+  'instructionSections', transform(groups, g -> named_struct(
+    'id', concat('s', g), 'title', filter(items, x -> x.g = g)[0].title, 'sourceRefs', cast(array() AS array<string>),
+    'steps', transform(filter(items, x -> x.g = g), x -> x.step))),
+  'provenance', named_struct('sourceSnapshotId', concat('snap-', doc_key), 'sourceSnapshotVersion', 1, 'targetOntologyVersion', '1', 'runId', 'run-1'))"""
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recipe_id, version, doc_key, status, total, json): each version as a whole document of the contract, as JSON.
+
+    Groups of lines are ingredient groups, and instruction sections with a step for each line. A version without lines
+    has neither.
+    """
+    lines = ingredients(spark, sf_dir).groupBy("doc_key").agg(F.array_sort(F.collect_list(F.expr(_ITEM))).alias("items"))
+    rows = versions(spark, sf_dir).join(lines, "doc_key", "left")
+    none = F.array().cast(dict(lines.dtypes)["items"])
+    rows = rows.withColumn("items", F.coalesce("items", none)).withColumn("groups", F.expr("array_distinct(transform(items, x -> x.g))"))
+    return rows.select("recipe_id", "version", "doc_key", "status", "total", F.to_json(F.expr(_DOCUMENT)).alias("json"))
+
+
+def _object(**members: str) -> str:
+    """DuckDB's object of the members that are not null."""
+    return "json_merge_patch('{}', json_object(" + ", ".join(f"'{k}', {v}" for k, v in members.items()) + "))"
+
+
+_NO = "'[]'::JSON"
+_LINE_BLOCK = "json_array(json_object('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal)))"
+_INGREDIENT = _object(
+    id="'i' || group_ordinal || '-' || ordinal", sourceText="source_text",
+    quantityExpression=f"CASE WHEN val_kind IS NOT NULL THEN {_object(sourceText='val_source_text', kind='val_kind', value='val_value')} END",
+    unit="unit", name="name", qualifiers=_NO, scalingEligibility="CASE WHEN unit IS NULL THEN 'unknown' ELSE 'proportional' END",
+    sourceRefs=f"CASE WHEN ordinal % 3 != 0 THEN {_LINE_BLOCK} ELSE {_NO} END",
+)
+_STEP = _object(
+    id="'t' || group_ordinal || '-' || ordinal", sourceText="'Add ' || source_text", normalizedActionText="'add ' || name", sourceRefs=_LINE_BLOCK,
+    ingredientUses="json_array(" + _object(
+        ingredientId="'i' || group_ordinal || '-' || ordinal",
+        usage="['use_now', 'reserve_for_later', 'use_remaining', 'use_partial_unspecified', 'use_all'][(group_ordinal + ordinal) % 5 + 1]",
+        quantityExpression="CASE WHEN val_kind = 'range' AND ordinal % 2 = 0 THEN json_object('sourceText', val_source_text, 'kind', val_kind) END",
+        unit="CASE WHEN val_kind = 'range' AND ordinal % 2 = 0 THEN unit END", sourceRefs=_NO) + ")",
+    componentUses=f"CASE WHEN ordinal = 0 AND group_ordinal > 0 THEN json_array(json_object('componentId', 'c' || (group_ordinal - 1), 'usage', 'use_all', 'sourceRefs', {_NO})) ELSE {_NO} END",
+    equipmentUses=_NO, producesComponents=f"CASE WHEN ordinal = 0 THEN json_array('c' || group_ordinal) ELSE {_NO} END",
+    durations=f"CASE WHEN val_value IS NOT NULL THEN json_array(json_object('durationExpression', json_object('sourceText', val_source_text, 'kind', val_kind, 'value', val_value, 'unit', 'min'), 'sourceRefs', {_NO})) ELSE {_NO} END",
+    temperatures=_NO, donenessCues=_NO,
+    prerequisiteCues=f"CASE WHEN val_kind = 'qualitative' THEN json_array(json_object('sourceText', CASE WHEN ordinal % 2 = 0 THEN 'Chill the ' || name ELSE name END, 'sourceRefs', json_array(json_object('payloadPointer', '/status')))) ELSE {_NO} END",
+    waitCues=f"CASE WHEN val_kind IS NULL THEN json_array(json_object('sourceText', 'wait for ' || name, 'sourceRefs', {_NO})) ELSE {_NO} END",
+)
+_GROUP = _object(id="'g' || group_ordinal", title="group_title", sourceRefs="json_array(json_object('blockId', concat_ws('-', 'b', doc_key, group_ordinal)))", ingredients="ingredients")
+_ROOT = _object(
+    id="'r-' || recipe_id || '-' || version", schemaVersion="'2.0.0'",
+    title="CASE WHEN title IS NULL THEN json_object('state', 'not_in_source') ELSE json_object('state', 'from_source', 'sourceText', title, 'sourceRefs', json_array(json_object('blockId', 'b-' || doc_key))) END",
+    sourceName="CASE WHEN status = 'F' THEN 'archive' END",
+    yields="json_array(json_object('id', 'y1', 'sourceText', 'about ' || status, 'valueExpression', json_object('sourceText', status, 'kind', 'exact', 'value', total), 'scalingEligibility', 'unknown', 'sourceRefs', json_array(json_object('payloadPointer', '/total'))))",
+    ingredientGroups=f"coalesce(groups, {_NO})", preparedComponents=f"coalesce(components, {_NO})", instructionSections=f"coalesce(sections, {_NO})",
+    provenance="json_object('sourceSnapshotId', 'snap-' || doc_key, 'sourceSnapshotVersion', 1, 'targetOntologyVersion', '1', 'runId', 'run-1')",
+)
+#: documents() for DuckDB, after SQL: (recipe_id, version, doc_key, status, total, json).
+DOCUMENTS_SQL = f"""
+grouped AS (
+  SELECT doc_key, group_ordinal, any_value(group_title) AS group_title, to_json(list({_INGREDIENT} ORDER BY ordinal)) AS ingredients,
+         to_json(list({_STEP} ORDER BY ordinal)) AS steps
+  FROM ingredients GROUP BY 1, 2),
+gathered AS (
+  SELECT doc_key, to_json(list({_GROUP} ORDER BY group_ordinal)) AS groups,
+         to_json(list(json_object('id', 'c' || group_ordinal, 'label', 'mix ' || group_ordinal, 'createdByStepId', 't' || group_ordinal || '-0', 'sourceRefs', {_NO}) ORDER BY group_ordinal)) AS components,
+         to_json(list({_object(id="'s' || group_ordinal", title="group_title", sourceRefs=_NO, steps="steps")} ORDER BY group_ordinal)) AS sections
+  FROM grouped GROUP BY 1),
+documents_json AS (
+  SELECT recipe_id, version, doc_key, status, total, {_ROOT} AS json FROM versions LEFT JOIN gathered USING (doc_key))
+"""
+
 #: The same bindings for DuckDB.
 SQL = """
 versions AS (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
-from docketry.functions import web
+from docketry.functions import trees, web
 from docketry.operators import verification as vf
 from docketry.plans.bindings import table
 
@@ -141,7 +141,7 @@ def o61_contract(s: S, d: str) -> D:
 
 
 def o14_leaf_flatten(s: S, d: str) -> D:
-    rows = table(s, d, "events").select("event_id", F.explode(web.leaves("props")).alias("x"))
+    rows = table(s, d, "events").select("event_id", F.explode(trees.leaves(F.col("props"))).alias("x"))
     return rows.select("event_id", "x.path", "x.kind", "x.text")
 
 

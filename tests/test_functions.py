@@ -122,19 +122,6 @@ def test_blocks_of_nested_sections():
     assert got[0] == ("title", None, "Pie") and ("author", None, "A") in got and ("metadata", "recipeYield", "4") in got
 
 
-def test_pointer_leaves_refs_claims(spark):
-    doc = {"a/b": [1, {"~c": "x"}], "t": {"sourceText": "T", "sourceRefs": [{"blockId": "b1"}], "in": {"sourceText": "U"}, "blank": {"sourceText": " "}}}
-    assert web.pointer(doc, "/a~1b/1/~0c") == "x"
-    for bad in ("/a~1b/2", "/a~1b/01", "/zz"):
-        with pytest.raises(KeyError):
-            web.pointer(doc, bad)
-    assert web.claims(doc) == [("/t", "T", ["b1"]), ("/t/in", "U", ["b1"])]
-    assert web.source_refs(doc) == [("/t", "b1", None)]
-    row = spark.createDataFrame([(json.dumps({"n": 4.0, "s": "4", "e": [], "z": None, "b": True}),)], "d string")
-    got = {x.path: (x.kind, x.text) for x in row.select(web.leaves("d").alias("x")).first().x}
-    assert got == {"/n": ("number", "4"), "/s": ("string", "4"), "/z": ("null", "null"), "/b": ("boolean", "true")}
-
-
 def test_kind_change_is_a_difference(spark):
     a = spark.createDataFrame([(1, "/p", "number", "4"), (1, "/q", "string", "x")], "id int, path string, kind string, text string")
     b = spark.createDataFrame([(1, "/p", "string", "4"), (1, "/q", "string", "x")], a.schema)
