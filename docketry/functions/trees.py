@@ -100,26 +100,39 @@ def nodes(json: Column, start: Column | None = None, handed: Handed | None = Non
         items = F.transform(n["items"], lambda x, i: node(*below(i.cast("string"), i), no_key, x, handed(n, no_key, x)))
         return F.coalesce(members, items)
 
+    def walked(j: Column) -> Column:
+        root = F.filter(F.array(_let(parsed(j), lambda v: node(F.lit(""), F.array().cast("array<int>"), no_key, v, start))), lambda n: n["value"].isNotNull())
+        return unfolded(root, opened, _brackets(j))
+
+    return _let(json, walked)
+
+
+def _brackets(json: Column) -> Column:
+    """No document is deeper than it has opening brackets."""
+    return F.coalesce(F.length(json) - F.length(F.translate(json, "{[", "")), F.lit(0)) + 1
+
+
+def unfolded(root: Column, opened: Callable[[Column], Column], deepest: Column) -> Column:
+    """A list of nodes, their members opened(node), their members' members and so on, level by level.
+
+    opened gives null for nodes without members. deepest bounds the number of levels; few documents come near it, so
+    levels go on in phases, as long as there are nodes.
+    """
+
     def deeper(level: Column, _: Column) -> Column:
-        inner = F.filter(level["front"], lambda n: n["members"].isNotNull() | n["items"].isNotNull())
-        on = record(front=F.flatten(F.transform(inner, opened)), done=F.concat(level["done"], F.array(level["front"])))
+        inner = F.filter(F.transform(level["front"], opened), lambda x: x.isNotNull())
+        on = record(front=F.flatten(inner), done=F.concat(level["done"], F.array(level["front"])))
         return F.when(F.size(level["front"]) == 0, level).otherwise(on)
 
     none = F.array().cast("array<int>")
 
-    # no document is deeper than it has opening brackets, but few come near that: levels go on as long as there are nodes
-    def levels(level: Column, brackets: Column, passed: int, ahead: list[int]) -> Column:
-        more = F.when(F.size(level["front"]) > 0, F.slice(F.sequence(F.lit(1), brackets), passed + 1, ahead[0] if ahead else 1 << 30)).otherwise(none)
+    def levels(level: Column, most: Column, passed: int, ahead: list[int]) -> Column:
+        more = F.when(F.size(level["front"]) > 0, F.slice(F.sequence(F.lit(1), most), passed + 1, ahead[0] if ahead else 1 << 30)).otherwise(none)
         out = F.aggregate(more, level, deeper)
-        return _let(out, lambda after: levels(after, brackets, passed + ahead[0], ahead[1:])) if ahead else out["done"]
-
-    def walked(j: Column) -> Column:
-        root = _let(parsed(j), lambda v: F.filter(F.array(node(F.lit(""), F.array().cast("array<int>"), no_key, v, start)), lambda n: n["value"].isNotNull()))
-        first = _let(root, lambda r: record(front=r, done=F.filter(F.array(r), lambda _: F.lit(False))))
-        brackets = F.coalesce(F.length(j) - F.length(F.translate(j, "{[", "")), F.lit(0)) + 1
-        return _let(first, lambda level: levels(level, brackets, 0, [9, 9, 32]))
+        return _let(out, lambda after: levels(after, most, passed + ahead[0], ahead[1:])) if ahead else F.flatten(out["done"])
 
-    return F.flatten(_let(json, walked))
+    first = _let(root, lambda r: record(front=r, done=F.filter(F.array(r), lambda _: F.lit(False))))
+    return _let(first, lambda level: levels(level, deepest, 0, [9, 9, 32]))
 
 
 def _scalars(found: Column) -> Column:
@@ -194,3 +207,55 @@ def resolved(value: Column, pointer: Column) -> Column:
         return F.when(as_object(at).isNotNull(), F.try_element_at(as_object(at), key)).when(as_list(at).isNotNull() & place.isNotNull(), F.get(as_list(at), place))
 
     return F.when(pointer == "", value).when(F.startswith(pointer, F.lit("/")), F.aggregate(steps, value, step))
+
+
+def canonical(json: Column) -> Column:
+    """A document's text with its members in the order of their keys; null if it does not parse."""
+    return F.to_json(parsed(json))
+
+
+def compared(before: Column, after: Column) -> Column:
+    """Two documents as the list of the pairs (path, a, b) of their nodes that are not the same in both.
+
+    Pairs are opened from the roots down, and subtrees of equal text are left closed: what is read is what differs and
+    the ways that lead there. a or b is null where one document has no such node.
+    """
+
+    def pair(path: Column, a: Column, b: Column) -> Column:
+        return record(path=path, a=a, b=b, a_members=as_object(a), b_members=as_object(b), a_items=as_list(a), b_items=as_list(b))
+
+    def by_key(members: Column, items: Column) -> Column:
+        places = F.transform(items, lambda _, i: i.cast("string"))
+        return F.coalesce(members, F.map_from_arrays(places, items), F.create_map().cast("map<string,variant>"))
+
+    def opened(p: Column) -> Column:
+        at = lambda step: F.concat(p["path"], F.lit("/"), step)
+        lists = F.transform(
+            F.slice(F.sequence(F.lit(0), F.greatest(F.size(p["a_items"]), F.size(p["b_items"]))), F.lit(1), F.greatest(F.size(p["a_items"]), F.size(p["b_items"]))),
+            lambda i: pair(at(i.cast("string")), F.get(p["a_items"], i), F.get(p["b_items"], i)))
+        alike = F.zip_with(F.map_entries(p["a_members"]), F.map_values(p["b_members"]), lambda e, v: pair(at(e["key"]), e["value"], v))
+        mixed = lambda x: F.transform(F.array_union(F.map_keys(x["a"]), F.map_keys(x["b"])), lambda k: pair(at(k), F.try_element_at(x["a"], k), F.try_element_at(x["b"], k)))
+        inner = p["a_members"].isNotNull() | p["b_members"].isNotNull() | p["a_items"].isNotNull() | p["b_items"].isNotNull()
+        pairs = (
+            F.when(p["a_items"].isNotNull() & p["b_items"].isNotNull(), lists)
+            .when(F.map_keys(p["a_members"]) == F.map_keys(p["b_members"]), alike)
+            .when(inner, _let(record(a=by_key(p["a_members"], p["a_items"]), b=by_key(p["b_members"], p["b_items"])), mixed))
+        )
+        return F.filter(pairs, lambda c: ~F.coalesce(F.to_json(c["a"]) == F.to_json(c["b"]), F.lit(False)))
+
+    def both(docs: Column) -> Column:
+        root = F.filter(F.array(pair(F.lit(""), parsed(docs["a"]), parsed(docs["b"]))), lambda c: ~F.to_json(c["a"]).eqNullSafe(F.to_json(c["b"])))
+        return unfolded(root, opened, F.greatest(_brackets(docs["a"]), _brackets(docs["b"])))
+
+    return _let(record(a=before, b=after), both)
+
+
+def differences(pairs: Column) -> Column:
+    """The leaves of compared() that differ, in kind or in text: (path, before_kind, before, after_kind, after)."""
+
+    def side(c: Column, name: str, of: Callable[[Column], Column]) -> Column:
+        return F.when(c[f"{name}_members"].isNull() & c[f"{name}_items"].isNull(), of(c[name]))
+
+    out = F.transform(pairs, lambda c: record(
+        path=c["path"], before_kind=side(c, "a", scalar_kind), before=side(c, "a", scalar_text), after_kind=side(c, "b", scalar_kind), after=side(c, "b", scalar_text)))
+    return F.filter(out, lambda x: ~(x["before_kind"].eqNullSafe(x["after_kind"]) & x["before"].eqNullSafe(x["after"])))

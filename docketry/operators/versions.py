@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import trees
+
 
 def latest(log: DataFrame, key: str = "recipe_id", order: str = "version") -> DataFrame:
     """The key and its greatest version: identifiers only, so wide documents are joined back afterwards."""
@@ -102,6 +104,46 @@ def leaf_diff(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return both.where(~same).select(*key, "path", shown("ta", F.col("ka")).alias("before"), shown("tb", F.col("kb")).alias("after"))
 
 
+def with_digests(log: DataFrame, json: str = "json") -> DataFrame:
+    """log with digest and n_leaves of each document: written with a version, they spare reading it when it is compared.
+
+    Documents that differ in the order of members alone have one digest; those that do not parse have none.
+    """
+    n = F.size(F.filter(trees.nodes(F.col(json)), lambda n: n["members"].isNull() & n["items"].isNull()))
+    return log.withColumns({"digest": F.md5(trees.canonical(F.col(json))), "n_leaves": n})
+
+
+def document_diff(before: DataFrame, after: DataFrame, key: list[str], json: str = "json") -> DataFrame:
+    """(key, n_leaves, changes, n_opened) of every document that both frames, as with_digests() gives them, hold.
+
+    Digests are compared first, over keys and digests alone; only documents whose digests differ are read, and of these
+    only the subtrees that differ are opened. changes are the leaves that differ, as in trees.differences(); n_leaves are
+    those of the document before, n_opened the pairs of nodes that were looked at.
+    """
+    heads = before.select(*key, F.col("digest").alias("__a"), "n_leaves").join(after.select(*key, F.col("digest").alias("__b")), key)
+    equal = F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))
+    unequal = heads.where(~equal).select(*key, "n_leaves")
+    texts = unequal.join(before.select(*key, F.col(json).alias("__a")), key).join(after.select(*key, F.col(json).alias("__b")), key)
+    pairs = texts.select(*key, "n_leaves", trees.compared(F.col("__a"), F.col("__b")).alias("__pairs"))
+    opened = pairs.select(*key, "n_leaves", trees.differences(F.col("__pairs")).alias("changes"), F.size("__pairs").alias("n_opened"))
+    none = F.array().cast(dict(opened.dtypes)["changes"])
+    return opened.union(heads.where(equal).select(*key, "n_leaves", none, F.lit(0)))
+
+
+def change_rows(diff: DataFrame, key: list[str]) -> DataFrame:
+    """(key, path, before, after) of document_diff(); where only the kind differs, it is written out."""
+    rows = diff.select(*key, F.explode("changes").alias("c")).select(*key, "c.*")
+    kinds = F.col("before").eqNullSafe(F.col("after"))
+    shown = lambda side: F.when(kinds, F.concat(F.col(side), F.lit(" ("), F.col(f"{side}_kind"), F.lit(")"))).otherwise(F.col(side)).alias(side)
+    return rows.select(*key, "path", shown("before"), shown("after"))
+
+
+def change_counts(diff: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n_changes, same) of document_diff(): same counts the leaves that are alike, without reading them."""
+    lost = F.size(F.filter("changes", lambda c: c["before_kind"].isNotNull()))
+    return diff.select(*key, F.size("changes").alias("n_changes"), (F.col("n_leaves") - lost).alias("same"))
+
+
 def same_leaves(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """How many leaves two versions share."""
     return left.join(right, [*key, "path", "kind", "text"]).groupBy(*key).agg(F.count("*").alias("same"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import trees
 from docketry.operators import contract as ct
+from docketry.operators import versions as vs
 from docketry.plans.bindings import documents
 from docketry.plans.registry import QUERIES
 from tests.conftest import DATA
@@ -226,3 +227,58 @@ def test_tree_queries_use_no_python_worker(spark):
     for name in ("o14_document_leaves", "o61_document_contract", "o62_source_refs", "o64_document_claims", "o66_document_claims", "o67_pointers", "o68_payload_leaves"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InPandas" not in plan and "Cartesian" not in plan, name
+
+
+# comparing whole documents
+
+
+def edited(rng: random.Random, x):
+    """A copy of a document with a few changes anywhere."""
+    if rng.random() < 0.08:
+        return made(rng, 2)
+    if isinstance(x, dict):
+        out = {k: edited(rng, v) for k, v in x.items() if rng.random() > 0.04}
+        return {**out, "new": 1} if rng.random() < 0.05 else out
+    if isinstance(x, list):
+        return [edited(rng, v) for v in x][: rng.choice([len(x), len(x), len(x), max(0, len(x) - 1)])]
+    return str(x) if isinstance(x, int) and not isinstance(x, bool) and rng.random() < 0.2 else x
+
+
+def test_pruned_comparison_equals_that_of_all_leaves(spark):
+    rng = random.Random(12)
+    pairs = []
+    for _ in range(200):
+        a = made(rng, rng.randint(1, 6))
+        pairs.append((a, rng.choice([a, edited(rng, a), edited(rng, a), made(rng, 3)])))
+    pairs += [({"0": 1, "1": {"a": 2}}, [1, {"a": 2}, 3]), ([], {}), ({"a": {}}, {"a": []}), (4, "4"), (None, "null"), ({"a": None}, {}), ([[[]]], [[[1]]])]
+    frame = lambda side: vs.with_digests(spark.createDataFrame([(i, json.dumps(p[side], ensure_ascii=False)) for i, p in enumerate(pairs)], "id int, json string"))
+    diff = vs.document_diff(frame(0), frame(1), ["id"])
+    rows: dict = {}
+    for r in vs.change_rows(diff, ["id"]).collect():
+        rows.setdefault(r.id, set()).add((r.path, r.before, r.after))
+    counts = {r.id: (r.n_changes, r.same) for r in vs.change_counts(diff, ["id"]).collect()}
+    for i, (a, b) in enumerate(pairs):
+        x, y = ({p: (k, t) for p, k, t in walked(d)} for d in (a, b))
+        # a list and an object can give the same paths, and a key the path of another: such documents are not compared here
+        if len(x) != len(walked(a)) or len(y) != len(walked(b)):
+            continue
+        want = set()
+        for path in x.keys() | y.keys():
+            p, q = x.get(path), y.get(path)
+            if p != q:
+                typed = p and q and p[1] == q[1]
+                want.add((path, p and (f"{p[1]} ({p[0]})" if typed else p[1]), q and (f"{q[1]} ({q[0]})" if typed else q[1])))
+        assert rows.get(i, set()) == want, (a, b)
+        assert counts[i] == (len(want), sum(x[p] == y[p] for p in x.keys() & y.keys())), (a, b)
+
+
+def test_comparison_opens_only_what_differs(spark):
+    doc = {"groups": [{"items": [{"name": f"n{i}-{k}", "value": {"kind": "exact", "n": k}} for k in range(50)]} for i in range(20)], "title": "T"}
+    other = copy.deepcopy(doc)
+    other["groups"][7]["items"][3]["value"]["n"] = "3"
+    frames = [vs.with_digests(spark.createDataFrame([(1, json.dumps(x)), (2, json.dumps(doc, indent=1, sort_keys=True)), (3, json.dumps(doc) if x is doc else "{")], "id int, json string")) for x in (doc, other)]
+    found = {r.id: r for r in vs.document_diff(*frames, ["id"]).collect()}
+    assert found[1].n_leaves == 3001 and found[1].n_opened == 7 and [tuple(c) for c in found[1].changes] == [("/groups/7/items/3/value/n", "number", "3", "string", "3")]
+    assert found[2].n_opened == 0 and found[2].changes == []
+    assert len(found[3].changes) == 3001  # the other side is no document: every leaf is gone
+    assert [tuple(r) for r in vs.change_rows(vs.document_diff(*frames, ["id"]), ["id"]).where("id = 1").collect()] == [(1, "/groups/7/items/3/value/n", "3 (number)", "3 (string)")]
