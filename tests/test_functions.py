@@ -205,3 +205,27 @@ def test_nearest_ranks_of_many_values(spark):
     for r in ev.nearest_ranks(rows, "k", "v", qs).collect():
         v = sorted(want[r.k])
         assert [r[n] for n in qs] == [v[min(len(v) - 1, int(len(v) * q))] for q in qs.values()]
+
+
+def test_short_claims_by_automaton(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    letters = "abcdé "
+    claims = [(k, "".join(rng.choice(letters) for _ in range(rng.randint(0, 4))).strip()) for k in range(300)] + [(1000, None), (1001, "")]
+    texts = [(f"t{k}", "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))) for k in range(80)] + [("none", None), ("t0", "repeated id")]
+    frames = spark.createDataFrame([c for c in claims if c[1] is not None], "claim_id long, claim_norm string"), spark.createDataFrame(texts, "text_id string, text_norm string")
+    want = sorted((c, t) for c, claim in claims for t, text in texts if claim is not None and text is not None and claim in text)
+    for size in (1 << 20, 200):  # one automaton, or several of 200 bytes
+        monkeypatch.setattr(vf, "AUTOMATON_BYTES", size)
+        monkeypatch.setattr(vf, "ROWS_AT_ONCE", 50)
+        assert sorted(map(tuple, vf.short_claims_held(*frames).collect())) == want
+    assert vf.short_claims_held(frames[0].limit(0), frames[1]) is None
+
+
+def test_containment_plan_has_no_cross_join(spark):
+    from docketry.plans.registry import QUERIES
+    from tests.conftest import DATA
+
+    plan = QUERIES["o40_containment"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
