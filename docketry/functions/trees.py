@@ -23,7 +23,7 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -36,7 +36,7 @@ def parsed(json: Column) -> Column:
     """
     whole = lambda v, end: (F.size(as_list(v)) == 2) & (F.try_variant_get(v, "$[1]", "bigint") == end)
     both = lambda j: record(v=F.try_parse_json(F.concat(F.lit("["), j, F.lit(","), F.xxhash64(j).cast("string"), F.lit("]"))), end=F.xxhash64(j))
-    return _let(_let(json, both), lambda x: F.when(whole(x["v"], x["end"]), F.try_variant_get(x["v"], "$[0]", "variant")))
+    return let(let(json, both), lambda x: F.when(whole(x["v"], x["end"]), F.try_variant_get(x["v"], "$[0]", "variant")))
 
 
 def as_object(value: Column) -> Column:
@@ -101,10 +101,10 @@ def nodes(json: Column, start: Column | None = None, handed: Handed | None = Non
         return F.coalesce(members, items)
 
     def walked(j: Column) -> Column:
-        root = F.filter(F.array(_let(parsed(j), lambda v: node(F.lit(""), F.array().cast("array<int>"), no_key, v, start))), lambda n: n["value"].isNotNull())
+        root = F.filter(F.array(let(parsed(j), lambda v: node(F.lit(""), F.array().cast("array<int>"), no_key, v, start))), lambda n: n["value"].isNotNull())
         return unfolded(root, opened, _brackets(j))
 
-    return _let(json, walked)
+    return let(json, walked)
 
 
 def _brackets(json: Column) -> Column:
@@ -129,10 +129,10 @@ def unfolded(root: Column, opened: Callable[[Column], Column], deepest: Column)
     def levels(level: Column, most: Column, passed: int, ahead: list[int]) -> Column:
         more = F.when(F.size(level["front"]) > 0, F.slice(F.sequence(F.lit(1), most), passed + 1, ahead[0] if ahead else 1 << 30)).otherwise(none)
         out = F.aggregate(more, level, deeper)
-        return _let(out, lambda after: levels(after, most, passed + ahead[0], ahead[1:])) if ahead else F.flatten(out["done"])
+        return let(out, lambda after: levels(after, most, passed + ahead[0], ahead[1:])) if ahead else F.flatten(out["done"])
 
-    first = _let(root, lambda r: record(front=r, done=F.filter(F.array(r), lambda _: F.lit(False))))
-    return _let(first, lambda level: levels(level, deepest, 0, [9, 9, 32]))
+    first = let(root, lambda r: record(front=r, done=F.filter(F.array(r), lambda _: F.lit(False))))
+    return let(first, lambda level: levels(level, deepest, 0, [9, 9, 32]))
 
 
 def _scalars(found: Column) -> Column:
@@ -239,7 +239,7 @@ def compared(before: Column, after: Column) -> Column:
         pairs = (
             F.when(p["a_items"].isNotNull() & p["b_items"].isNotNull(), lists)
             .when(F.map_keys(p["a_members"]) == F.map_keys(p["b_members"]), alike)
-            .when(inner, _let(record(a=by_key(p["a_members"], p["a_items"]), b=by_key(p["b_members"], p["b_items"])), mixed))
+            .when(inner, let(record(a=by_key(p["a_members"], p["a_items"]), b=by_key(p["b_members"], p["b_items"])), mixed))
         )
         return F.filter(pairs, lambda c: ~F.coalesce(F.to_json(c["a"]) == F.to_json(c["b"]), F.lit(False)))
 
@@ -247,7 +247,7 @@ def compared(before: Column, after: Column) -> Column:
         root = F.filter(F.array(pair(F.lit(""), parsed(docs["a"]), parsed(docs["b"]))), lambda c: ~F.to_json(c["a"]).eqNullSafe(F.to_json(c["b"])))
         return unfolded(root, opened, F.greatest(_brackets(docs["a"]), _brackets(docs["b"])))
 
-    return _let(record(a=before, b=after), both)
+    return let(record(a=before, b=after), both)
 
 
 def differences(pairs: Column) -> Column:

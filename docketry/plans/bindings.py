@@ -61,12 +61,12 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEM = """named_struct(
   'g', group_ordinal, 'o', ordinal, 'title', group_title,
   'ingredient', named_struct(
-    'id', concat('i', group_ordinal, '-', ordinal), 'sourceText', source_text,
+    'id', concat('i', group_ordinal, '-', ordinal), 'sourceText', CASE WHEN doc_key % 9 = 4 AND ordinal = 1 THEN ' ' ELSE source_text END,
     'quantityExpression', CASE WHEN val_kind IS NOT NULL THEN named_struct('sourceText', val_source_text, 'kind', val_kind, 'value', val_value) END,
     'unit', unit, 'name', name, 'qualifiers', cast(array() AS array<string>), 'scalingEligibility', CASE WHEN unit IS NULL THEN 'unknown' ELSE 'proportional' END,
     'sourceRefs', filter(array(named_struct('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal))), x -> ordinal % 3 != 0)),
   'step', named_struct(
-    'id', concat('t', group_ordinal, '-', ordinal), 'sourceText', concat('Add ', source_text), 'normalizedActionText', concat('add ', name),
+    'id', concat('t', group_ordinal, '-', ordinal), 'sourceText', CASE WHEN doc_key % 9 = 5 AND ordinal = 1 THEN '' ELSE concat('Add ', source_text) END, 'normalizedActionText', concat('add ', name),
     'sourceRefs', array(named_struct('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal))),
     'ingredientUses', array(named_struct(
       'ingredientId', concat('i', group_ordinal, '-', ordinal),
@@ -84,9 +84,20 @@ _DOCUMENT = """named_struct(
   'id', concat('r-', recipe_id, '-', version), 'schemaVersion', '2.0.0',
   'title', CASE WHEN title IS NULL THEN named_struct('state', 'not_in_source', 'sourceText', cast(null AS string), 'sourceRefs', cast(null AS array<struct<blockId: string>>))
                 ELSE named_struct('state', 'from_source', 'sourceText', title, 'sourceRefs', array(named_struct('blockId', concat('b-', doc_key)))) END,
+  'description', CASE WHEN doc_key % 4 = 1 THEN concat('made on ', created) END,
+  'authors', element_at(array(cast(null AS array<string>), array('  '), array(' Ann ', ''), array('Bo', 'Cy')), cast(doc_key % 4 + 1 AS int)),
   'sourceName', CASE WHEN status = 'F' THEN 'archive' END,
+  'sourcePublisher', CASE WHEN doc_key % 3 = 0 THEN 'press' END,
   'yields', array(named_struct('id', 'y1', 'sourceText', concat('about ', status), 'valueExpression', named_struct('sourceText', status, 'kind', 'exact', 'value', total),
                                'scalingEligibility', 'unknown', 'sourceRefs', array(named_struct('payloadPointer', '/total')))),
+  'times', array(
+    named_struct('type', 'prep', 'durationExpression', named_struct('sourceText', 'prep time', 'kind', CASE WHEN status = 'P' THEN 'range' ELSE 'exact' END, 'value', doc_key % 7 * 15.5D,
+                 'unit', element_at(array('min', 'Std', 'fortnight', '', cast(null AS string)), cast(doc_key % 5 + 1 AS int))), 'sourceRefs', cast(array() AS array<string>)),
+    named_struct('type', 'bake', 'durationExpression', named_struct('sourceText', 'bake', 'kind', CASE WHEN doc_key % 2 = 0 THEN 'exact' ELSE 'minimum' END, 'value', 1.0D, 'unit', 'h'), 'sourceRefs', cast(array() AS array<string>)),
+    named_struct('type', 'cook', 'durationExpression', named_struct('sourceText', 'cook', 'kind', 'exact', 'value', 2.0D, 'unit', 'h'), 'sourceRefs', cast(array() AS array<string>)),
+    named_struct('type', 'rest', 'durationExpression', named_struct('sourceText', 'overnight', 'kind', 'qualitative', 'value', cast(null AS double), 'unit', cast(null AS string)), 'sourceRefs', cast(array() AS array<string>)),
+    named_struct('type', 'total', 'durationExpression', named_struct('sourceText', 'in all', 'kind', 'exact', 'value', doc_key % 90 + 3600.0D, 'unit', 's'), 'sourceRefs', cast(array() AS array<string>))),
+  'equipment', filter(array(named_struct('id', 'e1', 'sourceText', 'a bowl', 'name', 'bowl', 'qualifiers', cast(array() AS array<string>), 'sourceRefs', array(named_struct('blockId', concat('b-', doc_key))))), x -> status = 'O'),
   'ingredientGroups', transform(groups, g -> named_struct(
     'id', concat('g', g), 'title', filter(items, x -> x.g = g)[0].title, 'sourceRefs', array(named_struct('blockId', concat_ws('-', 'b', doc_key, g))),
     'ingredients', transform(filter(items, x -> x.g = g), x -> x.ingredient))),
@@ -118,13 +129,13 @@ def _object(**members: str) -> str:
 _NO = "'[]'::JSON"
 _LINE_BLOCK = "json_array(json_object('blockId', concat_ws('-', 'b', doc_key, group_ordinal, ordinal)))"
 _INGREDIENT = _object(
-    id="'i' || group_ordinal || '-' || ordinal", sourceText="source_text",
+    id="'i' || group_ordinal || '-' || ordinal", sourceText="CASE WHEN doc_key % 9 = 4 AND ordinal = 1 THEN ' ' ELSE source_text END",
     quantityExpression=f"CASE WHEN val_kind IS NOT NULL THEN {_object(sourceText='val_source_text', kind='val_kind', value='val_value')} END",
     unit="unit", name="name", qualifiers=_NO, scalingEligibility="CASE WHEN unit IS NULL THEN 'unknown' ELSE 'proportional' END",
     sourceRefs=f"CASE WHEN ordinal % 3 != 0 THEN {_LINE_BLOCK} ELSE {_NO} END",
 )
 _STEP = _object(
-    id="'t' || group_ordinal || '-' || ordinal", sourceText="'Add ' || source_text", normalizedActionText="'add ' || name", sourceRefs=_LINE_BLOCK,
+    id="'t' || group_ordinal || '-' || ordinal", sourceText="CASE WHEN doc_key % 9 = 5 AND ordinal = 1 THEN '' ELSE 'Add ' || source_text END", normalizedActionText="'add ' || name", sourceRefs=_LINE_BLOCK,
     ingredientUses="json_array(" + _object(
         ingredientId="'i' || group_ordinal || '-' || ordinal",
         usage="['use_now', 'reserve_for_later', 'use_remaining', 'use_partial_unspecified', 'use_all'][(group_ordinal + ordinal) % 5 + 1]",
@@ -137,11 +148,26 @@ _STEP = _object(
     prerequisiteCues=f"CASE WHEN val_kind = 'qualitative' THEN json_array(json_object('sourceText', CASE WHEN ordinal % 2 = 0 THEN 'Chill the ' || name ELSE name END, 'sourceRefs', json_array(json_object('payloadPointer', '/status')))) ELSE {_NO} END",
     waitCues=f"CASE WHEN val_kind IS NULL THEN json_array(json_object('sourceText', 'wait for ' || name, 'sourceRefs', {_NO})) ELSE {_NO} END",
 )
+
+
+def _time(kind: str, text: str, how: str, value: str, unit: str) -> str:
+    return f"json_object('type', '{kind}', 'durationExpression', {_object(sourceText=f"'{text}'", kind=how, value=value, unit=unit)}, 'sourceRefs', {_NO})"
+
+
+_TIMES = ", ".join([
+    _time("prep", "prep time", "CASE WHEN status = 'P' THEN 'range' ELSE 'exact' END", "doc_key % 7 * 15.5::DOUBLE", "['min', 'Std', 'fortnight', '', NULL][doc_key % 5 + 1]"),
+    _time("bake", "bake", "CASE WHEN doc_key % 2 = 0 THEN 'exact' ELSE 'minimum' END", "1.0::DOUBLE", "'h'"), _time("cook", "cook", "'exact'", "2.0::DOUBLE", "'h'"),
+    _time("rest", "overnight", "'qualitative'", "NULL", "NULL"), _time("total", "in all", "'exact'", "doc_key % 90 + 3600.0::DOUBLE", "'s'"),
+])
 _GROUP = _object(id="'g' || group_ordinal", title="group_title", sourceRefs="json_array(json_object('blockId', concat_ws('-', 'b', doc_key, group_ordinal)))", ingredients="ingredients")
 _ROOT = _object(
     id="'r-' || recipe_id || '-' || version", schemaVersion="'2.0.0'",
     title="CASE WHEN title IS NULL THEN json_object('state', 'not_in_source') ELSE json_object('state', 'from_source', 'sourceText', title, 'sourceRefs', json_array(json_object('blockId', 'b-' || doc_key))) END",
-    sourceName="CASE WHEN status = 'F' THEN 'archive' END",
+    description="CASE WHEN doc_key % 4 = 1 THEN 'made on ' || created END",
+    authors="CASE doc_key % 4 WHEN 1 THEN json_array('  ') WHEN 2 THEN json_array(' Ann ', '') WHEN 3 THEN json_array('Bo', 'Cy') END",
+    sourceName="CASE WHEN status = 'F' THEN 'archive' END", sourcePublisher="CASE WHEN doc_key % 3 = 0 THEN 'press' END",
+    times=f"json_array({_TIMES})",
+    equipment=f"CASE WHEN status = 'O' THEN json_array(json_object('id', 'e1', 'sourceText', 'a bowl', 'name', 'bowl', 'qualifiers', {_NO}, 'sourceRefs', json_array(json_object('blockId', 'b-' || doc_key)))) ELSE {_NO} END",
     yields="json_array(json_object('id', 'y1', 'sourceText', 'about ' || status, 'valueExpression', json_object('sourceText', status, 'kind', 'exact', 'value', total), 'scalingEligibility', 'unknown', 'sourceRefs', json_array(json_object('payloadPointer', '/total'))))",
     ingredientGroups=f"coalesce(groups, {_NO})", preparedComponents=f"coalesce(components, {_NO})", instructionSections=f"coalesce(sections, {_NO})",
     provenance="json_object('sourceSnapshotId', 'snap-' || doc_key, 'sourceSnapshotVersion', 1, 'targetOntologyVersion', '1', 'runId', 'run-1')",
