@@ -5,12 +5,15 @@ minimum-cost flow gives the bytes that go from each old to each new shard: a byt
 that moves costs its rate. Whole blocks realise the flow, and only the shards that lose or gain blocks are written
 again. The driver holds one row for each block; blocks follow the rows (ROWS_PER_BLOCK), so they stay small.
 
-Edge cases: a null text has size 1; rows with a null old shard count as shard 0; equal rows share a block; an empty
-table gives no rows; extra columns are ignored by the plan and carried by rewrite().
+A row is told apart from its like by its place in its file, so that equal rows spread over the blocks as others do.
+
+Edge cases: a null text has size 1; rows with a null old shard count as shard 0; an empty table gives no rows; extra
+columns are ignored by the plan and carried along, whatever their names, but for `shard` and `slot`, which are replaced.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +87,24 @@ def assign_blocks(blocks: list[tuple[int, int, int]], flow: list[list[int]]) ->
     return out
 
 
+def place_in_file(docs: DataFrame) -> tuple[DataFrame, F.Column]:
+    """docs and a column that differs between all its rows: their places in files. Frames that are no files are written."""
+    try:
+        docs.select(docs.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        docs = written(docs, "documents")
+    at = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(at["file_path"], at["row_index"])
+
+
 def digests(docs: DataFrame, old_shard: F.Column, id_col: str, text_col: str) -> DataFrame:
-    """docs with __old, __size (UTF-8 bytes and one) and __key (the row's hash, which gives its block)."""
-    text = F.col(text_col).cast("string")
-    return docs.withColumns({
-        "__old": F.coalesce(old_shard.cast("int"), F.lit(0)),
-        "__size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
-        "__key": F.xxhash64(F.col(id_col), text),
-    })
+    """Rows (d, id, __old, __size, __key): d holds the columns, __size is UTF-8 bytes and one, __key gives the block."""
+    docs, place = place_in_file(docs)
+    text, kept = F.col(text_col).cast("string"), [c for c in docs.columns if c not in ("shard", "slot")]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), F.col(id_col).alias("id"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("__old"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("__size"), F.xxhash64(F.col(id_col), text, place).alias("__key"),
+    )
 
 
 def plan(rows: DataFrame, old_shards: int, new_shards: int, cost: list[list[float]] | None = None, capacity: list[int] | None = None) -> tuple[list[tuple], dict]:
@@ -135,14 +148,14 @@ def reshard(
     Rows of shards that keep all their blocks, and no more, are read from docs; the rest from the new files.
     """
     spark, folder = docs.sparkSession, folder or scratch(docs.sparkSession, "shards")
-    rows = digests(docs, old_shard, id_col, text_col).drop("shard", "slot")
+    rows = digests(docs, old_shard, id_col, text_col)
     small = written(rows.select("__old", "__size", "__key"), "shard-sizes")
     blocks, summary = plan(small, old_shards, new_shards, cost)
     places = spark.createDataFrame(blocks, "__old int, __block int, shard int, __first long")
-    order = Window.partitionBy("__old", "__block").orderBy(F.col(id_col).asc_nulls_first(), "__key")
+    order = Window.partitionBy("__old", "__block").orderBy(F.col("id").asc_nulls_first(), "__key")
     placed = rows.withColumn("__block", block_of(summary["counts"])).join(places, ["__old", "__block"])
     placed = placed.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1)
-    placed = placed.select(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    placed = placed.select("d.*", "shard", "slot")
     written_rows = placed.where(F.col("shard").isin(summary["affected"]))
     written_rows.write.partitionBy("shard").parquet(folder)
     out = spark.read.schema(placed.schema).parquet(folder) if summary["affected"] else written_rows

@@ -9,9 +9,11 @@ over all blocks are.
 
 The query set meets all rows in blocks: blocks of queries, the smaller side, go to each block of rows.
 
-Edge cases: vectors that are null or hold null or non-finite components take no part, as query or candidate, nor do
-those with a component so large that scores might reach 2 ** 53, from where sums are not exact; vectors of another
-length are no candidates; ties go to the smaller id, a null id last; rows that share the query's id count as its own;
+Sums are doubles where scores stay below 2 ** 53, and wider numbers, up to Python's integers, in blocks and for queries
+where they might not, so they are always exact.
+
+Edge cases: vectors that are null or hold null or non-finite components, or ones whose integers no long holds, take no
+part, as query or candidate; a score that no long holds ends the job; vectors of another length are no candidates; ties go to the smaller id, a null id last; rows that share the query's id count as its own;
 an empty table gives no rows; extra columns are ignored; ids are cast to long, and text ids end the job.
 """
 
@@ -41,54 +43,69 @@ class SortedLists:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         order = np.argsort(rows, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+        self.sorted = np.take_along_axis(rows, order, axis=0)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.broadcast_to(np.arange(len(rows))[:, None], rows.shape), axis=0)
         # depth at which a row is read: lists from their ends, for positive weights, then from their starts
         self.at = np.vstack([len(rows) - 1 - rank.T, rank.T])
+        self.most = max((abs(int(x)) for x in (rows.min(initial=0), rows.max(initial=0))), default=0)
         self.values = np.vstack([rows.T, rows.T]).astype(np.float64)
         self.read = self.entries = 0
 
+    def _exact(self, queries: np.ndarray) -> type:
+        """The numbers in which all sums of these queries are exact."""
+        bound = self.most * max(abs(int(x)) for x in (queries.min(initial=0), queries.max(initial=0))) * max(1, self.rows.shape[1])
+        if bound < 1 << 53:
+            return np.float64
+        return np.longdouble if bound < 1 << 63 and np.finfo(np.longdouble).nmant >= 63 else object
+
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and exact scores of its k best rows, but for those with its own id."""
         (n, dims), out = self.rows.shape, [None] * len(queries)
-        active, depth, sums = np.arange(len(queries)), 0, np.zeros((len(queries), n))
-        weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(np.float64)
+        kind = self._exact(queries)
+        values = self.values if kind is np.float64 else np.vstack([self.rows.T, self.rows.T]).astype(kind)
+        active, depth, sums = np.arange(len(queries)), 0, np.zeros((len(queries), n), kind)
+        weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
         mine = own[:, None] == self.ids
         self.entries += n * dims * len(queries)
         for to in [-(-n // part) for part in PARTS]:
-            sums += weights @ np.where((self.at >= depth) & (self.at < to), self.values, 0.0)
+            sums += weights @ np.where((self.at >= depth) & (self.at < to), values, kind(0) if kind is not object else 0)
             self.read += (to - depth) * dims * len(active)
             depth = to
             if depth == n:
                 sums[mine] = -np.inf
                 for q, scores, others, least in zip(active.tolist(), sums, ~mine, self._kth(sums, k)):
                     able = np.flatnonzero((scores >= least) & others)
-                    out[q] = self._best(able, scores[able].astype(np.int64), k)
+                    out[q] = self._best(able, self._longs(scores[able]), k)
                 break
             lower, upper = self._bounds(sums, weights, depth)
-            slack = 1e-9 * (1 + np.abs(upper).max(axis=1, initial=0))
+            slack = 1e-9 * (1 + np.abs(upper).max(axis=1, initial=0)) if kind is not object else 0
             lower[mine] = upper[mine] = -np.inf
-            able = (upper >= (self._kth(lower, k) - slack)[:, None]) & ~mine
+            able = (upper >= (self._kth(lower, k) - slack)[:, None]).astype(bool) & ~mine
             ends = able.sum(axis=1) <= max(8 * k, n // 32)
             for c in np.flatnonzero(ends).tolist():
                 rest, q = np.flatnonzero(able[c]), active[c]
-                out[q] = self._best(rest, self.rows[rest] @ queries[q], k)
+                out[q] = self._best(rest, self._longs(self.rows[rest].astype(object) @ queries[q].astype(object) if kind is object else self.rows[rest] @ queries[q]), k)
             if ends.all():
                 break
             active, sums, weights, mine = active[~ends], sums[~ends], weights[~ends], mine[~ends]
         return out
 
+    def _longs(self, scores: np.ndarray) -> np.ndarray:
+        return np.array([int(x) for x in scores], np.int64) if scores.dtype == object else scores.astype(np.int64)
+
     def _kth(self, scores: np.ndarray, k: int) -> np.ndarray:
         """The k-th best score of each query; below all where there are fewer rows."""
         n = scores.shape[1]
+        if scores.dtype == object:
+            return np.sort(scores, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
         return np.partition(scores, n - k, axis=1)[:, n - k] if n >= k else np.full(len(scores), -np.inf)
 
     def _bounds(self, sums: np.ndarray, weights: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all rows' scores when every list has given depth entries."""
         n = len(self.ids)
-        unread = (self.at >= depth).astype(np.float64)
-        worst, last = np.hstack([self.sorted[0], self.sorted[-1]]), np.hstack([self.sorted[n - depth], self.sorted[depth - 1]])
+        unread = (self.at >= depth).astype(weights.dtype)
+        worst, last = (np.hstack(x).astype(weights.dtype) for x in ([self.sorted[0], self.sorted[-1]], [self.sorted[n - depth], self.sorted[depth - 1]]))
         return sums + (weights * worst) @ unread, sums + (weights * last) @ unread
 
     def _best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +146,8 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query row."""
     vector = F.col(vector_col)
-    most = F.sqrt(F.lit(float(1 << 53)) / F.greatest(F.size(vector), F.lit(1)))
-    whole = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(F.lit(float(scale)) * x.cast("double")) < most))
+    held = lambda x: F.abs(F.lit(float(scale)) * x.cast("double")) < 2.0**62
+    whole = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & held(x))
     kept = vectors.where(whole).select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("ask"),
         F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("vector"),

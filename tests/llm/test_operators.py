@@ -198,6 +198,18 @@ def test_flow_is_of_least_cost():
         assert sum(f * c for a, b in zip(flow, cost) for f, c in zip(a, b)) == best(0, tuple(capacity))
 
 
+def test_resharding_spreads_equal_rows(spark, tmp_path):
+    same = spark.createDataFrame([(1, "the same text", 5)] * 4000 + [(None, None, 1)] * 500, "doc_id long, text string, __size long")
+    same.repartition(5).write.parquet(str(tmp_path / "same"))
+    for docs in (same, spark.read.parquet(str(tmp_path / "same"))):
+        out, _ = resharding.reshard(docs, F.lit(0), 1, 4)
+        rows = out.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"), F.count("*").alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+        sizes = [r["size"] for r in rows]
+        assert len(rows) == 4 and sum(r.n for r in rows) == 4500 and max(sizes) < 1.1 * min(sizes)
+        assert all(r.last == r.n - 1 and r.slots == r.n for r in rows)
+        assert out.columns == ["doc_id", "text", "__size", "shard", "slot"] and out.where("doc_id = 1 AND __size = 5").count() == 4000
+
+
 def test_resharding_keeps_rows_and_moves_little(spark, odd, empty):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("shard", F.lit("clash"))
     old = F.pmod(F.xxhash64("source"), F.lit(4))
@@ -574,3 +586,26 @@ def test_training_never_reads_held_out_rows(spark):
     flipped = labels.withColumn("quality", F.when(quality_classifier.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (sorted((r.id, round(r.score, 6)) for r in quality_classifier.classify(docs, x).collect()) for x in (labels, flipped))
     assert a == b
+
+
+def test_topk_scores_of_large_components_are_exact(spark):
+    rng = np.random.default_rng(11)
+    ones = [1.0] * 64
+    rows = [(0, ones), (1, [50000.0] * 64), (2, [49999.0] * 64), (3, [float(x) for x in rng.normal(size=64)]), (4, [-50000.0] * 64)]
+    rows += [(k, [float(x) for x in rng.normal(size=64)]) for k in range(5, 60)]
+    # products of 2 ** 60 and sums beyond what doubles tell apart
+    rows += [(100, [2.0**21 + k for k in range(64)]), (101, [2.0**21 + k + 1 / 256 for k in range(64)]), (102, [2.0**21 - k for k in range(64)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    got: dict = {}
+    for r in topk_search.search(frame.repartition(3), F.col("vec_id").isin(0, 3, 100), rows=16, queries=2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 3, 100):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    assert got[0][0] and {v for _, v, _ in got[0]} >= {1, 2}
+    huge = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large|too big|overflow"):
+        topk_search.search(huge, F.lit(True)).collect()
+    rows = topk_search.search(spark.createDataFrame([(0, [2.0**60]), (1, [1.0]), (2, [2.0])], huge.schema), F.lit(True)).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in rows} == {(1, 2, 131072), (2, 1, 131072)}
