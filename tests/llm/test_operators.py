@@ -594,7 +594,7 @@ def test_topk_scores_of_large_components_are_exact(spark):
     rows = [(0, ones), (1, [50000.0] * 64), (2, [49999.0] * 64), (3, [float(x) for x in rng.normal(size=64)]), (4, [-50000.0] * 64)]
     rows += [(k, [float(x) for x in rng.normal(size=64)]) for k in range(5, 60)]
     # products of 2 ** 60 and sums beyond what doubles tell apart
-    rows += [(100, [2.0**21 + k for k in range(64)]), (101, [2.0**21 + k + 1 / 256 for k in range(64)]), (102, [2.0**21 - k for k in range(64)])]
+    rows += [(100, [2.0**20 + k for k in range(64)]), (101, [2.0**20 + k + 1 / 256 for k in range(64)]), (102, [2.0**20 - k for k in range(64)])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
     got: dict = {}
@@ -604,6 +604,9 @@ def test_topk_scores_of_large_components_are_exact(spark):
         scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q))[:5]
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(scores, 1)]
     assert got[0][0] and {v for _, v, _ in got[0]} >= {1, 2}
+    apart = spark.createDataFrame([(0, [2.0**30, 0.0]), (1, [0.0, 2.0**30]), (2, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id, r.score) for r in topk_search.search(apart, F.lit(True)).collect()}
+    assert found == {(0, 1, 0), (1, 0, 0), (0, 2, 2**46), (2, 0, 2**46), (1, 2, 3 * 2**46), (2, 1, 3 * 2**46)}
     huge = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large|too big|overflow"):
         topk_search.search(huge, F.lit(True)).collect()
