@@ -151,12 +151,18 @@ def reshard(
     rows = digests(docs, old_shard, id_col, text_col)
     small = written(rows.select("__old", "__size", "__key"), "shard-sizes")
     blocks, summary = plan(small, old_shards, new_shards, cost)
-    places = spark.createDataFrame(blocks, "__old int, __block int, shard int, __first long")
-    order = Window.partitionBy("__old", "__block").orderBy(F.col("id").asc_nulls_first(), "__key")
-    placed = rows.withColumn("__block", block_of(summary["counts"])).join(places, ["__old", "__block"])
-    placed = placed.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1)
-    placed = placed.select("d.*", "shard", "slot")
-    written_rows = placed.where(F.col("shard").isin(summary["affected"]))
-    written_rows.write.partitionBy("shard").parquet(folder)
-    out = spark.read.schema(placed.schema).parquet(folder) if summary["affected"] else written_rows
-    return out.select(*placed.columns).union(placed.where(~F.col("shard").isin(summary["affected"]))), summary
+    affected = set(summary["affected"])
+
+    def placed(own: list[tuple]) -> DataFrame:
+        places = spark.createDataFrame(own, "__old int, __block int, shard int, __first long")
+        order = Window.partitionBy("__old", "__block").orderBy(F.col("id").asc_nulls_first(), "__key")
+        out = rows.withColumn("__block", block_of(summary["counts"])).join(places, ["__old", "__block"])
+        return out.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select("d.*", "shard", "slot")
+
+    anew, kept = [b for b in blocks if b[2] in affected], [b for b in blocks if b[2] not in affected]
+    fresh = placed(anew)
+    if not affected:
+        return placed(kept), summary
+    fresh.write.partitionBy("shard").parquet(folder)
+    out = spark.read.schema(fresh.schema).parquet(folder).select(*fresh.columns)
+    return out.union(placed(kept)) if kept else out, summary
