@@ -611,13 +611,22 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their columns, the passages that earlier documents have cut out of the texts."""
+    """docs with their columns, the passages that earlier documents have cut out of the texts.
+
+    Spans are found by id. Rows of an id that has several different texts stay as they are, since a span does not say
+    which of them it was found in; a null text stays null.
+    """
     spans = find(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("start_word", "n_words")).alias("__spans"))
     # A document has at most one span for each earlier partner and region; spans are pairs of numbers.
+    total, ids = docs.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    if ids < total:
+        name = F.md5(whole_text(text_col).cast("binary"))
+        several = docs.groupBy(F.col(id_col).alias("__doc")).agg(F.min(name).alias("least"), F.max(name).alias("most")).where("least != most").select("__doc")
+        spans = spans.join(several, "__doc", "left_anti")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, [(s["start_word"], s["n_words"]) for s in x]) for t, x in zip(texts, lists)])
+        return pd.Series([None if t is None else cut_words(t, [(s["start_word"], s["n_words"]) for s in x]) for t, x in zip(texts, lists)])
 
     joined = docs.join(spans, docs[id_col] == spans["__doc"], "left")
     hit = joined.where(F.col("__doc").isNotNull()).withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)

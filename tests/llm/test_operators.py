@@ -612,3 +612,14 @@ def test_topk_scores_of_large_components_are_exact(spark):
         topk_search.search(huge, F.lit(True)).collect()
     rows = topk_search.search(spark.createDataFrame([(0, [2.0**60]), (1, [1.0]), (2, [2.0])], huge.schema), F.lit(True)).collect()
     assert {(r.query_id, r.vec_id, r.score) for r in rows} == {(1, 2, 131072), (2, 1, 131072)}
+
+
+def test_passages_of_ids_with_several_texts_stay(spark):
+    rng = random.Random(31)
+    shared, other = text(rng, 80), text(rng, 100)
+    rows = [(1, text(rng, 30) + " " + shared), (2, shared + " " + text(rng, 20)), (2, None), (3, shared + " " + text(rng, 10)), (3, other), (4, text(rng, 9) + " " + shared), (4, None)]
+    rows[6] = (5, None)
+    got = sorted((r.doc_id, len((r.text or "").split())) for r in passages.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 110), (2, 0), (2, 100), (3, 90), (3, 100), (4, 9), (5, 0)]
+    lone = spark.createDataFrame([(1, shared), (2, shared), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in passages.without_passages(lone).collect() if r.text is not None) == [(1, shared), (2, "")]
