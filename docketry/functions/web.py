@@ -1,10 +1,8 @@
-"""URL pre-flight checks, address classes, media signatures, digests, and structured data in pages."""
+"""URL pre-flight checks, address classes, media signatures and digests."""
 
 from __future__ import annotations
 
 import ipaddress
-import json
-import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -73,141 +71,6 @@ def url_safe_digest(token: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.unhex(F.sha2(token, 256))), "+/", "-_"), F.lit("="))
 
 
-#: Fields without which structured data is not enough.
-REQUIRED = ["name", "recipeIngredient", "recipeInstructions", "recipeYield"]
-_SCRIPT = r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
-
-def _structs(**fields: T.DataType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
-
-
-TEXT, TEXTS = T.StringType(), T.ArrayType(T.StringType())
-NODE = _structs(pos=T.IntegerType(), name=TEXT, id=TEXT, required=T.IntegerType(), missing=TEXTS, json=TEXT)
-
-
-def _nodes(value) -> list:
-    """Objects of nested lists and @graph members, in page order; other keys are not entered."""
-    if isinstance(value, list):
-        return [x for v in value for x in _nodes(v)]
-    if not isinstance(value, dict):
-        return []
-    return [value] + _nodes(value.get("@graph", []))
-
-
-def _parsed(text: str):
-    for candidate in (text, re.sub(r"\A\s*/\*.*?\*/", "", re.sub(r"<!--|-->", "", text), flags=re.S)):
-        try:
-            return json.loads(candidate)
-        except ValueError:
-            continue
-    return None
-
-
-def _display(value) -> str | None:
-    if isinstance(value, str):
-        return value.strip() or None
-    return str(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
-
-
-def _full(value) -> bool:
-    return bool(value.strip()) if isinstance(value, str) else value is not None and (not isinstance(value, (list, dict)) or len(value) > 0)
-
-
-def typed_nodes(scripts: list[str], kind: str) -> list[dict]:
-    """The nodes of a type in a page's scripts, with their name, @id and required fields."""
-    out = []
-    for node in (n for s in scripts for n in _nodes(_parsed(s))):
-        types = node.get("@type")
-        if types == kind or isinstance(types, list) and kind in types:
-            missing = [f for f in REQUIRED if not _full(node.get(f))]
-            out.append({"pos": len(out), "name": _display(node.get("name")), "id": _display(node.get("@id")), "required": len(REQUIRED) - len(missing), "missing": missing, "json": json.dumps(node, ensure_ascii=False)})
-    return out
-
-
-def structured_data(pages: DataFrame, key: str, html: str = "html", kind: str = "Recipe") -> DataFrame:
-    """(key, scripts, node): each node of the type on each page; scripts alone go through Python."""
-
-    @F.pandas_udf(NODE)
-    def nodes(scripts: pd.Series) -> pd.Series:
-        return scripts.map(lambda x: typed_nodes(list(x), kind))
-
-    found = pages.select(key, F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)).alias("scripts"))
-    return found.where(F.size("scripts") > 0).select(key, F.size("scripts").alias("scripts"), F.explode_outer(nodes("scripts")).alias("node"))
-
-
-def distinct_nodes(found: DataFrame, key: str) -> DataFrame:
-    """One node for each distinct item of a page, the richest and first.
-
-    Items are named by folded name, else @id, else themselves. Two or more @ids under one name are as many items,
-    and nodes without an @id fold into them.
-    """
-    rows = found.where("node IS NOT NULL").select(key, "node.*")
-    folded = F.regexp_replace(F.lower("name"), r"\s+", " ")
-    group = F.when(F.col("name").isNotNull(), F.concat(F.lit("name:"), folded)).when(F.col("id").isNotNull(), F.concat(F.lit("id:"), "id")).otherwise(F.concat(F.lit("#"), F.col("pos").cast("string")))
-    rows = rows.withColumn("group", group)
-    ids = rows.groupBy(key, "group").agg(F.count_distinct("id").alias("n_ids"))
-    rows = rows.join(ids, [key, "group"]).where("n_ids <= 1 OR id IS NOT NULL")
-    item = F.when(F.col("n_ids") > 1, F.col("id")).otherwise(F.lit(""))
-    best = F.max_by(F.struct("pos", "name", "id", "required", "missing", "json"), F.struct("required", -F.col("pos")))
-    return rows.groupBy(key, "group", item.alias("item")).agg(best.alias("node")).select(key, "node.*")
-
-
-def sufficiency(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, decision, n_items, missing): several items are refused before missing fields are looked at."""
-    items = distinct_nodes(structured_data(pages, key, html), key)
-    found = items.groupBy(key).agg(F.count("*").alias("n"), F.min_by("missing", "pos").alias("missing"))
-    out = pages.select(key).join(found, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("missing", F.array(*map(F.lit, REQUIRED))).alias("missing"))
-    decision = F.when(F.col("n_items") > 1, "multiple").when((F.col("n_items") == 0) | (F.size("missing") > 0), "insufficient").otherwise("sufficient")
-    return out.withColumn("decision", decision)
-
-
-def blocks_of(node: dict) -> list[tuple[str, str | None, str]]:
-    """(type, heading, text) of a node in reading order; sections give their heading to their steps."""
-    out: list[tuple[str, str | None, str]] = []
-
-    def add(kind, value, heading=None):
-        for v in value if isinstance(value, list) else [value]:
-            v = v.get("name") or v.get("text") if isinstance(v, dict) else v
-            if text := _display(v):
-                out.append((kind, heading, text))
-
-    def steps(value, heading=None):
-        if isinstance(value, list):
-            for v in value:
-                steps(v, heading)
-        elif isinstance(value, dict) and "itemListElement" in value:
-            steps(value["itemListElement"], _display(value.get("name")) or heading)
-        elif isinstance(value, dict):
-            add("instruction", value.get("text") or value.get("name"), heading)
-        elif isinstance(value, str):
-            lines = [x.strip() for x in re.split(r"\r?\n+", value) if x.strip()]
-            for line in lines:
-                out.append(("instruction", heading, line))
-
-    add("title", node.get("name"))
-    add("author", node.get("author"))
-    for field in ("recipeYield", "prepTime", "cookTime", "totalTime", "description"):
-        add("metadata", node.get(field), field)
-    add("ingredient", node.get("recipeIngredient"))
-    steps(node.get("recipeInstructions"))
-    return out
-
-
-def node_blocks(items: DataFrame, key: str) -> DataFrame:
-    """(key, ord, type, heading, text) of each item's blocks."""
-
-    @F.pandas_udf(_structs(type=TEXT, heading=TEXT, text=TEXT))
-    def blocks(nodes: pd.Series) -> pd.Series:
-        return nodes.map(lambda x: [dict(zip(("type", "heading", "text"), b)) for b in blocks_of(json.loads(x))])
-
-    return items.select(key, F.posexplode(blocks("json")).alias("ord", "b")).select(key, "ord", "b.*")
-
-
-def captured_text(blocks: DataFrame, key: str) -> DataFrame:
-    line = F.concat_ws(": ", "heading", "text")
-    return blocks.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("captured"))
-
-
 @F.pandas_udf(T.StringType())
 def first_resolvable(base: pd.Series, candidates: pd.Series) -> pd.Series:
     """The first candidate that resolves to an http or https address."""

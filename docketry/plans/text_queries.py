@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
-from docketry.functions import trees, web
+from docketry.functions import linked, trees, web
 from docketry.operators import verification as vf
 from docketry.plans.bindings import table
 
@@ -96,7 +96,7 @@ def o47_coverage(s: S, d: str) -> D:
 
 
 def o56_sufficiency(s: S, d: str) -> D:
-    return web.sufficiency(table(s, d, "pages"), "page_id").select("page_id", "decision", "n_items", F.array_join("missing", ",").alias("missing"))
+    return linked.decided(table(s, d, "pages"), "page_id").select("page_id", "decision", F.col("n_items").cast("long").alias("n_items"), F.array_join("missing", ",").alias("missing"))
 
 
 def o63_ref_resolution(s: S, d: str) -> D:

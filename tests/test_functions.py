@@ -94,34 +94,6 @@ def test_inspect_url(spark):
     assert {r.url: r.code for r in web.inspect_url(rows).collect()} == urls
 
 
-def _page(*nodes):
-    return "<html>" + "".join(f'<script type="application/ld+json">{n if isinstance(n, str) else json.dumps(n)}</script>' for n in nodes) + "</html>"
-
-
-FULL = {"@type": "Recipe", "name": "Pie", "recipeIngredient": ["flour"], "recipeInstructions": "Mix.\nBake.", "recipeYield": 4}
-
-
-@pytest.mark.parametrize(
-    ("html", "decision", "n"),
-    [
-        (_page(FULL), "sufficient", 1), (_page({"@graph": [FULL]}, FULL | {"name": " pie "}), "sufficient", 1), (_page(FULL | {"@id": "a"}, FULL | {"@id": "b"}), "multiple", 2),
-        (_page(FULL, FULL | {"name": "Cake"}), "multiple", 2), (_page({**FULL, "recipeYield": ""}), "insufficient", 1), (_page("{broken"), "insufficient", 0), (_page({"@type": ["Thing", "Recipe"], **{k: v for k, v in FULL.items() if k != "@type"}}), "sufficient", 1),
-        (_page("/* c */ <!-- -->" + json.dumps(FULL)), "sufficient", 1), ("<p>none</p>", "insufficient", 0), (_page({"@type": "Page", "mainEntity": FULL}), "insufficient", 0),
-        (_page(FULL | {"@id": "a"}, FULL, FULL | {"@id": "a"}), "sufficient", 1),
-    ],
-)
-def test_sufficiency(spark, html, decision, n):
-    row = web.sufficiency(spark.createDataFrame([(1, html)], "page int, html string"), "page").first()
-    assert (row.decision, row.n_items) == (decision, n)
-
-
-def test_blocks_of_nested_sections():
-    node = FULL | {"author": {"name": "A"}, "recipeInstructions": [{"@type": "HowToSection", "name": "Dough", "itemListElement": [{"text": "Mix."}, "Rest."]}, {"text": "Bake."}]}
-    got = web.blocks_of(node)
-    assert [b for b in got if b[0] == "instruction"] == [("instruction", "Dough", "Mix."), ("instruction", "Dough", "Rest."), ("instruction", None, "Bake.")]
-    assert got[0] == ("title", None, "Pie") and ("author", None, "A") in got and ("metadata", "recipeYield", "4") in got
-
-
 def test_kind_change_is_a_difference(spark):
     a = spark.createDataFrame([(1, "/p", "number", "4"), (1, "/q", "string", "x")], "id int, path string, kind string, text string")
     b = spark.createDataFrame([(1, "/p", "string", "4"), (1, "/q", "string", "x")], a.schema)
