@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
@@ -167,8 +167,13 @@ def o90_first_match(s: S, d: str) -> D:
     return table(s, d, "pages").select("page_id", ev.first_match(notes, rules, "unclassified").alias("label"))
 
 
+def _padded(number: Column) -> Column:
+    """At least three digits; lpad alone would cut longer numbers."""
+    return F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+
+
 def o93_run_names(s: S, d: str) -> D:
-    name = F.concat(F.lit("two__"), "event_type", F.lit("__m-1__run"), F.lpad(F.col("user_id").cast("string"), 3, "0"), F.lit(".json"))
+    name = F.concat(F.lit("two__"), "event_type", F.lit("__m-1__run"), _padded(F.col("user_id").cast("string")), F.lit(".json"))
     x = ev.run_names(name)
     return table(s, d, "events").select("event_id", x["shape"].alias("shape"), x["fixture"].alias("fixture"), x["model"].alias("model"), x["run"].alias("run"))
 
