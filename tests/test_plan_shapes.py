@@ -13,3 +13,8 @@ def plan(spark, name):
 @pytest.mark.parametrize("name", ["o41_omissions", "o73_cooking_plan", "o74_plan_start_now", "o34_dangling_uses"])
 def test_documents_are_read_once(spark, name):
     assert plan(spark, name).count("from_json(") == 1
+
+
+@pytest.mark.parametrize("name", ["o15_edited_documents", "o15_edited_counts", "a9_document_branches", "o96_document_sweep"])
+def test_documents_are_made_once(spark, name):
+    assert sum("FileScan" in line and "l_partkey" in line for line in plan(spark, name).splitlines()) == 1
