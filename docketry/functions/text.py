@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.trees import let
+
 # The named entities that are decoded. Others stay as written.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ",
@@ -37,9 +39,13 @@ _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>"""
 _PLAIN = "[^>]*+>"
 
 
+#: The same, character by character.
+_EACH_SPACE = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{SPACES}]", c))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, rf"\A[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++\z", "")
+    return F.trim(text, F.lit(_EACH_SPACE))
 
 
 def _named(text: Column) -> Column:
@@ -90,9 +96,14 @@ def normal(text: Column, compatibility: bool = True) -> Column:
     """
     if compatibility:
         text = F.when(F.length(text) == F.octet_length(text), text).otherwise(nfkc(text))
-    t = F.translate(text, DASHES + SINGLE + DOUBLE + " ", "-" * len(DASHES) + "'" * len(SINGLE) + '"' * len(DOUBLE) + " ")
-    t = F.regexp_replace(t, r"(\p{L})-\s*(\p{L})", "$1$2")
-    return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
+    signs = DASHES + SINGLE + DOUBLE + "\u00a0"
+    plain = "-" * len(DASHES) + "'" * len(SINGLE) + '"' * len(DOUBLE) + " "
+    # one cheap look finds the texts, a few, that may hold signs or white space beyond ASCII; single spaces stay as they are
+    rejoined = lambda t: F.when(F.contains(t, F.lit("-")), F.regexp_replace(t, r"(\p{L})-\s*(\p{L})", "$1$2")).otherwise(t)
+    rare = lambda t: F.regexp_replace(let(F.translate(t, signs, plain), rejoined), r"(?U)\s+", " ")
+    usual = lambda t: F.regexp_replace(let(t, rejoined), r"[\t-\r][\t-\r ]*+| [\t-\r ]++", " ")
+    spaced = let(text, lambda t: F.when(F.regexp_like(t, F.lit("[\u0085\u00a0\u1680\u2000-\u3000]")), rare(t)).otherwise(usual(t)))
+    return F.lower(F.trim(spaced))
 
 
 def words(normal_text: Column) -> Column:
@@ -147,7 +158,7 @@ def paragraphs(text: Column) -> Column:
 def prose_lines(text: Column) -> Column:
     """Trimmed lines that are not empty, or the whole text where there is none."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n+"), trimmed), lambda x: x != "")
-    return F.when(F.size(lines) > 0, lines).otherwise(F.array(text))
+    return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text)))
 
 
 def sealed(text: Column, key: Column) -> Column:

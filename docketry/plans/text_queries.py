@@ -47,9 +47,17 @@ def o45_word_tokens(s: S, d: str) -> D:
     return table(s, d, "documents").select("doc_id", F.size(words).alias("n_words"), F.size(F.array_distinct(words)).alias("n_distinct"))
 
 
-def _blocks(s: S, d: str) -> D:
-    lines = F.posexplode(tx.prose_lines(F.col("text")))
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("snapshot_id"), lines.alias("ord", "text"))
+def _lines(s: S, d: str, first: int | None = None) -> D:
+    """(doc_id, ord, line) of all lines of documents, or of the first ones alone.
+
+    No list of lines is empty. Spark makes the lists of a plain explode twice, once to look at their size.
+    """
+    lines = tx.prose_lines(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.posexplode_outer(lines if first is None else F.slice(lines, 1, first)).alias("ord", "line"))
+
+
+def _blocks(s: S, d: str, first: int | None = None) -> D:
+    rows = _lines(s, d, first).select(F.col("doc_id").alias("snapshot_id"), "ord", F.col("line").alias("text"))
     return rows.select("snapshot_id", "ord", F.when(F.col("ord") == 0, "title").otherwise("instruction").alias("type"), F.lit(None).cast("string").alias("heading_norm"), "text", tx.normal(F.col("text"), False).alias("text_norm"))
 
 
@@ -62,7 +70,7 @@ def o49_paragraphs(s: S, d: str) -> D:
 
 
 def o50_prose_lines(s: S, d: str) -> D:
-    return table(s, d, "documents").select("doc_id", F.posexplode(tx.prose_lines(F.col("text"))).alias("ord", "line"))
+    return _lines(s, d)
 
 
 def o31_wording(s: S, d: str) -> D:
@@ -101,15 +109,15 @@ def o56_sufficiency(s: S, d: str) -> D:
 
 def o63_ref_resolution(s: S, d: str) -> D:
     """Each document cites its own first block, and every third one a block that is not there."""
-    blocks = tx.block_ids(_blocks(s, d)).select(F.col("snapshot_id").alias("snapshot"), "ord", "block_id")
-    refs = blocks.where("ord = 0").select(F.col("snapshot").alias("doc"), "snapshot", F.lit("/title").alias("owner"), F.when(F.col("snapshot") % 3 == 0, F.concat("block_id", F.lit("x"))).otherwise(F.col("block_id")).alias("block"), F.lit(None).cast("string").alias("pointer"))
-    snapshots = blocks.select("snapshot").distinct().withColumn("has_payload", F.lit(False))
+    blocks, heads = (tx.block_ids(_blocks(s, d, first)).select(F.col("snapshot_id").alias("snapshot"), "ord", "block_id") for first in (None, 1))
+    refs = heads.select(F.col("snapshot").alias("doc"), "snapshot", F.lit("/title").alias("owner"), F.when(F.col("snapshot") % 3 == 0, F.concat("block_id", F.lit("x"))).otherwise(F.col("block_id")).alias("block"), F.lit(None).cast("string").alias("pointer"))
+    snapshots = table(s, d, "documents").select(F.col("doc_id").alias("snapshot")).distinct().withColumn("has_payload", F.lit(False))
     return vf.unresolved_refs(refs, blocks, snapshots).select("doc", "reason")
 
 
 def o65_capture_support(s: S, d: str) -> D:
     """Lines of documents against the documents with their first line taken off: what is not held is reported."""
-    inputs = table(s, d, "documents").select(F.col("doc_id").alias("snapshot"), tx.normal(F.regexp_replace("text", r"^[^\n]*\n", ""), False).alias("input_norm"))
+    inputs = table(s, d, "documents").select(F.col("doc_id").alias("snapshot"), tx.normal(F.expr("substr(text, instr(text, chr(10)) + 1)"), False).alias("input_norm"))
     blocks = _blocks(s, d).select(F.col("snapshot_id").alias("snapshot"), "ord", "text_norm")
     return vf.capture_support(blocks, inputs).groupBy("snapshot").agg(F.count("*").alias("n"))
 
@@ -118,12 +126,12 @@ def o66_claim_support(s: S, d: str) -> D:
     """Every document's last line against its first two blocks, one by one."""
     blocks = _blocks(s, d)
     claims = blocks.groupBy("snapshot_id").agg(F.max_by("text_norm", "ord").alias("claim_norm")).withColumn("claim_id", F.col("snapshot_id"))
-    evidence = blocks.where("ord < 2").select("snapshot_id", F.col("text_norm").alias("evidence_norm"))
+    evidence = _blocks(s, d, 2).select("snapshot_id", F.col("text_norm").alias("evidence_norm"))
     return vf.claim_support(claims, evidence, ["snapshot_id"]).select("claim_id", "supported", "n_evidence")
 
 
 def o69_title_grounding(s: S, d: str) -> D:
-    blocks = _blocks(s, d)
+    blocks = _blocks(s, d, 2)
     titles = blocks.where("ord = 1").select(F.col("snapshot_id").alias("doc"), F.when(F.col("snapshot_id") % 7 == 0, "not_in_source").otherwise("from_source").alias("state"), F.col("text_norm").alias("title_norm"))
     cited = blocks.where("ord = 0 AND snapshot_id % 5 != 0").select(F.col("snapshot_id").alias("doc"), "type", "text_norm")
     return vf.title_grounding(titles, cited)

@@ -201,3 +201,16 @@ def test_containment_plan_has_no_cross_join(spark):
 
     plan = QUERIES["o40_containment"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_normal_form_and_trimming_of_every_kind_of_white_space(spark):
+    """Against the plain form of both patterns, over every character of the basic plane that is no surrogate."""
+    signs = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF)
+    texts = [" ".join(signs[k : k + 64]) + f"  {signs[k]}\t {signs[k]} " for k in range(0, len(signs), 64)] + ["a-\n b -c", "x \u00a0 y", None, "", " ", "\ufeff a \u3000"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    table = str.maketrans({**dict.fromkeys(tx.DASHES, "-"), **dict.fromkeys(tx.SINGLE, "'"), **dict.fromkeys(tx.DOUBLE, '"'), "\u00a0": " "})
+    white = F.regexp_replace(F.regexp_replace("m", r"(\p{L})-\s*(\p{L})", "$1$2"), r"(?U)\s+", " ")
+    frame = spark.createDataFrame([(t, t and t.translate(table)) for t in texts], "t string, m string")
+    edges = F.regexp_replace("t", rf"\A[{tx.SPACES}]++|(?<![{tx.SPACES}])[{tx.SPACES}]++\z", "")
+    got = frame.select(tx.normal(F.col("t"), False).alias("a"), F.lower(F.trim(white)).alias("b"), tx.trimmed(F.col("t")).alias("c"), edges.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)

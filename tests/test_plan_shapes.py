@@ -18,3 +18,8 @@ def test_documents_are_read_once(spark, name):
 @pytest.mark.parametrize("name", ["o15_edited_documents", "o15_edited_counts", "a9_document_branches", "o96_document_sweep"])
 def test_documents_are_made_once(spark, name):
     assert sum("FileScan" in line and "l_partkey" in line for line in plan(spark, name).splitlines()) == 1
+
+
+@pytest.mark.parametrize("name, scans", [("o63_ref_resolution", 2), ("o65_capture_support", 1), ("o66_claim_support", 2), ("o69_title_grounding", 2), ("o50_prose_lines", 1)])
+def test_lines_are_split_once_for_each_reading(spark, name, scans):
+    assert plan(spark, name).count("split(text") == scans
