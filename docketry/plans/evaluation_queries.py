@@ -27,7 +27,7 @@ def _times(s: S, d: str) -> D:
 def o72_iso_durations(s: S, d: str) -> D:
     t = _times(s, d)
     iso = dv.iso_duration(F.col("kind"), F.col("value"), F.col("unit"))
-    return t.select("doc", "pos", iso["iso"].alias("iso"), iso["reason"].alias("reason"))
+    return t.select("doc", "pos", iso.alias("x")).select("doc", "pos", "x.iso", "x.reason")
 
 
 def o41_mapped_times(s: S, d: str) -> D:

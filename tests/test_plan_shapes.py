@@ -23,3 +23,8 @@ def test_documents_are_made_once(spark, name):
 @pytest.mark.parametrize("name, scans", [("o63_ref_resolution", 2), ("o65_capture_support", 1), ("o66_claim_support", 2), ("o69_title_grounding", 2), ("o50_prose_lines", 1)])
 def test_lines_are_split_once_for_each_reading(spark, name, scans):
     assert plan(spark, name).count("split(text") == scans
+
+
+@pytest.mark.parametrize("name", ["o72_iso_durations", "o41_mapped_times"])
+def test_units_are_looked_up_once(spark, name):
+    assert plan(spark, name).count("lower(trim(") == 1
