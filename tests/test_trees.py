@@ -123,6 +123,28 @@ def test_value_leaves_leave_nulls_out(spark):
     assert sorted(frame.select(trees.value_leaves(trees.parsed(F.col("doc")))).first()[0]) == ["1", "2.5", "true", "x"]
 
 
+def test_references_as_rows_are_those_of_the_list(trees_made):
+    """Also where documents are deeper than the levels that are opened one by one, or a list of references is cut in two."""
+    docs, frame = trees_made
+    for levels in (0, 1, 2, 3, 9):
+        got = sorted(map(repr, ((r.id, r.owner, r.ord, r.block, r.pointer) for r in trees.source_ref_rows(frame, ["id"], "doc", levels).collect())))
+        assert got == sorted(repr((i, *r)) for i, d in enumerate(docs) for r in refs_of(d)), levels
+
+
+def test_leaves_are_counted_as_they_are_listed(spark, trees_made):
+    docs, frame = trees_made
+    assert {r.id: r.n for r in frame.select("id", trees.leaf_count(F.col("doc")).alias("n")).collect()} == {i: len(walked(d)) for i, d in enumerate(docs)}
+    odd = spark.createDataFrame([(t,) for t in ['{"a,":"{},[]"}', r'["\"", "\\", ","]', "[[],{},[{}],1]", "7", "{", None]], "doc string")
+    assert [r.n for r in odd.select(trees.leaf_count(F.col("doc")).alias("n")).collect()] == [1, 3, 1, 1, 0, 0]
+
+
+def test_numbers_in_pointers_may_be_keys(spark):
+    doc = {"0": [{"1": "x"}, {"1": ["y"]}], "o": {"2": {"'": 5}}}
+    frame = spark.createDataFrame([(json.dumps(doc),)], "doc string")
+    for pointer, value in {"/0/0/1": "x", "/0/1/1/0": "y", "/o/2/'": 5, "/0/2": None, "/o/2/0": None}.items():
+        assert frame.select(trees.scalar_text(trees.resolved(trees.parsed(F.col("doc")), F.lit(pointer)))).first()[0] == (value and str(value)), pointer
+
+
 # the contract
 
 
