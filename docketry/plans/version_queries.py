@@ -39,12 +39,17 @@ def o09_projection_rebuild(s: S, d: str) -> D:
     return ops.agreement(stored, ops.extracted(nested(s, d)).select(*stored.columns))
 
 
+def _latest(s: S, d: str) -> D:
+    """The latest version of each recipe: the only documents that shopping makes."""
+    return ops.latest_rows(versions(s, d).select("recipe_id", "version", "doc_key", "title"))
+
+
 def o11_shopping(s: S, d: str) -> D:
-    return _joined(ops.shopping_of_latest(versions(s, d), ingredients(s, d)))
+    return _joined(ops.shopping(ingredients(s, d, _latest(s, d))))
 
 
 def o11_shopping_nested(s: S, d: str) -> D:
-    return _joined(ops.shopping_of_documents(nested(s, d)))
+    return _joined(ops.shopping(ops.extracted(nested(s, d, _latest(s, d)))))
 
 
 def o12_library(s: S, d: str) -> D:
