@@ -191,15 +191,14 @@ def decomposed(documents: DataFrame) -> dict[str, DataFrame]:
 
 
 def recomposed(tables: dict[str, DataFrame]) -> DataFrame:
-    """The nested documents again, without loss: ordered lists are built from the bottom up."""
+    """The nested documents again, without loss: all tables meet in one shuffle, by the documents' key."""
     key = ["recipe_id", "version"]
     fields = [c for c in tables["ingredients"].columns if c not in (*key, "group_ordinal", "ordinal")]
-    items = tables["ingredients"].groupBy(*key, "group_ordinal").agg(F.array_sort(F.collect_list(F.struct("ordinal", *fields))).alias("x"))
-    items = items.select(*key, "group_ordinal", F.transform("x", lambda i: F.struct(*[i[f].alias(f) for f in fields])).alias("ingredients"))
-    groups = tables["groups"].join(items, [*key, "group_ordinal"], "left")
-    empty = F.array().cast(dict(items.dtypes)["ingredients"])
-    groups = groups.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("group_ordinal", "title", F.coalesce("ingredients", empty).alias("ingredients")))).alias("x"))
-    groups = groups.select(*key, F.transform("x", lambda g: F.struct(g["title"].alias("title"), g["ingredients"].alias("ingredients"))).alias("groups"))
-    none = F.array().cast(dict(groups.dtypes)["groups"])
-    out = tables["documents"].join(groups, key, "left")
-    return out.select(*key, F.struct("doc_key", "title", F.coalesce("groups", none).alias("groups")).alias("doc"))
+    item = tables["ingredients"].select(*key, F.struct("group_ordinal", "ordinal", *fields).alias("i"))
+    group = tables["groups"].select(*key, F.struct("group_ordinal", "title").alias("g"))
+    document = tables["documents"].select(*key, F.struct("doc_key", "title").alias("d"))
+    together = item.unionByName(group, allowMissingColumns=True).unionByName(document, allowMissingColumns=True)
+    held = together.groupBy(*key).agg(F.first("d", ignorenulls=True).alias("d"), F.array_sort(F.collect_list("g")).alias("g"), F.array_sort(F.collect_list("i")).alias("i"))
+    own = lambda g: F.filter("i", lambda x: x["group_ordinal"] == g["group_ordinal"])
+    groups = F.transform("g", lambda g: F.struct(g["title"].alias("title"), F.transform(own(g), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("ingredients")))
+    return held.where("d IS NOT NULL").select(*key, F.struct("d.doc_key", "d.title", groups.alias("groups")).alias("doc"))

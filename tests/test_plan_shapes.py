@@ -28,3 +28,16 @@ def test_lines_are_split_once_for_each_reading(spark, name, scans):
 @pytest.mark.parametrize("name", ["o72_iso_durations", "o41_mapped_times"])
 def test_units_are_looked_up_once(spark, name):
     assert plan(spark, name).count("lower(trim(") == 1
+
+
+@pytest.mark.parametrize("name, lines", [("o11_shopping", 1), ("o11_shopping_nested", 1)])
+def test_shopping_makes_the_latest_documents_alone(spark, name, lines):
+    """Lines meet the latest documents before they meet parts."""
+    steps = plan(spark, name).splitlines()
+    part = next(k for k, line in enumerate(steps) if "p_name" in line and "Join" not in line and "FileScan" in line)
+    assert any("LeftSemi" in line for line in steps[:part]) and sum("FileScan" in line and "l_partkey" in line for line in steps) == lines
+
+
+def test_tables_meet_once_when_documents_come_back(spark):
+    text = plan(spark, "o22_recomposition")
+    assert text.count("hashpartitioning(recipe_id") == 1 and "group_ordinal#" in text and not any("Exchange" in line and "group_ordinal" in line for line in text.splitlines())
