@@ -35,8 +35,17 @@ def o08_version_conflicts(s: S, d: str) -> D:
 
 
 def o09_projection_rebuild(s: S, d: str) -> D:
-    stored = ingredients(s, d).drop("doc_key", "group_title")
-    return ops.agreement(stored, ops.extracted(nested(s, d)).select(*stored.columns))
+    """Stored rows and rows made anew meet by their document, and are compared inside it."""
+    return ops.agreement_of(_rebuilt(ingredients(s, d), nested(s, d)))
+
+
+def _rebuilt(stored: D, documents: D) -> D:
+    fields = ["name", "unit", "val_kind", "val_value", "val_source_text", "source_text"]
+    before = stored.groupBy("doc_key").agg(F.collect_list(F.struct("recipe_id", "version", "group_ordinal", "ordinal", *fields)).alias("stored"))
+    own = lambda x: F.struct("recipe_id", "version", x["group_ordinal"].alias("group_ordinal"), x["ordinal"].alias("ordinal"), *[x["i"][f].alias(f) for f in fields])
+    rows = documents.select("doc.doc_key", F.transform(ops.projection(F.col("doc")), own).alias("rows"))
+    after = rows.groupBy("doc_key").agg(F.flatten(F.collect_list("rows")).alias("rebuilt"))
+    return ops.gathered_differences(before.join(after, "doc_key", "full_outer"), ["doc_key"], "stored", "rebuilt")
 
 
 def _latest(s: S, d: str) -> D:

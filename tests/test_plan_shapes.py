@@ -41,3 +41,16 @@ def test_shopping_makes_the_latest_documents_alone(spark, name, lines):
 def test_tables_meet_once_when_documents_come_back(spark):
     text = plan(spark, "o22_recomposition")
     assert text.count("hashpartitioning(recipe_id") == 1 and "group_ordinal#" in text and not any("Exchange" in line and "group_ordinal" in line for line in text.splitlines())
+
+
+def test_a_rebuilt_projection_meets_the_stored_one_by_document(spark):
+    """Rows are compared where their order lies: none is shuffled by its columns, lines are by their order's key alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, "o09_projection_rebuild")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(recipe_id" not in text and "hashpartitioning(l_orderkey" not in text
+    met = text.splitlines()
+    met = met[next(k for k, line in enumerate(met) if "FullOuter" in line):]
+    assert sum("Exchange hashpartitioning(doc_key" in line for line in met) == 4  # versions and lines, on either side
