@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions.trees import let
+from docketry.functions.trees import let, record
 
 # The named entities that are decoded. Others stay as written.
 ENTITIES = {
@@ -216,17 +216,23 @@ def quantity_norm(text: Column) -> Column:
     A number is a whole or decimal part, a fraction, or a whole part and a fraction; what follows a range's second
     number after a space, such as a unit, is left out.
     """
-    t = reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(" " + FRACTIONS[sign])), FRACTIONS, text)
-    t = trimmed(F.regexp_replace(F.lower(t), f"[{SPACES}]+", " "))
-    group = lambda k: F.nullif(F.regexp_extract(t, _QUANTITY, k), F.lit("")).try_cast("double")
+    signs = reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(" " + FRACTIONS[sign])), FRACTIONS, text)
+    shown = lambda x: F.format_string("%.4f", x)
+
+    def parts(t: Column) -> Column:
+        """The pattern's groups, and the text itself."""
+        return record(t=t, **{f"g{k}": F.regexp_extract(t, _QUANTITY, k) for k in range(1, 8)})
 
-    def number(whole: int) -> Column:
+    def number(p: Column, whole: int) -> Column:
+        group = lambda k: F.nullif(p[f"g{k}"], F.lit("")).try_cast("double")
         share = F.try_divide(group(whole + 1), group(whole + 2))
-        mixed = F.contains(F.regexp_extract(t, _QUANTITY, whole), F.lit(".")) & group(whole + 1).isNotNull()
+        mixed = F.contains(p[f"g{whole}"], F.lit(".")) & group(whole + 1).isNotNull()
         value = F.when(group(whole + 1).isNull(), group(whole)).otherwise(F.coalesce(group(whole), F.lit(0.0)) + share)
         return F.when(~mixed, value)
 
-    shown = lambda x: F.format_string("%.4f", x)
-    ranged = F.regexp_extract(t, _QUANTITY, 4) != ""
-    return F.when(ranged & number(1).isNotNull() & number(5).isNotNull(), F.concat(shown(number(1)), F.lit(".."), shown(number(5)))).when(
-        ~ranged & number(1).isNotNull(), shown(number(1))).otherwise(t)
+    def form(x: Column) -> Column:
+        return F.when((x["dash"] != "") & x["low"].isNotNull() & x["high"].isNotNull(), F.concat(shown(x["low"]), F.lit(".."), shown(x["high"]))).when(
+            ~(x["dash"] != "") & x["low"].isNotNull(), shown(x["low"])).otherwise(x["t"])
+
+    t = trimmed(F.regexp_replace(F.lower(signs), f"[{SPACES}]+", " "))
+    return let(let(let(t, parts), lambda p: record(t=p["t"], dash=p["g4"], low=number(p, 1), high=number(p, 5))), form)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import quantity_norm, string_norm, unit_norm
+from docketry.functions.trees import each, let, record
 
 # Units that are not amounts of their own, the times that adjudication compares, the kinds of uses.
 AMBIGUOUS = ["can", "clove", "pinch", "stick", "handful"]
@@ -52,13 +53,13 @@ def malformed_times(times: Column) -> Column:
 
 def _covers(truth: Column, capture: Column, key, value) -> Column:
     """Whether each entry of one map is in the other, both in normal form; of like keys in a capture the last counts."""
-    held = F.transform(F.map_entries(capture), lambda e: F.struct(key(e["key"]).alias("key"), value(e["value"]).alias("value")))
+    entry = lambda e: record(key=key(e["key"]), value=value(e["value"]))
 
-    def found(e: Column) -> Column:
-        like = F.filter(_list(held), lambda h: h["key"] == key(e["key"]))
-        return F.coalesce(F.try_element_at(like, F.lit(-1))["value"] == value(e["value"]), F.lit(False))
+    def covered(held: Column) -> Column:
+        like = lambda e: F.filter(held, lambda h: h["key"] == e["key"])
+        return F.forall(F.transform(F.map_entries(truth), entry), lambda e: F.coalesce(F.try_element_at(like(e), F.lit(-1))["value"] == e["value"], F.lit(False)))
 
-    return F.forall(F.map_entries(truth), found)
+    return let(_list(F.transform(F.map_entries(capture), entry)), covered)
 
 
 def _paired(truth: DataFrame, capture: DataFrame, how: str = "inner") -> DataFrame:
@@ -90,48 +91,69 @@ def field_checks(truth: DataFrame, capture: DataFrame) -> DataFrame:
     Fields that a truth does not state give no row. Times hold only if all of the truth's times do; a malformed truth
     gives none. Ingredients match by their first namesake in the capture.
     """
+    return pair_checks(_paired(truth, capture))
+
+
+def pair_checks(pairs: DataFrame) -> DataFrame:
+    """field_checks() of rows that hold a fixture, its truth t and its capture c. Each normal form is made once in a row."""
     t, c = F.col("t"), F.col("c")
-    check = lambda field, ok, edge=None, when=None: F.filter(
-        F.array(F.struct(F.lit(field).alias("field"), (F.lit(None).cast("string") if edge is None else edge).alias("edge"), F.coalesce(ok, F.lit(False)).alias("ok"))),
-        lambda x: F.lit(True) if when is None else F.coalesce(when, F.lit(False)))
 
-    several = F.size(_list(t["yields"])) > 1
-    yields = same_in_any_order(_norms(t["yields"]), _norms(c["yields"]))
+    def check(field: str, ok: Column, edge: Column | None = None, when: Column | None = None) -> Column:
+        one = F.array(record(field=F.lit(field), edge=F.lit(None).cast("string") if edge is None else edge, ok=F.coalesce(ok, F.lit(False))))
+        return one if when is None else F.filter(one, lambda x: F.coalesce(when, F.lit(False)))
+
+    def yielded(y: Column) -> Column:
+        several = F.size(y["t"]) > 1
+        alike = lambda: same_in_any_order(y["t"], y["c"])
+        return F.when(several, check("multiple_yields", alike(), F.lit("multiple_yields"))).otherwise(check("yield", alike()))
+
     stated = F.map_filter(t["times"], lambda k, v: F.coalesce(v, F.lit("")) != "")
     timed = (F.size(malformed_times(t["times"])) == 0) & (F.size(F.map_keys(stated)) > 0)
-    hot, got = F.transform(_list(t["temperatures"]), _quantity), F.transform(_list(c["temperatures"]), _quantity)
-    hot_held = F.forall(hot, lambda x: F.array_contains(got, x)) & (F.size(hot) == F.size(got))
-    hot_edge = F.when(F.exists(hot, lambda x: F.contains(x, F.lit(".."))), F.lit("ranges"))
-
-    def namesake(item: Column) -> Column:
-        return F.get(F.filter(_list(c["ingredients"]), lambda x: _norm(x["name"]) == _norm(item["name"])), F.lit(0))
-
-    def compared(item: Column) -> Column:
-        m, wanted = namesake(item), F.coalesce(item["quantity"], F.lit(""))
-        edge = F.when(F.contains(wanted, F.lit("/")), "fractions").when(F.regexp_like(wanted, F.lit(r"-|–|—|\bto\b")), "ranges")
-        named = m.isNotNull()
-        unit = unit_norm(item["unit"])
+
+    def heated(hot: Column) -> Column:
+        held = F.forall(hot["t"], lambda x: F.array_contains(hot["c"], x)) & (F.size(hot["t"]) == F.size(hot["c"]))
+        edge = F.when(F.exists(hot["t"], lambda x: F.contains(x, F.lit(".."))), F.lit("ranges"))
+        return check("temperature", held, edge, F.size(hot["t"]) > 0)
+
+    def item(i: Column) -> Column:
+        return record(name=_norm(i["name"]), quantity=_quantity(i["quantity"]), unit=unit_norm(i["unit"]), group=_norm(i["group"]))
+
+    def met(theirs: Column) -> Column:
+        """The truth's ingredients, each with its namesake, null if there is none."""
+        namesake = lambda n: F.get(F.filter(theirs, lambda x: x["name"] == n["name"]), F.lit(0))
+        return F.transform(_list(t["ingredients"]), lambda i: let(item(i), lambda n: record(
+            n=n, m=namesake(n), wanted=F.coalesce(i["quantity"], F.lit("")), grouped=F.coalesce(i["group"], F.lit("")) != "")))
+
+    def compared(x: Column) -> Column:
+        n, m, named = x["n"], x["m"], x["m"].isNotNull()
+        edge = F.when(F.contains(x["wanted"], F.lit("/")), "fractions").when(F.regexp_like(x["wanted"], F.lit(r"-|–|—|\bto\b")), "ranges")
         return F.concat(
-            check("ingredient.name", named), check("ingredient.quantity", named & (_quantity(m["quantity"]) == _quantity(item["quantity"])), edge),
-            check("ingredient.unit", named & (unit_norm(m["unit"]) == unit), F.when(unit.isin(AMBIGUOUS), F.lit("ambiguous_units"))))
+            check("ingredient.name", named), check("ingredient.quantity", named & (m["quantity"] == n["quantity"]), edge),
+            check("ingredient.unit", named & (m["unit"] == n["unit"]), F.when(n["unit"].isin(AMBIGUOUS), F.lit("ambiguous_units"))))
+
+    def ingredients(items: Column) -> Column:
+        grouped = F.filter(items, lambda x: x["grouped"])
+        in_groups = F.forall(grouped, lambda x: x["m"].isNotNull() & (x["m"]["group"] == x["n"]["group"]))
+        return F.concat(F.flatten(F.transform(items, compared)), check("ingredient_group", in_groups, None, F.size(grouped) > 0))
+
+    def instructed(steps: Column) -> Column:
+        return F.concat(F.flatten(F.transform(steps["t"], lambda s: check("instruction.text", F.array_contains(steps["c"], s)))), check("instruction.order", same_sequence(steps["t"], steps["c"])))
 
-    grouped = F.filter(_list(t["ingredients"]), lambda i: F.coalesce(i["group"], F.lit("")) != "")
-    in_groups = F.forall(grouped, lambda i: namesake(i).isNotNull() & (_norm(namesake(i)["group"]) == _norm(i["group"])))
-    steps, taken = _norms(t["instructions"]), _norms(c["instructions"])
     splits = _list(t["split_reserved"])
-    kept = F.forall(splits, lambda s: F.exists(_list(c["split_reserved"]), lambda x: F.contains(_norm(x["use"]), _norm(s["use"])) & F.contains(_norm(x["reserve"]), _norm(s["reserve"]))))
+    use = lambda x: record(use=_norm(x["use"]), reserve=_norm(x["reserve"]))
+    kept = let(F.transform(_list(c["split_reserved"]), use), lambda held: F.forall(
+        F.transform(splits, use), lambda s: F.exists(held, lambda x: F.contains(x["use"], s["use"]) & F.contains(x["reserve"], s["reserve"]))))
     same = lambda x: x
     checks = F.concat(
-        check("title", _norm(t["title"]) == _norm(c["title"])),
-        check("multiple_yields", yields, F.lit("multiple_yields"), several), check("yield", yields, None, ~several),
-        check("time", _covers(F.transform_values(stated, lambda k, v: _norm(v)), c["times"], same, _norm), None, timed),
-        check("temperature", hot_held, hot_edge, F.size(hot) > 0), F.flatten(F.transform(_list(t["ingredients"]), compared)),
-        check("ingredient_group", in_groups, None, F.size(grouped) > 0), F.flatten(F.transform(steps, lambda s: check("instruction.text", F.array_contains(taken, s)))),
-        check("instruction.order", same_sequence(steps, taken)), check("split_reserved", kept, None, F.size(splits) > 0),
+        check("title", _norm(t["title"]) == _norm(c["title"])), let(record(t=_norms(t["yields"]), c=_norms(c["yields"])), yielded),
+        check("time", _covers(stated, c["times"], same, _norm), None, timed),
+        let(record(t=F.transform(_list(t["temperatures"]), _quantity), c=F.transform(_list(c["temperatures"]), _quantity)), heated),
+        let(let(F.transform(_list(c["ingredients"]), item), met), ingredients),
+        let(record(t=_norms(t["instructions"]), c=_norms(c["instructions"])), instructed), check("split_reserved", kept, None, F.size(splits) > 0),
         check("nutrition", _covers(t["nutrition"], c["nutrition"], _norm, _quantity), None, F.size(F.map_keys(t["nutrition"])) > 0),
         check("classification", _covers(t["classifications"], c["classifications"], _norm, _norm), None, F.size(F.map_keys(t["classifications"])) > 0),
     )
-    return _paired(truth, capture).select("fixture", F.explode(checks).alias("x")).select("fixture", "x.*")
+    return each(pairs, ["fixture"], checks).select("fixture", "x.*")
 
 
 def disagreements(truth: DataFrame, capture: DataFrame) -> DataFrame:
@@ -140,6 +162,11 @@ def disagreements(truth: DataFrame, capture: DataFrame) -> DataFrame:
     Ingredients meet by name, the last of like names; steps by place. A different number of steps is a row of its own,
     since prose may have been cut otherwise without being misread.
     """
+    return pair_disagreements(_paired(truth, capture))
+
+
+def pair_disagreements(pairs: DataFrame) -> DataFrame:
+    """disagreements() of rows that hold a fixture, its truth t and its capture c."""
     t, c = F.col("t"), F.col("c")
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     row = lambda field, a, b, when: F.filter(F.array(F.struct(field.alias("field"), text(a).alias("truth"), text(b).alias("capture"))), lambda x: F.coalesce(when, F.lit(False)))
@@ -168,7 +195,7 @@ def disagreements(truth: DataFrame, capture: DataFrame) -> DataFrame:
         row(F.lit("instruction.count"), F.size(steps), F.size(taken), F.size(steps) != F.size(taken)),
         F.flatten(F.transform(shared, lambda p, i: row(F.concat(F.lit("instruction["), i.cast("string"), F.lit("]")), p["a"], p["b"], p["a"] != p["b"]))),
     )
-    return _paired(truth, capture).select("fixture", F.explode(rows).alias("x")).select("fixture", "x.*")
+    return each(pairs, ["fixture"], rows).select("fixture", "x.*")
 
 
 def _last_of(entries: Column, key: str, text: str) -> Column:
@@ -184,15 +211,18 @@ def split_pairs(uses: Column) -> Column:
     uses: (id, usage, label) in document order; those without id or label do not count.
     """
     whole = F.filter(_list(uses), lambda u: (F.coalesce(u["id"], F.lit("")) != "") & (F.coalesce(F.trim(u["label"]), F.lit("")) != ""))
-    of = lambda kinds: F.filter(whole, lambda u: u["usage"].isin(kinds))
-    ids = F.array_distinct(F.transform(of(REMAINING), lambda u: u["id"]))
-    first = lambda kinds, k: F.get(F.filter(of(kinds), lambda u: u["id"] == k), F.lit(0))["label"]
-    pairs = F.transform(ids, lambda k: F.struct(first(PARTIAL, k).alias("use"), first(REMAINING, k).alias("reserve")))
-    return F.filter(pairs, lambda p: p["use"].isNotNull())
+
+    def pairs(whole: Column) -> Column:
+        of = lambda kinds: F.filter(whole, lambda u: u["usage"].isin(kinds))
+        ids = F.array_distinct(F.transform(of(REMAINING), lambda u: u["id"]))
+        first = lambda kinds, k: F.get(F.filter(of(kinds), lambda u: u["id"] == k), F.lit(0))["label"]
+        return F.filter(F.transform(ids, lambda k: F.struct(first(PARTIAL, k).alias("use"), first(REMAINING, k).alias("reserve"))), lambda p: p["use"].isNotNull())
+
+    return let(whole, pairs)
 
 
-def projected(documents: DataFrame) -> DataFrame:
-    """The flat document of each whole one.
+def projected(documents: DataFrame, keep: list[str] = []) -> DataFrame:
+    """The flat document of each whole one, with the columns to keep.
 
     documents: fixture, title, groups (title, ingredients (name, quantity, unit)), sections (steps (text,
     temperatures, uses (id, usage, label))), times (type, text), yields, nutrition (name, text), classifications
@@ -204,7 +234,7 @@ def projected(documents: DataFrame) -> DataFrame:
     stated = lambda values: F.filter(values, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     times = _last_of(F.col("times"), "type", "text")
     return documents.select(
-        "fixture", "title", stated(_list(F.col("yields"))).alias("yields"), F.map_filter(times, lambda k, v: k.isin(TIMES)).alias("times"),
+        "fixture", *keep, "title", stated(_list(F.col("yields"))).alias("yields"), F.map_filter(times, lambda k, v: k.isin(TIMES)).alias("times"),
         stated(F.flatten(F.transform(steps, lambda s: _list(s["temperatures"])))).alias("temperatures"), items.alias("ingredients"),
         stated(F.transform(steps, lambda s: s["text"])).alias("instructions"), split_pairs(F.flatten(F.transform(steps, lambda s: _list(s["uses"])))).alias("split_reserved"),
         _last_of(F.col("nutrition"), "name", "text").alias("nutrition"), _last_of(F.col("classifications"), "kind", "text").alias("classifications"))

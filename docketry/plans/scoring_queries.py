@@ -5,53 +5,66 @@ A truth is a recipe's first version and its capture the second one; lines are in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.operators import derivations as dv
 from docketry.operators import scoring as sc
 from docketry.operators import verification as vf
-from docketry.plans.bindings import SQL, ingredients, table, versions
+from docketry.plans.bindings import SQL, lines, table, versions
 
 S, D = SparkSession, DataFrame
 
 
-def _whole(s: S, d: str, version: int) -> D:
-    """Whole documents of one version, with their recipe as fixture."""
-    log = versions(s, d).where(F.col("version") == version)
-    rows = ingredients(s, d).where(F.col("version") == version)
+def _whole(s: S, d: str, *wanted: int) -> D:
+    """Whole documents of the wanted versions, with their recipe as fixture. No others are made."""
+    log = versions(s, d).where(F.col("version") <= max(wanted)).where(F.col("version").isin(*wanted))
     amount = F.trim(F.coalesce("val_source_text", F.lit("")))
     share = F.when((F.col("val_kind") == "exact") & (F.col("doc_key") % 3 == 0), "/4").otherwise("")
     heat = F.concat(amount, F.when(F.col("doc_key") % 2 == 0, "-99").otherwise(""))
     usage = F.expr("CASE val_kind WHEN 'exact' THEN 'use_partial_unspecified' WHEN 'range' THEN 'use_remaining' WHEN 'qualitative' THEN 'reserve_for_later' ELSE 'use_now' END")
     name = F.split("name", " ")[0]
-    lines = rows.select(
-        "recipe_id", "group_ordinal", "group_title", F.struct(
+    rows = lines(s, d, log).select(
+        "doc_key", "group_ordinal", "group_title", F.struct(
             "ordinal", F.struct(name.alias("name"), F.concat(amount, share).alias("quantity"), F.when(F.col("unit").isNotNull(), "Cans").alias("unit")).alias("ingredient"),
             F.struct(
                 F.concat(F.lit("step "), "group_title").alias("text"), F.filter(F.array(heat), lambda x: F.col("val_kind").eqNullSafe(F.lit("range"))).alias("temperatures"),
                 F.array(F.struct(F.col("group_title").alias("id"), usage.alias("usage"), F.substring(name, 1, 1).alias("label"))).alias("uses")).alias("step")).alias("x"))
-    groups = lines.groupBy("recipe_id", "group_ordinal", "group_title").agg(F.array_sort(F.collect_list("x")).alias("x")).groupBy("recipe_id").agg(
-        F.array_sort(F.collect_list(F.struct("group_ordinal", "group_title", "x"))).alias("g"))
+    groups = rows.groupBy("doc_key", "group_ordinal", "group_title").agg(F.sort_array(F.collect_list("x")).alias("x")).groupBy("doc_key").agg(
+        F.sort_array(F.collect_list(F.struct("group_ordinal", "group_title", "x"))).alias("g"))
     pair = lambda a, b, x, y: F.struct(F.lit(x).alias(a), y.cast("string").alias(b))
     n = F.coalesce(F.aggregate("g", F.lit(0), lambda a, x: a + F.size(x["x"])), F.lit(0))
-    return log.join(groups, "recipe_id", "left").select(
-        F.col("recipe_id").alias("fixture"), "title", F.transform("g", lambda x: x["group_title"]).alias("yields"),
+    return log.join(groups, "doc_key", "left").select(
+        F.col("recipe_id").alias("fixture"), "version", "title", F.transform("g", lambda x: x["group_title"]).alias("yields"),
         F.transform("g", lambda x: F.struct(x["group_title"].alias("title"), F.transform(x["x"], lambda i: i["ingredient"]).alias("ingredients"))).alias("groups"),
         F.transform("g", lambda x: F.struct(F.transform(x["x"], lambda i: i["step"]).alias("steps"))).alias("sections"),
         F.array(pair("type", "text", "prep", F.col("status")), pair("type", "text", "rest", F.lit("5")), pair("type", "text", "total", F.floor(F.col("total") / 100000))).alias("times"),
         F.array(pair("name", "text", "lines", n)).alias("nutrition"), F.array(pair("kind", "text", "year", F.year("created"))).alias("classifications"))
 
 
+def _labelled(fixture: Column, times: Column) -> Column:
+    """The times of a truth, of which some are malformed."""
+    return F.when(fixture % 10 == 0, F.map_concat(times, F.create_map(F.lit("prep_label"), F.lit("PREP")))).otherwise(times)
+
+
 def _both(s: S, d: str) -> tuple[D, D]:
-    """Truths, of which some are malformed, and captures."""
+    """Truths and captures."""
     truth, capture = (sc.projected(_whole(s, d, k)) for k in (1, 2))
-    labelled = F.map_concat("times", F.create_map(F.lit("prep_label"), F.lit("PREP")))
-    return truth.withColumn("times", F.when(F.col("fixture") % 10 == 0, labelled).otherwise(F.col("times"))), capture
+    return truth.withColumn("times", _labelled(F.col("fixture"), F.col("times"))), capture
+
+
+def _pairs(s: S, d: str) -> D:
+    """Truths beside their captures: both are made in one go and meet by their recipe."""
+    flat = sc.projected(_whole(s, d, 1, 2), ["version"]).where("fixture IS NOT NULL")
+    doc = F.struct(*[c for c in flat.columns if c not in ("fixture", "version")])
+    met = flat.groupBy("fixture").agg(F.collect_list(F.struct("version", doc.alias("doc"))).alias("docs")).where(F.size("docs") == 2)
+    of = lambda k: F.get(F.filter("docs", lambda x: x["version"] == k), F.lit(0))["doc"]
+    pairs = met.select("fixture", of(1).alias("t"), of(2).alias("c"))
+    return pairs.withColumn("t", F.col("t").withField("times", _labelled(F.col("fixture"), F.col("t")["times"])))
 
 
 def o86_field_checks(s: S, d: str) -> D:
-    return sc.field_checks(*_both(s, d)).groupBy("fixture", "field", "edge").agg(F.count_if("ok").alias("hits"), F.count("*").alias("total"))
+    return sc.pair_checks(_pairs(s, d)).groupBy("fixture", "field", "edge").agg(F.count_if("ok").alias("hits"), F.count("*").alias("total"))
 
 
 def o86_malformed(s: S, d: str) -> D:
@@ -78,7 +91,7 @@ def o89_projection(s: S, d: str) -> D:
 
 
 def o91_disagreements(s: S, d: str) -> D:
-    return sc.disagreements(*_both(s, d))
+    return sc.pair_disagreements(_pairs(s, d))
 
 
 def _runs(s: S, d: str) -> D:

@@ -54,3 +54,21 @@ def test_a_rebuilt_projection_meets_the_stored_one_by_document(spark):
     met = text.splitlines()
     met = met[next(k for k, line in enumerate(met) if "FullOuter" in line):]
     assert sum("Exchange hashpartitioning(doc_key" in line for line in met) == 4  # versions and lines, on either side
+
+
+@pytest.mark.parametrize("name", ["o86_field_checks", "o91_disagreements"])
+def test_truths_and_captures_are_made_in_one_go(spark, name):
+    """Only the orders that are either one meet their parts."""
+    steps = plan(spark, name).splitlines()
+    assert sum("FileScan" in line and "l_partkey" in line for line in steps) == 1
+    part = next(k for k, line in enumerate(steps) if "p_name" in line and "Join" not in line and "FileScan" in line)
+    assert any("LeftSemi" in line for line in steps[:part])
+
+
+def test_an_amount_is_looked_through_once(spark):
+    from pyspark.sql import functions as F
+
+    from docketry.functions.text import quantity_norm
+
+    text = spark.range(1).select(quantity_norm(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("regexp_extract(") == 7 and text.count("lower(") == 1
