@@ -75,9 +75,9 @@ def nodes(html: Column) -> Column:
     def walked(texts: Column) -> Column:
         read = F.transform(texts, lambda s, i: let(_read(s), lambda v: _node(F.array(i), v)))
         depth = F.aggregate(texts, F.lit(1), lambda n, s: n + F.length(s) - F.length(F.translate(s, "[{", "")))
-        return trees.unfolded(F.filter(read, lambda n: n["members"].isNotNull() | n["items"].isNotNull()), opened, depth)
+        return trees.unfolded(F.filter(read, lambda n: n["members"].isNotNull() | n["items"].isNotNull()), opened, depth, plain_levels=1)
 
-    found = let(scripts(html), walked)
+    found = let(F.coalesce(scripts(html), F.array().cast("array<string>")), walked)
     objects = F.transform(F.filter(found, lambda n: n["members"].isNotNull()), lambda n: record(pos=n["pos"], members=n["members"]))
     return F.array_sort(objects, lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
 
@@ -155,7 +155,7 @@ def _in_order(found: Column, shown: Callable[[Column], Column]) -> Column:
 def _author(value: Column) -> Column:
     """The first name in a text, an object with one, or lists of these."""
     opened = lambda n: F.transform(n["items"], lambda x, i: record(pos=F.concat(n["pos"], F.array(i)), value=x, items=trees.as_list(x)))
-    found = trees.unfolded(F.array(record(pos=F.array().cast("array<int>"), value=value, items=trees.as_list(value))), opened, _depth(value))
+    found = trees.unfolded(F.array(record(pos=F.array().cast("array<int>"), value=value, items=trees.as_list(value))), opened, _depth(value), plain_levels=1)
     name = lambda v: F.when(trees.as_object(v).isNotNull(), display(F.try_element_at(trees.as_object(v), F.lit("name")))).otherwise(display(v))
     return _first(_in_order(found, lambda n: name(n["value"])))
 
@@ -179,7 +179,7 @@ def _steps(value: Column) -> Column:
         return record(heading=n["heading"], text=F.when(n["members"].isNotNull(), F.when(~section(n), said)).otherwise(F.nullif(trimmed(trees.as_text(n["value"])), F.lit(""))))
 
     top = F.transform(F.coalesce(trees.as_list(value), F.array(value)), lambda x, i: step(F.array(i), x, none))
-    structured = F.filter(_in_order(trees.unfolded(top, opened, _depth(value)), text), lambda s: s["text"].isNotNull())
+    structured = F.filter(_in_order(trees.unfolded(top, opened, _depth(value), plain_levels=1), text), lambda s: s["text"].isNotNull())
     prose = F.transform(prose_lines(trees.as_text(value)), lambda line: record(heading=none, text=line))
     return F.when(value.isNull(), F.filter(structured, lambda _: F.lit(False))).when(trees.as_text(value).isNotNull(), F.filter(prose, lambda s: ~F.regexp_like(s["text"], F.lit(r"(?U)\A\s*\z")))).otherwise(structured)
 
@@ -213,7 +213,7 @@ def pictures(item: Column) -> Column:
 
     def found(v: Column) -> Column:
         opened = lambda n: F.transform(n["items"], lambda x, i: node(F.concat(n["pos"], F.array(i)), x))
-        all_nodes = trees.unfolded(F.array(node(F.array().cast("array<int>"), v)), opened, _depth(v))
+        all_nodes = trees.unfolded(F.array(node(F.array().cast("array<int>"), v)), opened, _depth(v), plain_levels=1)
         of = lambda v, name: trees.as_text(F.try_element_at(trees.as_object(v), F.lit(name)))
         texts = F.flatten(_in_order(all_nodes, lambda n: F.array(trees.as_text(n["value"]), of(n["value"], "url"), of(n["value"], "contentUrl"))))
         return F.filter(F.transform(F.filter(texts, lambda x: x.isNotNull()), trimmed), lambda x: x != "")

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import linked
+from docketry.plans.registry import QUERIES
+from tests.conftest import DATA
 
 
 def page(*nodes):
@@ -107,3 +109,13 @@ def test_long_pages_are_read_once(spark):
 def test_no_python_worker(spark):
     plan = linked.decided(frame(spark, page(FULL)).repartition(2), "page").select("decision", linked.blocks(F.col("item")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("name", ["o56_page_decisions", "o56_sufficiency", "o57_page_blocks", "o58_captured_text", "o59_pictures"])
+def test_pages_are_resolved_well_within_the_analyzer_s_turns(spark, name):
+    """Spark gives up after 100; callers put some more around these."""
+    spark.conf.set("spark.sql.analyzer.maxIterations", "70")
+    try:
+        QUERIES[name](spark, DATA)
+    finally:
+        spark.conf.unset("spark.sql.analyzer.maxIterations")
