@@ -7,7 +7,10 @@ last read value. A query stops when few rows outside can still reach the k-th lo
 scores of those that can; at the end of the lists the sums are the scores. A block's result is exact, so the best k
 over all blocks are.
 
-The query set meets all rows in blocks: blocks of queries, the smaller side, go to each block of rows.
+The query set meets all rows in places, each of up to HELD blocks of rows: queries, the smaller side, go to each place
+once and stream through it. A place's blocks take turns on some thousands of queries, and what a query has found in one
+block bounds its search in the next. So a task holds one place's rows and those queries, and what is shuffled is each row
+once and each query once a place; vectors travel in the narrowest integers that hold them.
 
 Sums are doubles where scores stay below 2 ** 53, and wider numbers, up to Python's integers, in blocks and for queries
 where they might not, so they are always exact.
@@ -24,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import written
+from docketry.llm.common import give_back, written
 
 SCALE, ROWS, QUERIES = 256, 4096, 256
+#: Blocks of rows in a place, at most, on average; places that there are before they get more than one block; chunks of queries on which blocks take turns.
+HELD, SPREAD, TURN = 32, 64, 16
 #: Parts of a list that are read when bounds are compared; each step goes four times as deep as the one before.
 PARTS = (32, 8, 2, 1)
 _NO_ID = np.iinfo(np.int64).max
@@ -59,14 +64,18 @@ class SortedLists:
             return np.float64
         return np.longdouble if bound < 1 << 63 and np.finfo(np.longdouble).nmant >= 63 else object
 
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and exact scores of its k best rows, but for those with its own id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and exact scores of its k best rows, but for those with its own id.
+
+        Rows below a query's floor, a score that k rows elsewhere reach, may be left out.
+        """
         (n, dims), out = self.rows.shape, [None] * len(queries)
         kind = self._exact(queries)
         values = self.values if kind is np.float64 else np.vstack([self.rows.T, self.rows.T]).astype(kind)
         active, depth, sums = np.arange(len(queries)), 0, np.zeros((len(queries), n), kind)
         weights = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(kind)
         mine = own[:, None] == self.ids
+        floor = np.full(len(queries), -np.inf) if floor is None else floor.astype(kind) if kind is not object else floor
         self.entries += n * dims * len(queries)
         for to in [-(-n // part) for part in PARTS]:
             sums += weights @ np.where((self.at >= depth) & (self.at < to), values, kind(0) if kind is not object else 0)
@@ -74,21 +83,21 @@ class SortedLists:
             depth = to
             if depth == n:
                 sums[mine] = -np.inf
-                for q, scores, others, least in zip(active.tolist(), sums, ~mine, self._kth(sums, k)):
+                for q, scores, others, least in zip(active.tolist(), sums, ~mine, np.maximum(self._kth(sums, k), floor)):
                     able = np.flatnonzero((scores >= least) & others)
                     out[q] = self._best(able, self._longs(scores[able]), k)
                 break
             lower, upper = self._bounds(sums, weights, depth)
             slack = 1e-9 * (1 + np.abs(upper).max(axis=1, initial=0)) if kind is not object else 0
             lower[mine] = upper[mine] = -np.inf
-            able = (upper >= (self._kth(lower, k) - slack)[:, None]).astype(bool) & ~mine
+            able = (upper >= (np.maximum(self._kth(lower, k), floor) - slack)[:, None]).astype(bool) & ~mine
             ends = able.sum(axis=1) <= max(8 * k, n // 32)
             for c in np.flatnonzero(ends).tolist():
                 rest, q = np.flatnonzero(able[c]), active[c]
                 out[q] = self._best(rest, self._longs(self.rows[rest].astype(object) @ queries[q].astype(object) if kind is object else self.rows[rest] @ queries[q]), k)
             if ends.all():
                 break
-            active, sums, weights, mine = active[~ends], sums[~ends], weights[~ends], mine[~ends]
+            active, sums, weights, mine, floor = active[~ends], sums[~ends], weights[~ends], mine[~ends], floor[~ends]
         return out
 
     def _longs(self, scores: np.ndarray) -> np.ndarray:
@@ -114,7 +123,7 @@ class SortedLists:
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(dim, ids, data): rows packed as they lie in their partition."""
+    """(dim, width, ids, data): rows packed as they lie in their partition, in integers of width bytes."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -135,9 +144,38 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     def _emit(dim, parts, size):
         ids, rows = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
         for at in range(0, len(ids), size):
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids[at : at + size].astype("<i8").tobytes()], "data": [rows[at : at + size].astype("<i8").tobytes()]})
-
-    return vectors.mapInArrow(run, "dim int, ids binary, data binary")
+            some = rows[at : at + size]
+            width = next(w for w in (2, 4, 8) if w == 8 or (some.min(initial=0) >= -(1 << 8 * w - 1) and some.max(initial=0) < 1 << 8 * w - 1))
+            yield pa.RecordBatch.from_pydict({
+                "dim": pa.array([dim], pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids[at : at + size].astype("<i8").tobytes()], "data": [some.astype(f"<i{width}").tobytes()]})
+
+    return vectors.mapInArrow(run, "dim int, width int, ids binary, data binary")
+
+
+def _unpacked(dim: int, width: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, "<i8")
+    return ids, np.frombuffer(data, f"<i{width}").astype(np.int64).reshape(len(ids), dim)
+
+
+def _answers(blocks: list[tuple], asked: list[tuple], k: int, size: int):
+    """Batches of (query_id, vec_id, score): the k best of these packed blocks' rows for these packed queries."""
+    own, queries = (np.concatenate(x) for x in zip(*[_unpacked(*x) for x in asked]))
+    parts = [slice(at, at + size) for at in range(0, len(own), size)]
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(own)
+    floor = np.full(len(own), -np.inf, object)
+    for block in blocks:
+        lists = SortedLists(*_unpacked(*block))
+        for part in parts:
+            for q, (ids, scores) in enumerate(lists.top(queries[part], own[part], k, floor[part]), part.start):
+                ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
+                first = np.lexsort((ids, -scores))[:k]
+                best[q] = ids[first], scores[first]
+                if len(first) == k:
+                    floor[q] = int(scores[first[-1]])
+    for part in parts:
+        out = [(q, v, s) for q, (found, scores) in zip(own[part].tolist(), best[part]) for v, s in zip(found.tolist(), scores.tolist())]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
 
 def search(
@@ -153,31 +191,37 @@ def search(
         F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("vector"),
     )
     blocks = written(_blocks(kept.select("id", "vector"), rows), "blocks")
-    asked = kept.where("ask AND id IS NOT NULL")
-    parts, places = max(1, -(-asked.count() // queries)), max(1, blocks.count())
-    asking = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.size("vector").alias("dim")).agg(
-        F.sort_array(F.collect_list(F.struct("id", "vector"))).alias("rows"))
-    asking = asking.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).select("place", "dim", "rows")
-    blocks = blocks.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int"))
+    asking = _blocks(kept.where("ask AND id IS NOT NULL").select("id", "vector"), queries)
+    n = blocks.count()
+    places = max(1, min(n, SPREAD), -(-n // HELD))
+    asking = asking.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1)))).withColumn("asks", F.lit(True))
+    blocks = blocks.withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)).cast("int")).withColumn("asks", F.lit(False))
 
     def run(batches):
-        last, lists = None, None
+        # a place's blocks of one length come before the queries of that length
+        at, held, asked, waiting = None, [], [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                dim, data = row.column("dim")[0].as_py(), (row.column("ids")[0].as_py(), row.column("data")[0].as_py())
-                if data != last:  # a block's pairs come one after another
-                    ids = np.frombuffer(data[0], "<i8")
-                    last, lists = data, SortedLists(ids, np.frombuffer(data[1], "<i8").reshape(len(ids), dim))
-                asked = row.column("rows")[0].values
-                own = asked.field("id").to_numpy(zero_copy_only=False)
-                vectors = asked.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(own), dim)
-                out = [(q, v, s) for q, (found, scores) in zip(own.tolist(), lists.top(vectors, own, k)) for v, s in zip(found.tolist(), scores.tolist())]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score"])
-
-    pairs = blocks.join(asking, ["place", "dim"]).select("dim", "ids", "data", "rows")
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (row["place"], row["dim"]) != at:
+                    if held and asked:
+                        yield from _answers(held, asked, k, queries)
+                    at, held, asked, waiting = (row["place"], row["dim"]), [], [], 0
+                packed = row["dim"], row["width"], row["ids"], row["data"]
+                if not row["asks"]:
+                    held.append(packed)
+                elif held:
+                    asked.append(packed)
+                    waiting += len(row["ids"]) // 8
+                    if waiting >= TURN * queries:
+                        yield from _answers(held, asked, k, queries)
+                        asked, waiting = [], 0
+        if held and asked:
+            yield from _answers(held, asked, k, queries)
+        give_back()
+
+    together = blocks.unionByName(asking).repartition(places, "place").sortWithinPartitions("place", "dim", "asks")
+    found = together.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.when(F.col("vec_id") != _NO_ID, F.col("vec_id")).alias("vec_id"), "score")

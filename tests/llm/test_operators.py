@@ -334,6 +334,22 @@ def test_topk_against_all_scores(spark):
     assert topk_search.search(frame.limit(0), F.expr("vec_id % 50 = 0")).count() == 0
 
 
+def test_topk_of_places_with_several_blocks(spark, monkeypatch):
+    """Blocks take turns on chunks of queries; what is found in one bounds the search in the next, ties included."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (400, 4))
+    x[::7] = x[0]
+    frame = spark.createDataFrame([(int(i), [float(c) / 256 for c in v]) for i, v in zip(rng.permutation(400), x)], "vec_id long, embedding array<double>").repartition(5)
+    ask = F.expr("vec_id % 10 = 0")
+    plan = topk_search.search(frame, ask, rows=8, queries=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    want = sorted(map(tuple, topk_search.search(frame, ask, rows=1000).collect()))
+    assert len(want) == 40 * 5
+    monkeypatch.setattr(topk_search, "SPREAD", 1)
+    monkeypatch.setattr(topk_search, "TURN", 2)
+    assert sorted(map(tuple, topk_search.search(frame, ask, rows=8, queries=4).collect())) == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sorted_lists_stop_early_and_right(seed):
     rng = np.random.default_rng(seed)
