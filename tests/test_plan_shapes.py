@@ -72,3 +72,9 @@ def test_an_amount_is_looked_through_once(spark):
 
     text = spark.range(1).select(quantity_norm(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().executedPlan().toString()
     assert text.count("regexp_extract(") == 7 and text.count("lower(") == 1
+
+
+@pytest.mark.parametrize("name", ["o14_document_leaves", "o68_payload_leaves", "o64_document_claims", "o66_document_claims"])
+def test_whole_documents_are_opened_by_a_generator(spark, name):
+    """Nodes of documents are rows, not lists that expressions copy at every level."""
+    assert plan(spark, name).count("Generate variant_explode") == 9

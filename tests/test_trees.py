@@ -131,6 +131,21 @@ def test_references_as_rows_are_those_of_the_list(trees_made):
         assert got == sorted(repr((i, *r)) for i, d in enumerate(docs) for r in refs_of(d)), levels
 
 
+def test_leaves_and_claims_as_rows_are_those_of_the_lists(spark, trees_made):
+    """Also of documents that are deeper than the levels that a generator opens, and of what is none."""
+    docs, frame = trees_made
+    frame = frame.union(spark.createDataFrame([(1000, "{"), (1001, None), (1002, '{"a":"}]{[","b":["\\\\\\"{"]}')], frame.schema)).withColumn("v", trees.parsed(F.col("doc")))
+    docs = [*docs, {"a": "}]{[", "b": ['\\"{']}]
+    ids = [*range(len(docs) - 1), 1002]
+    for levels in (1, 3, 9):
+        leaves = trees.leaf_rows(frame, ["id"], "v", "doc", levels).collect()
+        assert {r.id for r in leaves} == {*ids, 1000, 1001} and not any(r.kind for r in leaves if r.id in (1000, 1001))
+        assert sorted(repr(tuple(r)) for r in leaves if r.kind) == sorted(repr((i, *x)) for i, d in zip(ids, docs) for x in walked(d)), levels
+        claims = trees.claim_rows(frame, ["id"], "v", "doc", levels).collect()
+        assert sorted(r.id for r in claims if r.root) == sorted([*ids, 1000, 1001])
+        assert sorted(repr((r.id, *c)) for r in claims for c in r.found) == sorted(repr((i, *c)) for i, d in zip(ids, docs) for c in claims_of(d)), levels
+
+
 def test_leaves_are_counted_as_they_are_listed(spark, trees_made):
     docs, frame = trees_made
     assert {r.id: r.n for r in frame.select("id", trees.leaf_count(F.col("doc")).alias("n")).collect()} == {i: len(walked(d)) for i, d in enumerate(docs)}
@@ -235,6 +250,10 @@ def test_each_kind_of_violation(spark, recipe):
     # numbers that no double holds, documents that are none
     text = json.dumps(changed(recipe, ["yields", 0, "valueExpression", "value"], 987654321)).replace("987654321", "1e999")
     assert broken(spark, text) == [(0, "/yields/0/valueExpression/value", "not_finite")]
+    deep = {"x": 1}
+    for _ in range(12):
+        deep = {"x": [deep]}
+    assert broken(spark, changed(recipe, ["deep"], deep), changed({**recipe, "deep": deep}, ["provenance", "runId"], "")) == [(0, "/deep", "unknown_key"), (1, "/deep", "unknown_key"), (1, "/provenance/runId", "empty")]
     assert broken(spark, "{", "[]", "null") == [(0, "", "not_json"), (1, "", "wrong_type"), (2, "", "wrong_type")]
 
 
